@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import mixing, ogg, packing, sharding
+from gneiss.llm import html, langid, mixing, ogg, packing, sharding
 from gneiss.llm.common import read
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(read(spark, sf_dir, "documents"))
 
@@ -71,12 +75,18 @@ FROM b
 """
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ogg, op4_kd_shards, op7_mixing, op10_packing]
+    own = [op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op10_packing]
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import html, langid, mixing, ogg, packing, sharding
+from gneiss.llm import html, langid, mixing, ogg, order_minhash, packing, sharding
 from gneiss.llm.common import read
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.neighbour_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -86,7 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op10_packing]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op10_packing]
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import html, langid, mixing, ogg, order_minhash, packing, sharding
+from gneiss.llm import html, langid, mixing, ogg, order_minhash, packing, pii, sharding
 from gneiss.llm.common import read
 
 SHARDS = 40
@@ -85,12 +85,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents")).drop("masked")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op10_packing]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op9_pii, op10_packing]
     return {f.__name__: f for f in own}
 
 

@@ -81,12 +81,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply f to each Arrow batch; one batch is held at a time."""
+#: Rows that an Arrow batch holds at most, so that long texts fit in a worker's memory.
+BATCH_ROWS = 1_000
+
+
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply f to each Arrow batch; one batch is held at a time. rows: slices of so many rows are given to f."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            step = rows or max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                yield f(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import html, langid, mixing, ogg, order_minhash, packing, pii, sharding
+from gneiss.llm import chosen_path, html, langid, mixing, ogg, order_minhash, packing, pii, sharding
 from gneiss.llm.common import read
 
 SHARDS = 40
@@ -40,6 +40,28 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM w WHERE len(w) > 0
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)
+), c(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT p.b, c.r FROM c JOIN p ON c.doc_id = p.a
+)
+SELECT d.doc_id, (SELECT min(r) FROM c WHERE c.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM p WHERE p.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -94,9 +116,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op7_mixing, op8_language, op9_pii, op10_packing]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op6_chosen_path": OP6_SQL, "op7_mixing": OP7_SQL}

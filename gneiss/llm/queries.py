@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chosen_path, html, langid, mixing, ogg, order_minhash, packing, pii, sharding
+from gneiss.llm import chosen_path, html, langid, mixing, ogg, order_minhash, packing, pii, sharding, suffixes
 from gneiss.llm.common import read
 
 SHARDS = 40
@@ -40,6 +40,10 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -116,7 +120,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing]
     return {f.__name__: f for f in own}
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import buckets_for, running_total, settle
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at most; beyond it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers at least since it last made room; twice as many at most.
+CACHE_WORDS = 700_000
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -115,6 +115,15 @@ def pack(pieces: DataFrame, length: str, ties: list[str], capacity: int = CAPACI
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
+def _plain(word: str) -> tuple[str, str]:
+    """(stem, mark) whose ids, one after the other, are the word's: a mark after a letter is a token of its own, and in
+    Latin script the tokenizer's lower case is Python's. Words that share a stem are then encoded once."""
+    mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
+    stem = word[:-1] if mark else word
+    low = stem.lower()
+    return (low, mark) if stem.isalpha() and max(low) < "\u0180" and max(stem) < "\u0180" else (word, "")
+
+
 @lru_cache(1)
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """text: its ids as little-endian 32-bit numbers, equal to the tokenizer's own on the whole text.
@@ -126,19 +135,32 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {"": b""}
+    older: dict[str, bytes] = {}
+
+    def learn(words: list[str]) -> None:
+        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        nonlocal known, older
         words = text.split()
-        fresh = list(set(words).difference(known))
+        fresh = [w for w in set(words) if w not in known]
         if fresh:
             if len(known) > CACHE_WORDS:
-                known.clear()
+                known, older = {"": b""}, known
                 fresh = list(set(words))
-            for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
+            plain = {}
+            for w in fresh:
+                if (ids := older.get(w)) is None:
+                    plain[w] = _plain(w)
+                else:
+                    known[w] = ids
+            learn([w for w in {x for pair in plain.values() for x in pair} if w not in known])
+            for w, (stem, mark) in plain.items():
+                known[w] = known[stem] + known[mark]
         return b"".join(map(known.__getitem__, words))
 
     return encode

@@ -12,7 +12,6 @@ K, TUPLE, BINS = 3, 2, 64
 WORD = r"[\p{L}\p{N}]{1,8}|[^\s\p{L}\p{N}]"
 #: Bits of a sort key: bin, hash, position. A text holds fewer than 2**POSITION_BITS words.
 POSITION_BITS = 27
-EMPTY = "0" * 16
 #: Buckets of neighbours: about so many rows each, so many buckets at most.
 NEIGHBOUR_ROWS, NEIGHBOUR_BUCKETS = 500, 10_000
 
@@ -22,27 +21,28 @@ def _low(bits: int) -> Column:
 
 
 def fingerprints(df: DataFrame, text: Column, out: str, k: int = K, pick: int = TUPLE, bins: int = BINS) -> DataFrame:
-    """df with `out`: an array of `bins` strings of 16 hex digits, the order min-hash signature of the text.
+    """df with `out`: the order min-hash signature of the text, an array of at most `bins` numbers (bin, then tuple hash).
 
     A k-mer is k consecutive words; a text of fewer words is one k-mer, one without words (or null) has none. Its
     occurrence number tells equal k-mers of a text apart. A random number drawn from (k-mer, occurrence) puts the pair in
     a bin and ranks it there; each bin keeps its `pick` lowest pairs, puts them in text order and hashes their k-mers as a
     tuple. (The bins stand for the independent permutations of the published method: each pair is drawn once, not once
-    per permutation.) An empty bin is sixteen zeros. Two texts agree in a bin if the lowest pairs are the same and in
+    per permutation.) An empty bin has no number. Two texts agree in a bin if the lowest pairs are the same and in
     the same order, so moving words about lowers the likeness although the set of k-mers hardly changes.
 
     Each step is a projection of its own, so that arrays are made once and sorted as plain numbers."""
-    c = {n: f"_{out}_{n}" for n in ("w", "h", "s", "d", "e", "p")}
+    c = {n: f"_{out}_{n}" for n in ("w", "s", "d", "e", "p")}
     bin_bits = bins.bit_length() - 1
     hash_bits = 63 - bin_bits - POSITION_BITS
     col = F.col
     steps = df.withColumn(c["w"], F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
-    # Hash of the k-mer at each position.
-    kmer = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c["w"]) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(col(c["w"]), i + j) for j in range(k)]))
-    steps = steps.withColumn(c["h"], F.when(F.size(c["w"]) > 0, kmer).otherwise(F.array().cast("array<bigint>")))
+
+    def kmer(i: Column) -> Column:
+        return F.xxhash64(*[F.get(col(c["w"]), i + j if j else i) for j in range(k)])
+
     # Equal k-mers side by side, in text order: high bits hash, low bits position.
-    keyed = F.transform(col(c["h"]), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(i.cast("long").bitwiseAND(_low(POSITION_BITS))))
-    steps = steps.withColumn(c["s"], F.sort_array(keyed))
+    keyed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c["w"]) - k, F.lit(0))), lambda i: F.shiftleft(F.shiftrightunsigned(kmer(i), POSITION_BITS + 1), POSITION_BITS).bitwiseOR(i.cast("long")))
+    steps = steps.withColumn(c["s"], F.sort_array(F.when(F.size(c["w"]) > 0, keyed).otherwise(F.array().cast("array<bigint>"))))
     # Where a run of equal k-mers begins, and the end.
     n = F.size(c["s"])
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.shiftright(F.get(col(c["s"]), i), POSITION_BITS) != F.shiftright(F.get(col(c["s"]), i - 1), POSITION_BITS)))
@@ -65,21 +65,31 @@ def fingerprints(df: DataFrame, text: Column, out: str, k: int = K, pick: int =
     # Bin and position alone, so that sorting gives text order within a bin.
     steps = steps.withColumn(c["p"], F.sort_array(F.transform(lowest, lambda e: F.shiftleft(F.shiftright(e, high), POSITION_BITS).bitwiseOR(e.bitwiseAND(_low(POSITION_BITS))))))
 
-    def tuple_of(b: Column) -> Column:
-        own = F.filter(col(c["p"]), lambda p: F.shiftright(p, POSITION_BITS) == b)
-        hashes = F.transform(own, lambda p: F.get(col(c["h"]), p.bitwiseAND(_low(POSITION_BITS)).cast("int")))
-        return F.when(F.size(own) > 0, F.lpad(F.lower(F.hex(F.xxhash64(F.concat_ws(",", hashes.cast("array<string>"))))), 16, "0")).otherwise(F.lit(EMPTY))
+    p = col(c["p"])
+
+    def position(x: Column) -> Column:
+        return x.bitwiseAND(_low(POSITION_BITS)).cast("int")
 
-    steps = steps.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), tuple_of))
+    def tuple_at(x: Column, i: Column) -> Column:
+        same = F.filter(F.slice(p, i + 1, F.lit(pick)), lambda y: F.shiftright(y, POSITION_BITS) == F.shiftright(x, POSITION_BITS))
+        number = F.xxhash64(F.transform(same, lambda y: kmer(position(y))))
+        first = (i == 0) | (F.shiftright(F.get(p, i - 1), POSITION_BITS) != F.shiftright(x, POSITION_BITS))
+        return F.when(first, F.shiftleft(F.shiftright(x, POSITION_BITS), 63 - bin_bits).bitwiseOR(F.shiftrightunsigned(number, bin_bits + 1)))
+
+    steps = steps.withColumn(out, F.filter(F.transform(p, tuple_at), lambda v: v.isNotNull()))
     return steps.drop(*c.values())
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     """Share of the bins that agree, among those that either text fills; 1 if neither fills any."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 1).otherwise(-1))
-    agree = F.size(F.filter(both, lambda v: v == 1))
-    filled = F.size(F.filter(both, lambda v: v != 0))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(agree / filled)
+    shift = 64 - bins.bit_length()
+    filled = F.size(F.array_union(F.transform(a, lambda v: F.shiftright(v, shift)), F.transform(b, lambda v: F.shiftright(v, shift))))
+    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+
+
+def printed(signature: Column) -> Column:
+    """16 hex digits for each tuple, in order of the bins."""
+    return F.array_join(F.transform(signature, lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
 
 
 def with_next(df: DataFrame, order: str, ties: list[str], columns: list[str]) -> DataFrame:
@@ -125,4 +135,4 @@ def neighbour_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     edited = F.concat(F.substring("_text", F.lit(1), n - quarter), F.substring("_next__text", F.lit(1), quarter))
     made = met.withColumns({"n_chars": n.cast("long"), "_edited_text": edited}).drop("_text", "_next__text")
     made = fingerprints(made.withColumn("edited_sha256", F.sha2(F.encode("_edited_text", "UTF-8"), 256)), F.col("_edited_text"), "_edited")
-    return made.select("doc_id", "n_chars", "edited_sha256", F.array_join("_own", "").alias("fingerprint"), F.array_join("_edited", "").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("_next__own")).alias("near_next"))
+    return made.select("doc_id", "n_chars", "edited_sha256", printed(F.col("_own")).alias("fingerprint"), printed(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("_next__own")).alias("near_next"))

@@ -283,11 +283,14 @@ def model_budgets(spark, d):
     return p.select(F.col("p_partkey").alias("id"), X.code_budget(F.col("p_size") * 300).alias("budget"), X.model_limit(model).alias("model_limit"))
 
 
+_Q, _A = '"' * 3, "''" * 3  # three double quotes; three single ones inside a literal
+
+
 @query(
     oracle_with("code_files")
-    + r"""SELECT path, len(t) AS n_chars, substr(sha256(t), 1, 16) AS hash FROM (SELECT path, regexp_replace(CASE WHEN ext = '.py'
-      THEN regexp_replace(regexp_replace(regexp_replace(content, '(?s)\"\"\".*?\"\"\"', '""""""', 'g'), '(?s)''''''.*?''''''', '''''''''''''', 'g'), '(?m)^(\s*)#([^!\n].*)?$', '', 'g')
-      ELSE regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g') END, '\n{3,}', chr(10) || chr(10), 'g') AS t FROM code_files)"""
+    + f"SELECT path, len(t) AS n_chars, substr(sha256(t), 1, 16) AS hash FROM (SELECT path, regexp_replace(CASE WHEN ext = '.py' "
+    + rf"THEN regexp_replace(regexp_replace(regexp_replace(content, '(?s){_Q}.*?{_Q}', '{_Q}{_Q}', 'g'), '(?s){_A}.*?{_A}', '{_A}{_A}', 'g'), '(?m)^(\s*)#([^!\n].*)?$', '', 'g') "
+    + r"ELSE regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g') END, '\n{3,}', chr(10) || chr(10), 'g') AS t FROM code_files)"
 )
 def comments_stripped(spark, d):
     rows = view(spark, d, "code_files").select("path", compress.without_comments(F.col("content"), F.col("ext")).alias("t"))

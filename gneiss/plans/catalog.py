@@ -13,6 +13,7 @@ from gneiss.operators import compress, detect, graph, incremental, outcomes, pol
 from gneiss.plans.fixtures import oracle_with, view
 from gneiss.sources import files as sources
 from gneiss.sources import findings
+from gneiss.streaming import incremental as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -756,3 +757,20 @@ def parsed_answers(spark, d):
 )
 def agent_outputs(spark, d):
     return findings.agent_output(view(spark, d, "stream_lines"))
+
+
+# ---- streaming -------------------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["hotspots_in_documents"])
+def streaming_incremental_scan(spark, d):
+    """A stream of documents, scanned twice: the second pass finds nothing new."""
+    table = f"{d}/documents.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 4).parquet(f"{table}*")
+    number = F.col("doc_id").cast("string")
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".py", ".ts", ".txt", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = raw.select(F.concat(F.col("source"), F.lit("/doc_"), number, ext).alias("path"), ext.alias("ext"), F.coalesce("text", F.lit("")).alias("content"))
+    root = streaming.scratch(spark)
+    for _ in range(2):
+        streaming.incremental_scan(files, detect.hotspots, root).awaitTermination()
+    return streaming.current(spark, root, "path string, line int, label string, snippet string, ord int")

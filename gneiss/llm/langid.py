@@ -159,9 +159,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
     """docs with lang_pred, score (0 to 1), runner_up and ambiguous, from the text alone.
 
     Null text or one without a letter, or a model without languages: `und`, score 0, not ambiguous. Every whole text is
-    read, in blocks. Columns of docs are kept; give a prefix where their names clash with the new ones. Empty table: no rows."""
+    read, in blocks. Columns of docs are kept, but for those named like the new ones (a prefix tells them apart). Empty
+    table: no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x bits numbers, whatever the corpus
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "runner_up", "ambiguous")]
+    docs = docs.select(*[c for c in docs.columns if c not in names])
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

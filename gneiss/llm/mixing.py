@@ -44,7 +44,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     A source's budget is its target rounded to whole tokens. Every row is taken whole as often as the budget holds the
     source; what is left goes to rows in order of md5(seed:doc_id), then doc_id, then size, until the budget is met,
     the last row in part. Null text: size 0, taken 0. Null source: a source of its own. Repeated rows each count.
-    Empty table: no rows. Names starting with _ are this operator's."""
+    Empty table: no rows. Columns of docs named like the new ones are replaced."""
     sized = docs.withColumn("_size", token_count(F.col(text)))
     sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
     totals = sized.groupBy(source).agg(F.sum("_size").alias("source_size"))
@@ -61,13 +61,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of a document; one taken in part keeps its first
     tokens and the white space between them. A column n_chars, if there, follows the text."""
     text = options.get("text", "text")
-    mixed = mix_sources(docs, **options)
+    aside = {c: f"kept{c}" for c in docs.columns if c.startswith("_")}  # names that the operator uses
+    mixed = mix_sources(docs.withColumnsRenamed(aside), **options)
     whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0)
     left = (F.col("_taken") - whole * F.col("_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<int>")))
-    rows = mixed.select(*[mixed[c] for c in docs.columns], F.explode(copies).alias("_part"))
+    rows = mixed.select(*[mixed[aside.get(c, c)] for c in docs.columns], F.explode(copies).alias("_part"))
     parts = F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.coalesce(F.col("_part"), F.lit(0)))
     rows = rows.withColumn(text, F.when(F.col("_part").isNull(), F.col(text)).otherwise(F.array_join(parts, "")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -73,7 +73,7 @@ class _Tree:
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), step)
 
 
-def _split_points(rows: DataFrame, nodes: dict[int, tuple[int, int, int, float]], slack: float) -> dict[int, int]:
+def _split_points(rows: DataFrame, dims: list[str], nodes: dict[int, tuple[int, int, int, float]], slack: float) -> dict[int, int]:
     """node: the key up to which (exclusive) the left part goes. nodes: node: (dimension, lowest key, end key, weight wanted left).
 
     Each round sums weights in equal bins of each node's open interval and goes on in the bin that the wanted weight
@@ -81,7 +81,6 @@ def _split_points(rows: DataFrame, nodes: dict[int, tuple[int, int, int, float]]
     state = {k: (d, lo, hi, want) for k, (d, lo, hi, want) in nodes.items()}
     found: dict[int, int] = {}
     bins = max(2, min(1024, ROUND_ROWS // max(1, len(nodes))))
-    dims = [c for c in rows.columns if c.startswith("_c")]
     while state:
         table = [(k, hi) for k, (_, _, hi, _) in state.items()]
         width = {k: -(-(hi - lo) // bins) for k, (_, lo, hi, _) in state.items()}
@@ -130,7 +129,7 @@ def kd_partition(df: DataFrame, dims: list[str], weight: str, ties: list[str], s
     total = rows.agg(F.sum("_weight")).first()[0] or 0
     n = shards if shards is not None else max(1, round(total / max(1, target or 1)))
     slack = TOLERANCE * total / max(1, n)
-    names = [c for c in rows.columns if c.startswith("_c")]
+    names = [f"_c{i}" for i in range(len(dims))]
     tree, leaves = _Tree(), {0: (0, n)}  # leaf of the tree: its first shard, its number of shards
     while open_nodes := {k: v for k, v in leaves.items() if v[1] > 1}:
         placed = rows.withColumn("_node", tree.leaf(names))
@@ -141,7 +140,7 @@ def kd_partition(df: DataFrame, dims: list[str], weight: str, ties: list[str], s
                 d = max(range(len(names)), key=lambda i: (r[f"hi{names[i]}"] - r[f"lo{names[i]}"], -i))
                 count = open_nodes[r["_node"]][1]
                 wanted[r["_node"]] = (d, r[f"lo{names[d]}"] << TIE_BITS, (r[f"hi{names[d]}"] + 1) << TIE_BITS, r["w"] * (count // 2) / count)
-        points = _split_points(placed, wanted, slack)
+        points = _split_points(placed, names, wanted, slack)
         for k, (first, count) in open_nodes.items():
             del leaves[k]
             if k in points:

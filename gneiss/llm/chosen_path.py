@@ -17,7 +17,7 @@ from gneiss.llm.shingles import WORDS, mix, shingle_set
 SIMILARITY = 0.8
 RECALL = 0.9999
 #: Levels of splitting, and sets that a bucket may have to be compared as it is.
-DEPTH, SMALL = 3, 300
+DEPTH, SMALL = 3, 2_000
 #: Places of the sketch that filters pairs in a bucket, and how many standard errors below the threshold a pair still passes.
 SKETCH, ERRORS = 128, 4.0
 #: Sets and shingles of a block of a group that is compared exactly.
@@ -37,28 +37,42 @@ def runs_for(recall: float, depth: int = DEPTH, similarity: float = SIMILARITY)
     return math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
+#: Tokens that are drawn for together.
+_COLUMNS = 1 << 15
+
+
+def _draw(tokens: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A number per path and token, even and independent for tokens that are hashes."""
+    x = (tokens[None, :] ^ names[:, None]) * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
 def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, similarity: float = SIMILARITY) -> np.ndarray:
     """Rows of `depth` numbers, one per path: the path's name after each level, 0 where no token was chosen for it.
 
-    Whether a token extends a path depends on the run, the path and the token alone, against 1/(similarity * size)."""
+    Whether a token extends a path depends on the run, the path and the token alone, against 1/(similarity * size).
+    All runs are drawn for at once, some thousand tokens at a time."""
     limit = np.uint64(min(2.0**64 - 2**12, 2.0**64 / (similarity * len(tokens))))
-    rows: list[list[int]] = []
-    for run in range(runs):
-        open_paths = [((), mix(np.array([run + 1], np.uint64))[0])]
-        for _ in range(depth):
-            grown = []
-            for names, name in open_paths:
-                drawn = mix(tokens + name)
-                chosen = drawn[drawn < limit]
-                if not len(chosen) and names:
-                    rows.append([*names, *[0] * (depth - len(names))])
-                # The token itself is not used again: its draw under the new name is independent, but a path of one token is no split.
-                for d in chosen:
-                    fresh = mix(np.array([d], np.uint64) + np.uint64(0xD6E8FEB86659FD93))[0]
-                    grown.append(((*names, int(fresh)), fresh))
-            open_paths = grown
-        rows += [list(names) for names, _ in open_paths]
-    return np.array(rows, np.uint64).reshape(-1, depth)
+    names = mix(np.arange(1, runs + 1, dtype=np.uint64))
+    trails = np.zeros((runs, 0), np.uint64)
+    done = []
+    for level in range(depth):
+        path, drawn = [], []
+        for at in range(0, len(tokens), _COLUMNS):
+            x = _draw(tokens[at : at + _COLUMNS], names)
+            i, j = np.nonzero(x < limit)
+            path.append(i)
+            drawn.append(x[i, j])
+        path, drawn = np.concatenate(path), np.concatenate(drawn)
+        if level:
+            ended = np.ones(len(names), bool)
+            ended[path] = False
+            done.append(np.pad(trails[ended], ((0, 0), (0, depth - level))))
+        names = mix(drawn + names[path])
+        trails = np.column_stack([trails[path], names])
+    return np.concatenate([*done, trails])
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -96,7 +110,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, runs: int) ->
 
 
 def _level(rows: DataFrame, level: int) -> DataFrame:
-    """(name, above, key): the paths of a set at a level. rows: (name, paths), and above (a path of the level before) from level 1."""
+    """(name, key): the paths of a set at a level. rows: (name, paths), and above (a path of the level before) from level 1."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
@@ -114,55 +128,56 @@ def _level(rows: DataFrame, level: int) -> DataFrame:
     return by_batch(rows, run, "name long, key long")
 
 
-def _forest(names: np.ndarray, sketches: np.ndarray, fresh: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that tie together the sets whose sketches may mean the wanted similarity; fewer than the sets."""
-    root = np.arange(len(names))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+def _forest(names: np.ndarray, sketches: np.ndarray, blocks: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that tie together the sets whose sketches may mean the wanted similarity; fewer than the sets. Sets with equal
+    labels are tied already."""
+    filled = sketches > 0
     edges = []
-    for i in range(len(names)):
-        others = np.arange(i + 1, len(names))
-        if fresh[i] >= 0:  # blocks of a large bucket: only pairs across them, the pairs inside are another task's
-            others = others[fresh[others] != fresh[i]]
+    for i in range(len(names) - 1):
+        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if blocks[i] >= 0:  # blocks of a large bucket: only pairs across them, the pairs inside are another task's
+            others = others[blocks[others] != blocks[i]]
         if not len(others):
             continue
-        same = (sketches[others] == sketches[i]) & (sketches[i] > 0)
-        filled = ((sketches[others] > 0) | (sketches[i] > 0)).sum(1)
-        near = same.sum(1) >= filled * (SIMILARITY - ERRORS * 0.4 / np.sqrt(np.maximum(filled, 1)))
-        for j in others[near]:
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((int(names[i]), int(names[j])))
+        same = ((sketches[others] == sketches[i]) & filled[i]).sum(1)
+        either = (filled[others] | filled[i]).sum(1)
+        near = others[same >= either * (SIMILARITY - ERRORS * 0.4 / np.sqrt(np.maximum(either, 1)))]
+        if len(near):
+            met, first = np.unique(label[near], return_index=True)
+            edges += [(int(names[i]), int(names[j])) for j in near[first]]
+            label[np.isin(label, met)] = label[i]
     return edges
 
 
 def _ties(buckets: DataFrame) -> DataFrame:
-    """(a, b) from rows (members array of struct(name, sketch, block)): see _forest."""
+    """(a, b) from rows (members array of struct(name, sketch, block)): see _forest.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = [], []
-        seen: set[bytes] = set()
-        for members in batch.column(0):
-            rows = members.as_py()
-            rows.sort(key=lambda r: r["name"])
-            names = np.array([r["name"] for r in rows])
-            blocks = np.array([r["block"] for r in rows])
-            token = names.tobytes() + blocks.tobytes()
-            if token in seen:  # runs often gather the same sets
-                continue
-            seen.add(token)
-            for x, y in _forest(names, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, SKETCH), blocks):
-                a.append(x)
-                b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    Buckets with the same least set go to one task, which remembers what it has tied: the runs gather the same sets again
+    and again, and each tie is written once per task."""
+
+    def run(batches):
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
 
-    return by_batch(buckets, run, "a long, b long", rows=64)
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column(0):
+                rows = sorted(members.as_py(), key=lambda r: r["name"])
+                names = np.array([r["name"] for r in rows])
+                label = np.unique(np.array([find(n) for n in names.tolist()]), return_inverse=True)[1]
+                sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, SKETCH)
+                for x, y in _forest(names, sketches, np.array([r["block"] for r in rows]), label):
+                    above[find(y)] = find(x)
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return buckets.repartition("lead").select("members").mapInArrow(run, "a long, b long")
 
 
 def _blocks(rows: DataFrame, group: str, parts: str, block: str) -> DataFrame:
@@ -171,12 +186,14 @@ def _blocks(rows: DataFrame, group: str, parts: str, block: str) -> DataFrame:
     return dealt.withColumns({"lo": F.least(block, "_other"), "hi": F.greatest(block, "_other")}).drop("_other")
 
 
-def _candidate_edges(sets: DataFrame) -> DataFrame:
-    """Edges between sets that met in a bucket and whose sketches pass."""
+def _candidate_edges(rows: DataFrame) -> DataFrame:
+    """Edges between sets that met in a bucket and whose sketches pass. rows: (name, sketch, paths), a set once or more often."""
     found = []
-    rows = sets.select("name", "paths")
+    paths = rows.select("name", "paths")
+    sketches = rows.select("name", "sketch")
     for level in range(DEPTH):
-        keys = settle(_level(rows, level), f"paths{level}")
+        # One shuffle by key serves the counts, the join with them and the copies of a set.
+        keys = _level(paths, level).repartition("key").distinct()
         counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = settle(keys.join(counts, "key"), f"met{level}")
         last = level == DEPTH - 1
@@ -188,18 +205,24 @@ def _candidate_edges(sets: DataFrame) -> DataFrame:
             # Pairs within a block belong to the task (block, block), where every row has block -1: all pairs count.
             pairs = pairs.withColumn("block", F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("block")))
             members = members.unionByName(pairs.select(*members.columns))
-        small = members.join(sets.select("name", "sketch"), "name")
-        small = small.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("name", "sketch", "block")).alias("members"))
-        found.append(settle(_ties(small.select("members")).distinct(), f"ties{level}"))
+        small = members.join(_once(sketches, members.select("name").distinct()), "name")
+        small = small.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("name", "sketch", "block")).alias("members"), F.min("name").alias("lead"))
+        found.append(settle(_ties(small).distinct(), f"ties{level}"))
         if not last:
             large = met.where(F.col("n") > SMALL).select("name", F.col("key").alias("above"))
-            rows = large.join(sets.select("name", "paths"), "name").select("name", "paths", "above")
+            paths = large.join(_once(rows.select("name", "paths"), large.select("name").distinct()), "name").select("name", "paths", "above")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     return edges.distinct()
 
 
+def _once(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """facts (name, ...) of the wanted names, each once. A bitmap of bounded size lets few others through to the join."""
+    passed = Bitmap.of(wanted, "name").let_through(facts, "name")
+    return passed.join(wanted, "name", "left_semi").dropDuplicates(["name"])
+
+
 def _exact(names: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray, similarity: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """How many documents each set is linked to within this pair of blocks, and edges that tie the linked sets.
 
@@ -257,37 +280,46 @@ def _group_links(groups: DataFrame, similarity: float) -> DataFrame:
     return by_batch(groups, run, "name long, links long, other long", rows=4)
 
 
-def _filter_bitmap(ids: DataFrame, members: int) -> tuple[int, dict[int, bytes]]:
-    """A bitmap over hashes of the documents that are in groups: (bits, bytes by part). Its size is bounded by FILTER_MOST bits."""
-    bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * max(1, members)).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot")
-    parts = ids.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map")).collect()
-    return bits, {r["part"]: bytes(r["map"]) for r in parts}
+class Bitmap:
+    """A set of numbers, by bits at their hashes: some others pass too. It has FILTER_BITS bits a member, FILTER_MOST at
+    most, so its size is bounded; beyond that more pass and the joins behind it do more."""
+
+    def __init__(self, bits: int, flat: np.ndarray) -> None:
+        self.bits, self.flat = bits, flat
+
+    @classmethod
+    def of(cls, members: DataFrame, column: str) -> Bitmap:
+        count = members.count()
+        bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * max(1, count)).bit_length()))
+        slot = (F.pmod(F.xxhash64(column), F.lit(bits)) + 1).alias("slot")
+        parts = members.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map")).collect()
+        flat = np.zeros(bits // 8, np.uint8)
+        for r in parts:  # part 1 has the slots from 1 on
+            own = np.frombuffer(bytes(r["map"]), np.uint8)
+            flat[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
+        return cls(bits, flat)
 
+    def let_through(self, rows: DataFrame, column: str) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(self.flat)
+        kept = rows.columns
 
-def _tokens_of(docs: DataFrame, doc_id: str, text: str, words: int, bits: int, parts: dict[int, bytes]) -> DataFrame:
-    """(name, tokens) of the documents that the bitmap lets through."""
-    first = min(parts)
-    width = 8 * len(next(iter(parts.values())))
-    flat = np.zeros((max(parts) - first + 1) * width // 8, np.uint8)
-    for k, v in parts.items():
-        flat[(k - first) * width // 8 : (k - first + 1) * width // 8] = np.frombuffer(v, np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(flat)
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(np.int64)
+            inside = (held.value[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
+            return batch.select(list(range(len(kept)))).filter(pa.array(inside))
+
+        slot = F.pmod(F.xxhash64(column), F.lit(self.bits)).alias("_slot")
+        return by_batch(rows.select(*kept, slot), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+
+def _tokens_of(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, name, tokens) of docs (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slots = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        # Bucket numbers begin at 1 for slots from 1 on; position p of a bucket is bit p.
-        at = (np.where(slots > 0, 1 + (slots - 1) // width, slots // width) - first) * width + np.where(slots > 0, (slots - 1) % width, -slots % width)
-        inside = (at >= 0) & (at < len(held.value) * 8)
-        at = np.where(inside, at, 0)
-        inside &= (held.value[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
-        rows = utf8(batch.column(1).filter(pa.array(inside)))
-        sets = [shingle_set(d, words) for d in rows]
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(inside)), pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "name", "tokens"])
-
-    slot = F.pmod(F.xxhash64(doc_id), F.lit(bits)).alias("_slot")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return by_batch(docs.select(doc_id, text, slot), run, f"doc_id {kind}, name long, tokens binary")
+        sets = [shingle_set(d, words) for d in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "name", "tokens"])
+
+    return by_batch(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, tokens binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -307,23 +339,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reaches the driver."""
     runs = runs_for(recall, similarity=similarity)
     rows = settle(_prepared(docs, doc_id, text, words, runs), "sets")
-    sets = rows.where("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
-    sets = settle(sets, "distinct")
-    groups = components(_candidate_edges(sets))
-    members = settle(groups.join(sets.select(F.col("name").alias("node"), "size", "copies", "rep"), "node").withColumnRenamed("node", "name"), "members")
+    facts = settle(rows.where("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "distinct")
+    groups = components(_candidate_edges(rows.where("size > 0").select("name", "sketch", "paths")))
+    members = settle(groups.withColumnRenamed("node", "name").join(facts, "name"), "members")
     count = members.count()
     own = rows.select("doc_id", "name", "size")
-    facts = sets.select("name", "copies", "rep")
+    facts = facts.select("name", "copies", "rep")
     if not count:
         met = own.join(facts, "name", "left")
         return met.select("doc_id", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("size") > 0, F.col("copies") - 1).otherwise(0).alias("n_links"))
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.least(F.col("n"), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("parts")
     placed = members.join(sizes.select("label", parts), "label").withColumn("block", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
-    bits, bitmap = _filter_bitmap(members.select(F.col("rep").alias("doc_id")), count)
-    # rep is a document with the set; others with the same set may pass the bitmap too, and one of them is enough.
-    tokens = _tokens_of(docs, doc_id, text, words, bits, bitmap)
-    met = tokens.join(placed.select("name", "rep", "label", "copies", "parts", "block"), "name").where(F.col("doc_id") == F.col("rep")).drop("doc_id", "rep").dropDuplicates(["name"])
+    # rep is a document with the set; the bitmap may let others through, and one of those with the set is enough.
+    texts = Bitmap.of(members.select("rep"), "rep").let_through(docs.select(F.col(doc_id).alias("doc_id"), text), "doc_id")
+    met = _tokens_of(texts, words).join(placed.select("name", "rep", "label", "copies", "parts", "block"), "name").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep").dropDuplicates(["name"])
     dealt = _blocks(settle(met, "tokens"), "label", "parts", "block")
     tasks = dealt.groupBy("label", "lo", "hi").agg(F.collect_list(F.struct("name", "tokens", "copies", "block")).alias("members"))
     found = settle(_group_links(tasks.select("members"), similarity), "links")
@@ -337,9 +367,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that are in the class of a row with a smaller doc_id. Rows that share the least
-    doc_id of a class: one stays. A document without words stays."""
+    """The rows of docs without those that are in the class of a row with a smaller doc_id. Of rows with the same doc_id
+    and text one stays. A document without words stays."""
     classes = near_duplicates(docs, doc_id, text, **options)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    # Repeated rows are few or none: only theirs are shuffled with their texts.
+    digests = rows.select(F.col(doc_id).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
+    again = settle(digests.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_again")).distinct(), "again")
+    if not again.limit(1).count():
+        return rows
+    once = rows.join(again, rows[doc_id].eqNullSafe(again["_again"]), "left_anti")
+    return once.unionByName(rows.join(again, rows[doc_id].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([doc_id, text]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import rules as R
 from gneiss.functions import text as X
 from gneiss.operators import compress, detect, graph, incremental, outcomes, policy, score, verify
+from gneiss.plans import scan as scans
 from gneiss.plans.fixtures import oracle_with, view
 from gneiss.sources import files as sources
 from gneiss.sources import findings
@@ -774,3 +775,12 @@ def streaming_incremental_scan(spark, d):
     for _ in range(2):
         streaming.incremental_scan(files, detect.hotspots, root).awaitTermination()
     return streaming.current(spark, root, "path string, line int, label string, snippet string, ord int")
+
+
+@query()
+def scan_end_to_end(spark, d):
+    """Local and reported findings, verified, filtered, once each: the issues of a scan by type and severity."""
+    files = view(spark, d, "code_files")
+    reported = view(spark, d, "ai_found").withColumns({"status": F.lit("found"), "source": F.lit("ai")})
+    settings = scans.Settings(filters=policy.Filters(("d6/**",), ("duplicates",)), min_severity="low", allow=["hack in a"])
+    return score.count_by(scans.scan(files, settings, reported).issues, "type", "severity", "source")

@@ -18,10 +18,13 @@ def is_source(path: Column) -> Column:
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, ext, content) of the source files under root; paths are relative to it. The filter is on the path, so the
-    contents of other files are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    contents of other files are not read. Spark lists no hidden folders, so .github at the root is named."""
+    jvm = spark.sparkContext._jvm
+    workflows = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.github")
+    there = workflows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(workflows)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *[workflows.toString()] * there])
     base = raw.select(F.col("path").alias("uri"), "content")
-    prefix = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    prefix = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("uri", r"^[a-z]+:(?://[^/]*)?", ""), "^" + _escaped(prefix), "")
     rows = base.withColumn("path", path).where(is_source(path))
     return rows.select("path", X.extension(F.col("path")).alias("ext"), F.decode("content", "UTF-8").alias("content"))

@@ -133,6 +133,7 @@ PARAGRAPH = "A paragraph with a good number of words so that its window of lines
         (f"<main><p>{PARAGRAPH}</p><form>f<input></form><aside>s</aside><p>end</p></main>", f"{PARAGRAPH}\nend"),
         (f"<article><p>{PARAGRAPH}</p><article class='comment'><p>me too</p></article></article>", PARAGRAPH),
         (f"<ul><li><a href=a>one link</a></li><li><a href=b>two link</a></li></ul><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+        ("<div class='ad'>buy<article><p>kept</p></article>", "kept"), ("<article><p class=a<b>x</p><p>y <i>z", "x\ny z"),
         ("<body class='no-sidebar'><article><header><h1>Head</h1><span>by me</span></header><p>x</p></article>", "Head\nx"),
     ],
 )
@@ -140,6 +141,11 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_markup_takes_linear_time():
+    for page in ("<p>" + "<a " * 100_000, '<a "' * 50_000, "<a '<a \"" * 50_000, "<" * 200_000, "<!--" * 50_000, "<b>" * 20_000):
+        html.main_text(page)
+
+
 def test_surges():
     assert html.surges([0, 0, 50, 60, 0, 0, 0, 0, 10, 0], 80) == [(2, 4)]
     assert html.surges([10, 200, 5, 0, 0, 0, 1], 80)[0] == (0, 3)

@@ -139,3 +139,19 @@ def test_stream_scans_changes_only(spark, tmp_path):
     assert scanned == [["a", "b"], ["b", "c"]]
     got = {(r["path"], r["n"]) for r in streaming.current(spark, str(tmp_path / "state"), "path string, n int").collect()}
     assert got == {("a", 3), ("b", 5), ("c", 1)}
+
+
+def test_requests(spark):
+    from gneiss.plans import prompts
+
+    text = prompts.scan_request("MAP", [("a.py", "x = 1", True)], 1, 2, "be kind")
+    assert "MAP" in text and "- a.py (compressed)" in text and "x = 1" in text and "be kind" in text
+    assert "1. [high] bugs at a.py:3: d" in prompts.fix_request([{"severity": "high", "type": "bugs", "file": "a.py", "line": 3.0, "description": "d"}])
+
+    def call(t):
+        if t == "bad":
+            raise ValueError
+        return t.upper()
+
+    rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "chunk int, text string")
+    assert {r["chunk"]: r["raw"] for r in prompts.ask(rows, call).collect()} == {1: "OK", 2: None}

@@ -13,9 +13,10 @@ LEAST_CLAIM, LEAST_EVIDENCE = 10, 15
 
 
 def drop_local_duplicates(found: DataFrame, local: DataFrame) -> DataFrame:
-    """found without rows that a local finding of the same file and type has within three lines (both without a line: too)."""
+    """found without rows that a local finding of the same file and type has within three lines, or at the very same line
+    where that is missing or 0."""
     other = local.select(F.col("file").alias("_f"), F.col("type").alias("_t"), F.col("line").alias("_l"))
-    near = (F.abs(F.col("line") - F.col("_l")) <= NEAR_LINES) | (F.col("line").isNull() & F.col("_l").isNull())
+    near = ((F.col("line") != 0) & (F.abs(F.col("line") - F.col("_l")) <= NEAR_LINES)) | F.col("line").eqNullSafe(F.col("_l"))
     return found.join(other, (F.col("file") == F.col("_f")) & (F.col("type") == F.col("_t")) & near, "left_anti")
 
 
@@ -58,7 +59,7 @@ def correct_lines(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def has_evidence(description: Column, evidence: Column, line: Column, content: Column) -> Column:
     """Whether a claim about security has a basis near its line, or its quoted evidence anywhere in the file."""
-    start, n = _window(F.coalesce(line.cast("int"), F.lit(1)), EVIDENCE_LINES, EVIDENCE_LINES)
+    start, n = _window(F.coalesce(F.nullif(line.cast("int"), F.lit(0)), F.lit(1)), EVIDENCE_LINES, EVIDENCE_LINES)
     region = F.array_join(F.slice(X.lines(content), start + 1, F.greatest(n, F.lit(0))), "\n")
     flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
     quoted = X.normalized(evidence)

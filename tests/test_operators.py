@@ -103,8 +103,9 @@ def test_line_correction(spark):
 
 def test_band_of_local_findings(spark):
     local = issues(spark, {"line": 10})
-    found = issues(spark, {"line": 13}, {"line": 14}, {"line": None}, {"line": 10, "type": "lint"})
-    assert sorted(r["seq"] for r in verify.drop_local_duplicates(found, local).collect()) == [1, 2, 3]
+    found = issues(spark, {"line": 13}, {"line": 14}, {"line": None}, {"line": 10, "type": "lint"}, {"line": 0})
+    assert sorted(r["seq"] for r in verify.drop_local_duplicates(found, local).collect()) == [1, 2, 3, 4]
+    assert sorted(r["seq"] for r in verify.drop_local_duplicates(found, issues(spark, {}, {"line": 2})).collect()) == [0, 1, 3, 4]
 
 
 def test_cache(spark):

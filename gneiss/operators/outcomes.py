@@ -65,3 +65,30 @@ def choose_model(remaining: DataFrame, tier: str | None = None) -> DataFrame:
 
 def commit_messages(issues: DataFrame) -> DataFrame:
     return issues.select("seq", X.commit_message(F.col("type"), F.col("description")).alias("message"))
+
+
+# What tells how a repository is tested, in order: files at its root (any of them), a folder that must be
+# there too, the command. A package.json counts if it names a test script.
+TEST_COMMANDS = (
+    (("package.json",), None, "npm test"), (("Cargo.toml",), None, "cargo test"), (("go.mod",), None, "go test ./..."), (("pytest.ini", "pyproject.toml"), None, "python -m pytest"),
+    (("build.gradle", "build.gradle.kts"), None, "./gradlew test"), (("pom.xml",), None, "mvn test"), (("Gemfile",), "spec", "bundle exec rspec"), (("Gemfile",), "test", "bundle exec rake test"),
+    (("phpunit.xml", "phpunit.xml.dist"), None, "vendor/bin/phpunit"), (("mix.exs",), None, "mix test"), (("Makefile",), None, "make test"),
+)
+
+
+def commands_for_tests(files: DataFrame) -> DataFrame:
+    """(repo, command): the first way of testing that a repository's files show; empty if none. files: repo, path, content."""
+    script = F.get_json_object("content", "$.scripts.test")
+    scripted = F.coalesce(script.isNotNull() & (script != "") & ~script.contains("no test specified"), F.lit(False))
+    facts = []
+    for i, (names, folder, _) in enumerate(TEST_COMMANDS):
+        there = F.col("path").isin(*names) & (scripted if "package.json" in names else F.lit(True))
+        facts.append(F.bool_or(there).alias(f"_file{i}"))
+        if folder:
+            facts.append(F.bool_or(F.col("path").startswith(f"{folder}/") | (F.col("path") == folder)).alias(f"_folder{i}"))
+    rows = files.groupBy("repo").agg(*facts)
+    command: Column | None = None
+    for i, (_, folder, text) in enumerate(TEST_COMMANDS):
+        test = F.col(f"_file{i}") & F.col(f"_folder{i}") if folder else F.col(f"_file{i}")
+        command = F.when(test, text) if command is None else command.when(test, text)
+    return rows.select("repo", command.otherwise("").alias("command"))

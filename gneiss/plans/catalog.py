@@ -637,6 +637,24 @@ def attached_commits(spark, d):
     return outcomes.attach_commits(view(spark, d, "worked"), view(spark, d, "commits").where("ord % 7 = 0"))
 
 
+def _test_command_sql() -> str:
+    facts, cases = [], []
+    for i, (names, folder, text) in enumerate(outcomes.TEST_COMMANDS):
+        there = f"path IN ({', '.join(map(_q, names))})"
+        if "package.json" in names:
+            there += " AND coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.scripts.test') NOT LIKE '%no test specified%', false)"
+        facts.append(f"bool_or({there}) AS f{i}")
+        if folder:
+            facts.append(f"bool_or(path LIKE '{folder}/%') AS d{i}")
+        cases.append(f"WHEN f{i}{f' AND d{i}' if folder else ''} THEN {_q(text)}")
+    return f"SELECT repo, CASE {' '.join(cases)} ELSE '' END AS command FROM (SELECT repo, {', '.join(facts)} FROM markers GROUP BY repo)"
+
+
+@query(oracle_with("markers") + _test_command_sql())
+def test_command_of_repos(spark, d):
+    return outcomes.commands_for_tests(view(spark, d, "markers"))
+
+
 _RESOLVED = oracle_with("code_files") + f""", {_IMPORTS},
   cand AS (SELECT path, pos, spec, 0 AS ord, regexp_replace(spec, '\\.', '/', 'g') || '.py' AS candidate FROM imports WHERE NOT starts_with(spec, '.') UNION ALL
     SELECT path, pos, spec, 1, regexp_replace(spec, '\\.', '/', 'g') || '/__init__.py' FROM imports WHERE NOT starts_with(spec, '.') UNION ALL

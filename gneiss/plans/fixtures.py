@@ -67,6 +67,9 @@ VIEWS = {
       CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'fixed' ELSE 'unknown' END AS status, CASE WHEN event_id % 3 = 0 THEN 'too risky' ELSE '' END AS reason FROM (SELECT seq AS event_id, file, line FROM issues WHERE seq % 2 = 0)""",
     "worked": "SELECT CAST(seq % 40 AS INT) AS cluster_id, seq, file, line FROM issues WHERE seq % 3 <> 0",
     "commits": "SELECT seq AS ord, 'sha' || CAST(seq AS STRING) AS sha, file FROM issues WHERE seq % 4 = 0",
+    "markers": "SELECT p_size AS repo, "
+    + _case("p_partkey % 17", ("package.json", "README.md", "src/a.py", "b.txt", "c.txt", "spec/x.rb", "test/y.rb", "Gemfile", "Makefile", "d.txt", "mix.exs", "sub/pom.xml", "pom.xml", "go.mod", "e.txt", "f.txt", "phpunit.xml.dist"))
+    + """ AS path, CASE WHEN p_partkey % 34 = 0 THEN '{"scripts":{"test":"jest"}}' WHEN p_partkey % 17 = 0 THEN '{"scripts":{"test":"echo no test specified"}}' ELSE 'x' END AS content FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 17 > 4""",
     "answers": """SELECT event_id AS seq, CASE event_id % 8
         WHEN 0 THEN '{"issues":[{"type":"bugs","severity":"high","file":"a.ts","line":' || CAST(event_id AS STRING) || ',"description":"Null deref"},null,"text",{"type":"mega","severity":"odd","line":"42"}]}'
         WHEN 1 THEN 'Here it is: {"issues":[{"file":"b.py","line":3.5,"description":""}]} done'

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents that one bucket of a running total holds on average.
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

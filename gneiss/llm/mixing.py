@@ -38,14 +38,15 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEI
     return rated.select(source, "source_size", "weight", F.least("_cap", F.coalesce(fits["_rate"] * F.col("weight"), F.col("_cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix", size: str | None = None) -> DataFrame:
     """docs with _size, _source_size, _target, _taken (tokens the mix takes of this row, repeats counted).
 
     A source's budget is its target rounded to whole tokens. Every row is taken whole as often as the budget holds the
     source; what is left goes to rows in order of md5(seed:doc_id), then doc_id, then size, until the budget is met,
     the last row in part. Null text: size 0, taken 0. Null source: a source of its own. Repeated rows each count.
-    Empty table: no rows. Columns of docs named like the new ones are replaced."""
-    sized = docs.withColumn("_size", token_count(F.col(text)))
+    Empty table: no rows. Columns of docs named like the new ones are replaced. size: a column that has the tokens of a row
+    already; then no text is needed."""
+    sized = docs.withColumn("_size", F.col(size) if size else token_count(F.col(text)))
     sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
     totals = sized.groupBy(source).agg(F.sum("_size").alias("source_size"))
     targets = source_targets(totals, source, weights, share, most).select(F.col(source).alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import chosen_path, html, langid, mixing, ogg, order_minhash, packing, pii, sharding, suffixes
-from gneiss.llm.common import read
+from gneiss.llm.common import read, settle
 
 SHARDS = 40
 
@@ -67,7 +67,10 @@ FROM documents d
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = read(spark, sf_dir, "documents")
+    # Tokens are counted once; the sums and the cut then read a narrow table.
+    sizes = settle(docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens")), "tokens")
+    mixed = mixing.mix_sources(sizes, size="tokens")
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 

@@ -20,6 +20,8 @@ class Rule:
     severity: str
     description: str
     extensions: tuple[str, ...] = ()
+    #: A match holds one of these (any: none are known). They are looked for first, since that costs a fraction.
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -36,19 +38,19 @@ PY = (".py",)
 
 # The rules that match without help from a model, in their order.
 RULES = (
-    Rule("secret_assignment", r"(?i)(?:password|passwd|secret|api_key|apikey|auth_token)\s*[=:]\s*['\"][^'\"]{8,}['\"]", "security", "critical", "Hardcoded secret or password"),
-    Rule("token_literal", r"['\"](?:sk[-_]|pk[-_]|key[-_]|ghp_|gho_|ghs_|github_pat_|glpat-|xox[bpsar]-|AKIA)[A-Za-z0-9_\-]{16,}['\"]", "security", "critical", "Hardcoded API key or token"),
-    Rule("eval_input", r"(?i)\beval\s*\([^)]*(?:req|request|input|user|data|param|query|body)", "security", "critical", "eval() called on user-controlled input"),
-    Rule("exec_input", r"(?i)\bexec\s*\([^)]*(?:req|request|input|user|data|param|query|body)", "security", "critical", "exec() called on user-controlled input", PY),
-    Rule("raw_html", r"\bdangerouslySetInnerHTML\b", "security", "high", "dangerouslySetInnerHTML usage — verify input is sanitized", (".tsx", ".jsx", ".js", ".ts")),
-    Rule("os_system", r"\bos\.system\s*\(", "security", "high", "os.system() is vulnerable to shell injection — use subprocess with shell=False", PY),
-    Rule("todo_marker", r"\b(?:TODO|FIXME|HACK|XXX)\b[:\s]*.{0,80}", "stubs", "medium", "TODO/FIXME marker"),
-    Rule("not_implemented_py", r"raise\s+NotImplementedError", "stubs", "medium", "NotImplementedError — stub implementation", PY),
-    Rule("not_implemented_js", r"(?i)throw\s+new\s+Error\s*\(\s*['\"]not\s+implemented", "stubs", "medium", 'Stub: throws "not implemented"', SCRIPT),
-    Rule("console_log", r"\bconsole\.log\s*\(", "lint", "low", "console.log() left in code", SCRIPT),
-    Rule("debugger", r"\bdebugger\b", "lint", "medium", "debugger statement left in code", SCRIPT),
-    Rule("explicit_any", r":\s*any\b", "types", "medium", "Explicit `any` type — consider using a specific type", TS),
-    Rule("as_any", r"\bas\s+any\b", "types", "medium", "Unsafe cast to `any` — consider using a specific type", TS),
+    Rule("secret_assignment", r"(?i)(?:password|passwd|secret|api_key|apikey|auth_token)\s*[=:]\s*['\"][^'\"]{8,}['\"]", "security", "critical", "Hardcoded secret or password", needs=("password", "passwd", "secret", "api_key", "apikey", "auth_token")),
+    Rule("token_literal", r"['\"](?:sk[-_]|pk[-_]|key[-_]|ghp_|gho_|ghs_|github_pat_|glpat-|xox[bpsar]-|AKIA)[A-Za-z0-9_\-]{16,}['\"]", "security", "critical", "Hardcoded API key or token", needs=("sk", "pk", "key", "gh", "github", "glpat", "xox", "AKIA")),
+    Rule("eval_input", r"(?i)\beval\s*\([^)]*(?:req|request|input|user|data|param|query|body)", "security", "critical", "eval() called on user-controlled input", needs=("eval",)),
+    Rule("exec_input", r"(?i)\bexec\s*\([^)]*(?:req|request|input|user|data|param|query|body)", "security", "critical", "exec() called on user-controlled input", PY, needs=("exec",)),
+    Rule("raw_html", r"\bdangerouslySetInnerHTML\b", "security", "high", "dangerouslySetInnerHTML usage — verify input is sanitized", (".tsx", ".jsx", ".js", ".ts"), needs=("dangerouslySetInnerHTML",)),
+    Rule("os_system", r"\bos\.system\s*\(", "security", "high", "os.system() is vulnerable to shell injection — use subprocess with shell=False", PY, needs=("os.system",)),
+    Rule("todo_marker", r"\b(?:TODO|FIXME|HACK|XXX)\b[:\s]*.{0,80}", "stubs", "medium", "TODO/FIXME marker", needs=("TODO", "FIXME", "HACK", "XXX")),
+    Rule("not_implemented_py", r"raise\s+NotImplementedError", "stubs", "medium", "NotImplementedError — stub implementation", PY, needs=("NotImplementedError",)),
+    Rule("not_implemented_js", r"(?i)throw\s+new\s+Error\s*\(\s*['\"]not\s+implemented", "stubs", "medium", 'Stub: throws "not implemented"', SCRIPT, needs=("implemented",)),
+    Rule("console_log", r"\bconsole\.log\s*\(", "lint", "low", "console.log() left in code", SCRIPT, needs=("console.log",)),
+    Rule("debugger", r"\bdebugger\b", "lint", "medium", "debugger statement left in code", SCRIPT, needs=("debugger",)),
+    Rule("explicit_any", r":\s*any\b", "types", "medium", "Explicit `any` type — consider using a specific type", TS, needs=("any",)),
+    Rule("as_any", r"\bas\s+any\b", "types", "medium", "Unsafe cast to `any` — consider using a specific type", TS, needs=("any",)),
 )
 
 
@@ -60,6 +62,7 @@ class Hotspot:
     pattern: str
     extensions: tuple[str, ...] = ()
     other: str | None = None
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -72,27 +75,27 @@ class Hotspot:
 
 # Lines worth a look, in their order.
 HOTSPOTS = (
-    Hotspot("EVAL", r"\beval\s*\("),
-    Hotspot("EXEC", r"\bexec\s*\("),
-    Hotspot("SHELL", r"\bos\.system\s*\(", PY),
-    Hotspot("SUBPROCESS", r"\bsubprocess", PY),
-    Hotspot("CHILD_PROC", r"\bchild_process", (".ts", ".js")),
-    Hotspot("RAW_HTML", r"dangerouslySetInnerHTML", (".tsx", ".jsx")),
-    Hotspot("RAW_HTML", r"innerHTML\s*="),
-    Hotspot("SQL_FSTRING", r"(?i)f[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)\b", PY),
-    Hotspot("SQL_TEMPLATE", r"(?i)`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", (".ts", ".js")),
-    Hotspot("RAW_QUERY", r"\.raw\s*\(|\.execute\s*\("),
-    Hotspot("EMPTY_EXCEPT", r"except\s*(?:\w+\s*)?:\s*(?:pass|\.\.\.)\s*$", PY),
-    Hotspot("EMPTY_CATCH", r"catch\s*\([^)]*\)\s*\{\s*\}"),
-    Hotspot("HARDCODED_SECRET", r"(?:password|secret|api_key|token)\s*[=:]\s*['\"][^'\"]{6,}"),
-    Hotspot("STUB", r"\bTODO\b|\bFIXME\b|\bHACK\b|\bXXX\b"),
-    Hotspot("NOT_IMPL", r"(?i)NotImplementedError|not.implemented"),
-    Hotspot("ANY_TYPE", r":\s*any\b|as\s+any\b", TS),
-    Hotspot("TYPE_IGNORE", r"type:\s*ignore", PY),
-    Hotspot("CONSOLE_LOG", r"console\.log\s*\(", SCRIPT),
+    Hotspot("EVAL", r"\beval\s*\(", needs=("eval",)),
+    Hotspot("EXEC", r"\bexec\s*\(", needs=("exec",)),
+    Hotspot("SHELL", r"\bos\.system\s*\(", PY, needs=("os.system",)),
+    Hotspot("SUBPROCESS", r"\bsubprocess", PY, needs=("subprocess",)),
+    Hotspot("CHILD_PROC", r"\bchild_process", (".ts", ".js"), needs=("child_process",)),
+    Hotspot("RAW_HTML", r"dangerouslySetInnerHTML", (".tsx", ".jsx"), needs=("dangerouslySetInnerHTML",)),
+    Hotspot("RAW_HTML", r"innerHTML\s*=", needs=("innerHTML",)),
+    Hotspot("SQL_FSTRING", r"(?i)f[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)\b", PY, needs=("f\"", "f'")),
+    Hotspot("SQL_TEMPLATE", r"(?i)`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", (".ts", ".js"), needs=("`",)),
+    Hotspot("RAW_QUERY", r"\.raw\s*\(|\.execute\s*\(", needs=(".raw", ".execute")),
+    Hotspot("EMPTY_EXCEPT", r"except\s*(?:\w+\s*)?:\s*(?:pass|\.\.\.)\s*$", PY, needs=("except",)),
+    Hotspot("EMPTY_CATCH", r"catch\s*\([^)]*\)\s*\{\s*\}", needs=("catch",)),
+    Hotspot("HARDCODED_SECRET", r"(?:password|secret|api_key|token)\s*[=:]\s*['\"][^'\"]{6,}", needs=("password", "secret", "api_key", "token")),
+    Hotspot("STUB", r"\bTODO\b|\bFIXME\b|\bHACK\b|\bXXX\b", needs=("TODO", "FIXME", "HACK", "XXX")),
+    Hotspot("NOT_IMPL", r"(?i)NotImplementedError|not.implemented", needs=("implemented",)),
+    Hotspot("ANY_TYPE", r":\s*any\b|as\s+any\b", TS, needs=("any",)),
+    Hotspot("TYPE_IGNORE", r"type:\s*ignore", PY, needs=("ignore",)),
+    Hotspot("CONSOLE_LOG", r"console\.log\s*\(", SCRIPT, needs=("console.log",)),
     # A print( with no file= after it: that is the last one of the line.
-    Hotspot("PRINT", r"\bprint\s*\((?!.*file\s*=)", PY),
-    Hotspot("DEBUGGER", r"\bdebugger\b", SCRIPT),
+    Hotspot("PRINT", r"\bprint\s*\((?!.*file\s*=)", PY, needs=("print",)),
+    Hotspot("DEBUGGER", r"\bdebugger\b", SCRIPT, needs=("debugger",)),
 )
 
 # Signatures by file kind; the first that matches a line (without leading white space) wins. name, params

@@ -19,6 +19,15 @@ def gated(ext: Column, extensions: tuple[str, ...]) -> Column:
     return ext.isin(*extensions) if extensions else F.lit(True)
 
 
+def may_match(text: Column, low: Column, pattern: str, needs: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words that a match of the pattern must hold. low: the text in lower case."""
+    out: Column | None = None
+    for word in needs:
+        there = low.contains(word.lower()) if pattern.startswith("(?i)") else text.contains(word)
+        out = there if out is None else out | there
+    return F.lit(True) if out is None else out
+
+
 def scan_rules(files: DataFrame, rules: tuple[R.Rule, ...] = R.RULES) -> DataFrame:
     """Issues of the regex rules. files: path, ext, content.
 
@@ -29,10 +38,10 @@ def scan_rules(files: DataFrame, rules: tuple[R.Rule, ...] = R.RULES) -> DataFra
     found = F.array(*[
         F.struct(
             F.lit(i).alias("rule_ord"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"),
-            F.when(gated(F.col("ext"), r.extensions) & F.col("content").rlike(r.java), X.regex_matches(F.col("content"), r.java)).otherwise(empty).alias("matches"),
+            F.when(gated(F.col("ext"), r.extensions) & may_match(F.col("content"), F.col("_low"), r.pattern, r.needs) & F.col("content").rlike(r.java), X.regex_matches(F.col("content"), r.java)).otherwise(empty).alias("matches"),
         ) for i, r in enumerate(rules)
     ])
-    hits = files.select("path", "content", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
+    hits = files.withColumn("_low", F.lower("content")).select("path", "content", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
     rows = hits.select("path", "content", "r.rule_ord", "r.type", "r.severity", "r.description", F.posexplode("r.matches").alias("match_ord", "m"))
     rows = rows.withColumn("line", X.line_of(F.col("content"), F.col("m.at")))
     rows = rows.where(~F.get(X.lines(F.col("content")), F.col("line") - 1).rlike(r"^\s*(?://|#|\*)"))
@@ -45,9 +54,17 @@ def flagged_files(issues: DataFrame) -> DataFrame:
 
 
 def hotspots(files: DataFrame) -> DataFrame:
-    """(path, line, label, snippet): the first pattern of a label that a line matches."""
-    rows = files.select("path", "ext", F.posexplode(X.lines(F.col("content"))).alias("n", "text"))
-    labels = F.array(*[F.when(gated(F.col("ext"), h.extensions) & F.col("text").rlike(h.java), F.struct(F.lit(h.label).alias("label"), F.lit(i).alias("ord"))) for i, h in enumerate(R.HOTSPOTS)])
+    """(path, line, label, snippet): the first pattern of a label that a line matches. Files that hold no word of any
+    pattern are not taken apart, and a line is matched only against patterns that it holds a word of."""
+    low = files.select("path", "ext", "content", F.lower("content").alias("low"))
+    any_word = None
+    for h in R.HOTSPOTS:
+        one = gated(F.col("ext"), h.extensions) & may_match(F.col("content"), F.col("low"), h.pattern, h.needs)
+        any_word = one if any_word is None else any_word | one
+    # The test stays with the explode: as a filter it would be pushed into whatever makes the contents, once per word.
+    lines = F.posexplode_outer(F.when(any_word, X.lines(F.col("content")))).alias("n", "text")
+    rows = low.select("path", "ext", lines).where("n is not null").withColumn("low", F.lower("text"))
+    labels = F.array(*[F.when(gated(F.col("ext"), h.extensions) & may_match(F.col("text"), F.col("low"), h.pattern, h.needs) & F.col("text").rlike(h.java), F.struct(F.lit(h.label).alias("label"), F.lit(i).alias("ord"))) for i, h in enumerate(R.HOTSPOTS)])
     hits = rows.select("path", "n", "text", F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("h"))
     first = hits.groupBy("path", "n", "text", F.col("h.label").alias("label")).agg(F.min("h.ord").alias("ord"))
     return first.select("path", (F.col("n") + 1).alias("line"), "label", F.substring(X.trimmed(F.col("text")), 1, 80).alias("snippet"), "ord")

@@ -192,8 +192,9 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
     paths = rows.select("name", "paths")
     sketches = rows.select("name", "sketch")
     for level in range(DEPTH):
-        # One shuffle by key serves the counts, the join with them and the copies of a set.
-        keys = _level(paths, level).repartition("key").distinct()
+        # Copies of a set meet by key and set, counts are summed before they meet by key, and Spark can split the join's
+        # large keys: a token that a third of all sets chose is no hot group.
+        keys = settle(_level(paths, level).distinct(), f"paths{level}")
         counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = settle(keys.join(counts, "key"), f"met{level}")
         last = level == DEPTH - 1

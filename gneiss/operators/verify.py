@@ -92,9 +92,10 @@ def verify(found: DataFrame, local: DataFrame, files: DataFrame) -> DataFrame:
     return require_evidence(correct_lines(in_known_files(drop_local_duplicates(found, local), files), files), files).drop("content_verified")
 
 
-def keep_real(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+def keep_real(found: DataFrame, verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows whose (batch, index) a verdict calls real; a row without a verdict goes."""
-    return found.join(verdicts.where("is_real").select("batch", "index"), ["batch", "index"], "left_semi")
+    by = by or ["batch", "index"]
+    return found.join(verdicts.where("is_real").select(*by), by, "left_semi")
 
 
 def suspicious_files(found: DataFrame, most: int = 5) -> DataFrame:

@@ -366,7 +366,8 @@ def source_paths(spark, d):
 @query(oracle_with("code_files") + "SELECT path FROM code_files WHERE id % 3 = 0 AND id % 2 = 0")
 def changed_scope(spark, d):
     files = view(spark, d, "code_files")
-    changes = files.where("id % 3 = 0").select("path", F.when(F.col("id") % 2 == 0, "modified").otherwise("removed").alias("status"))
+    path = F.when(F.col("id") % 3 == 0, F.col("path")).otherwise(F.concat(F.lit("gone/"), "path"))
+    changes = files.select(path.alias("path"), F.when(F.col("id") % 2 == 0, "modified").otherwise("removed").alias("status"))
     return sources.scope(files, changes).select("path")
 
 
@@ -415,11 +416,10 @@ def _score_sql(total: str) -> str:
     return f"CAST(least(100, greatest(0, floor(100.0::DOUBLE - {total} + 0.5::DOUBLE))) AS INT)"
 
 
-@query(oracle_with("issues") + f"SELECT dir, {_score_sql('sum(p)')} AS score_before, {_score_sql('coalesce(sum(p) FILTER (status <> ' + _q('fixed') + '), 0)')} AS score_after FROM (SELECT type AS dir, {_PENALTY} AS p, status FROM issues WHERE seq < 40) GROUP BY dir")
+@query(oracle_with("issues") + f"SELECT dir, {_score_sql('sum(p)')} AS score_before, {_score_sql('coalesce(sum(p) FILTER (status <> ' + _q('fixed') + '), 0)')} AS score_after FROM (SELECT file AS dir, {_PENALTY} AS p, status FROM issues) GROUP BY dir")
 def score_changes(spark, d):
-    some = view(spark, d, "issues").where("seq < 40")
     p = score.penalty(F.col("severity"))
-    return some.groupBy(F.col("type").alias("dir")).agg(score.score_of(F.sum(p)).alias("score_before"), score.score_of(F.coalesce(F.sum(F.when(F.col("status") != "fixed", p)), F.lit(0))).alias("score_after"))
+    return view(spark, d, "issues").groupBy(F.col("file").alias("dir")).agg(score.score_of(F.sum(p)).alias("score_before"), score.score_of(F.coalesce(F.sum(F.when(F.col("status") != "fixed", p)), F.lit(0))).alias("score_after"))
 
 
 @query(oracle_with("issues") + f"SELECT {_score_sql(f'sum({_PENALTY})')} AS score_before, {_score_sql(f'coalesce(sum({_PENALTY}) FILTER (status <> {_q("fixed")}), 0)')} AS score_after FROM issues")
@@ -594,12 +594,14 @@ def verified_findings(spark, d):
     return verify.verify(view(spark, d, "ai_found"), detect.scan_rules(files), files).select("seq", "file", "line", "type", "severity")
 
 
-@query(oracle_with("issues") + "SELECT seq FROM (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS n FROM issues WHERE seq < 400) WHERE n % 3 = 0 AND n % 5 <> 0")
+@query(oracle_with("issues") + "SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS n FROM issues) WHERE n % 3 = 0 AND n % 5 <> 0")
 def real_verdicts(spark, d):
-    rows = score.batches(view(spark, d, "issues").where("seq < 400"), ["seq"], 8)
+    rows = score.batches(view(spark, d, "issues"), ["seq"], 8, ["file"])
     place = F.col("batch") * 8 + F.col("index")
-    verdicts = rows.where(place % 5 != 0).select("batch", "index", (place % 3 == 0).alias("is_real"))
-    return verify.keep_real(rows, verdicts).select("seq")
+    # A verdict that names no issue of its batch, and some that are not real.
+    index = F.when(place % 5 == 0, F.col("index") + 8).otherwise(F.col("index"))
+    verdicts = rows.select("file", "batch", index.alias("index"), (place % 3 == 0).alias("is_real"))
+    return verify.keep_real(rows, verdicts, ["file", "batch", "index"]).select("seq")
 
 
 @query(oracle_with("ai_found") + "SELECT file FROM (SELECT file, min(seq) AS s FROM ai_found GROUP BY file ORDER BY s, file LIMIT 5)")
@@ -620,21 +622,21 @@ def matched_results(spark, d):
 
 @query(
     oracle_with("worked", "results")
-    + """, ch AS (SELECT DISTINCT cluster_id, file FROM results WHERE status = 'unknown' AND cluster_id < 30), m AS (SELECT w.*, ch.file IS NOT NULL AS c FROM worked w LEFT JOIN ch ON w.cluster_id = ch.cluster_id AND w.file = ch.file)
+    + """, ch AS (SELECT DISTINCT cluster_id, file FROM results WHERE status = 'fixed'), m AS (SELECT w.*, ch.file IS NOT NULL AS c FROM worked w LEFT JOIN ch ON w.cluster_id = ch.cluster_id AND w.file = ch.file)
     SELECT cluster_id, seq, file, CASE WHEN c THEN 'fixed' ELSE 'skipped' END AS status, CASE WHEN NOT c THEN 'Agent did not modify this file' END AS skip_reason FROM m WHERE cluster_id IN (SELECT cluster_id FROM m WHERE c)"""
 )
 def inferred_from_changes(spark, d):
-    changed = view(spark, d, "results").where("status = 'unknown' and cluster_id < 30").select("cluster_id", "file")
+    changed = view(spark, d, "results").where("status = 'fixed'").select("cluster_id", "file")
     return outcomes.infer_from_changes(view(spark, d, "worked"), changed)
 
 
 @query(
     oracle_with("worked", "commits")
-    + """, f AS (SELECT file, arg_min(sha, ord) AS commit_sha FROM commits WHERE ord % 7 = 0 GROUP BY file)
+    + """, f AS (SELECT file, arg_min(sha, ord) AS commit_sha FROM commits GROUP BY file)
     SELECT seq, w.file, CASE WHEN commit_sha IS NULL THEN 'skipped' ELSE 'fixed' END AS status, CASE WHEN commit_sha IS NULL THEN 'Cherry-pick conflict — fix lost' END AS skip_reason, commit_sha FROM worked w LEFT JOIN f ON w.file = f.file"""
 )
 def attached_commits(spark, d):
-    return outcomes.attach_commits(view(spark, d, "worked"), view(spark, d, "commits").where("ord % 7 = 0"))
+    return outcomes.attach_commits(view(spark, d, "worked"), view(spark, d, "commits"))
 
 
 def _test_command_sql() -> str:
@@ -742,9 +744,9 @@ def chunk_halves(spark, d):
 # ---- sets and semi-structured ----------------------------------------------------------------------------------------
 
 
-@query(oracle_with("issues", "ai_found") + "SELECT file, line, type, 0 AS src_rank FROM issues WHERE source = 'local' UNION ALL SELECT file, line, type, 1 FROM ai_found WHERE seq < 3000")
+@query(oracle_with("issues", "ai_found") + "SELECT file, line, type, 0 AS src_rank FROM issues UNION ALL SELECT file, line, type, 1 FROM ai_found")
 def union_findings(spark, d):
-    return findings.union_findings(view(spark, d, "issues").where("source = 'local'"), view(spark, d, "ai_found").where("seq < 3000")).select("file", "line", "type", "src_rank")
+    return findings.union_findings(view(spark, d, "issues"), view(spark, d, "ai_found")).select("file", "line", "type", "src_rank")
 
 
 @query(oracle_with("doc_files", "cache") + "SELECT path FROM doc_files EXCEPT SELECT path FROM cache")

@@ -15,7 +15,7 @@ LINES = (
     "// TODO in a comment", "# FIXME in a comment", "* HACK in a block", "/* XXX not skipped */", "function run(a, b) {", "export const go = (x: number): string => {",
     "export function typed(a: string): number {", "const plain = (a) => a", "def f(a, b) -> int:", "class Thing(Base):", "", "    indented text", "import { Foo, Bar as Baz, Q } from ~./m1~",
     "import React from ~react~", "import Unused from ~../d1/m8~", "Foo(Baz)", "print(x, file=y); print(z)", "except Exception: pass", "catch (e) {}", "x = f~SELECT a FROM b~",
-    "äTODO umlaut", "from d3.m3 import name", "import os.path", "func (r Recv) Do(a int) error {", "type T struct {", "const c = require(~./m9.ts~)", "db.execute(q)",
+    "äTODO umlaut", "from d1.m8 import name", "import os.path", "func (r Recv) Do(a int) error {", "type T struct {", "const c = require(~./m9.ts~)", "db.execute(q)",
     'import "net/http"', "public static int add(int a) {", "fun go(a: Int): String {", "pub fn run(a: i32) -> u8 {", "pub struct S {", "subprocess.run(a)  # type: ignore", "el.innerHTML = x",
 )
 EXTENSIONS = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".java", ".rs")
@@ -52,9 +52,8 @@ VIEWS = {
       o_orderkey * 977 AS duration_ms FROM orders""",
     "history": """SELECT CAST(o_orderkey AS INT) AS run, CAST(o_custkey % 101 AS INT) AS score, CAST(o_orderkey % 101 AS INT) AS score_before, CAST(o_custkey % 13 AS INT) AS fixed,
       CAST(o_orderkey % 5 + 1 AS INT) AS passes, CASE WHEN o_orderkey % 2 = 0 THEN 'alpha' ELSE 'beta' END AS agent, CAST(o_orderdate AS DATE) AS date FROM orders""",
-    "cache": """SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE substr(sha256_of(content), 1, 16) END AS hash,
-      CASE doc_id % 4 WHEN 0 THEN 'deep' WHEN 3 THEN NULL ELSE 'fingerprint' END AS strategy, CAST(doc_id % 3 AS INT) AS n_issues FROM doc_files WHERE doc_id % 5 <> 0
-      UNION ALL SELECT 'gone/old.py', 'x', 'deep', 1""",
+    "cache": """SELECT CASE WHEN doc_id % 5 = 0 THEN 'gone/' || path ELSE path END AS path, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE substr(sha256_of(content), 1, 16) END AS hash,
+      CASE doc_id % 4 WHEN 0 THEN 'deep' WHEN 3 THEN NULL ELSE 'fingerprint' END AS strategy, CAST(doc_id % 3 AS INT) AS n_issues FROM doc_files""",
     "ai_found": """SELECT event_id AS seq, 'd' || CAST(event_id % 7 AS STRING) || '/m' || CAST(event_id % 200 AS STRING) || ext_of AS file, CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(event_id % 14 + 1 AS INT) END AS line,
       type_of AS type, severity_of AS severity, CASE event_id % 6 WHEN 0 THEN 'Hardcoded password' WHEN 1 THEN 'Possible XSS' WHEN 2 THEN 'SQL injection risk' WHEN 3 THEN 'Logs a token' WHEN 4 THEN 'Command injection' ELSE 'Odd' END AS description,
       CASE event_id % 5 WHEN 0 THEN 'os.system(cmd)   ' WHEN 1 THEN 'no such evidence anywhere' ELSE NULL END AS evidence,
@@ -63,13 +62,13 @@ VIEWS = {
     "usage": "SELECT model, CAST(o_orderdate AS DATE) AS date, requests_used FROM (SELECT "
     + _case("o_orderkey % 6", (*(m[0] for m in R.MODELS), "other/model"))
     + " AS model, o_orderdate, CAST(o_custkey % 9 AS INT) AS requests_used FROM orders)",
-    "results": """SELECT CAST(event_id % 40 AS INT) AS cluster_id, event_id AS ord, file, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 0 ELSE line END AS line,
-      CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'fixed' ELSE 'unknown' END AS status, CASE WHEN event_id % 3 = 0 THEN 'too risky' ELSE '' END AS reason FROM (SELECT seq AS event_id, file, line FROM issues WHERE seq % 2 = 0)""",
-    "worked": "SELECT CAST(seq % 40 AS INT) AS cluster_id, seq, file, line FROM issues WHERE seq % 3 <> 0",
-    "commits": "SELECT seq AS ord, 'sha' || CAST(seq AS STRING) AS sha, file FROM issues WHERE seq % 4 = 0",
+    "results": """SELECT CAST(event_id % 40 AS INT) AS cluster_id, event_id AS ord, CASE WHEN event_id % 2 = 0 THEN file ELSE 'other/' || file END AS file, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 0 ELSE line END AS line,
+      CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'fixed' ELSE 'unknown' END AS status, CASE WHEN event_id % 3 = 0 THEN 'too risky' ELSE '' END AS reason FROM (SELECT seq AS event_id, file, line FROM issues)""",
+    "worked": "SELECT CAST(seq % 40 AS INT) AS cluster_id, seq, file, line FROM issues",
+    "commits": "SELECT seq AS ord, 'sha' || CAST(seq AS STRING) AS sha, CASE WHEN seq % 28 = 0 THEN file ELSE 'other/' || file END AS file FROM issues",
     "markers": "SELECT p_size AS repo, "
     + _case("p_partkey % 17", ("package.json", "README.md", "src/a.py", "b.txt", "c.txt", "spec/x.rb", "test/y.rb", "Gemfile", "Makefile", "d.txt", "mix.exs", "sub/pom.xml", "pom.xml", "go.mod", "e.txt", "f.txt", "phpunit.xml.dist"))
-    + """ AS path, CASE WHEN p_partkey % 34 = 0 THEN '{"scripts":{"test":"jest"}}' WHEN p_partkey % 17 = 0 THEN '{"scripts":{"test":"echo no test specified"}}' ELSE 'x' END AS content FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 17 > 4""",
+    + """ AS path, CASE WHEN p_partkey % 34 = 0 THEN '{"scripts":{"test":"jest"}}' WHEN p_partkey % 17 = 0 THEN '{"scripts":{"test":"echo no test specified"}}' ELSE 'x' END AS content FROM part""",
     "answers": """SELECT event_id AS seq, CASE event_id % 8
         WHEN 0 THEN '{"issues":[{"type":"bugs","severity":"high","file":"a.ts","line":' || CAST(event_id AS STRING) || ',"description":"Null deref"},null,"text",{"type":"mega","severity":"odd","line":"42"}]}'
         WHEN 1 THEN 'Here it is: {"issues":[{"file":"b.py","line":3.5,"description":""}]} done'
@@ -82,8 +81,8 @@ VIEWS = {
     "stream_lines": """SELECT CAST(event_id % 50 AS INT) AS run, event_id AS seq, CASE event_id % 5
         WHEN 0 THEN '{"type":"assistant","message":{"content":[{"type":"text","text":"see \\"results\\": ' || CAST(event_id AS STRING) || '"}]}}'
         WHEN 1 THEN '{"type":"assistant","message":{"content":[{"type":"tool_use","name":"x"}]}}'
-        WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN '{"type":"result","result":"final ' || CAST(event_id AS STRING) || '"}' ELSE '{"type":"system"}' END
-        WHEN 3 THEN 'not json' ELSE '' END AS line FROM events WHERE event_id % 50 < 40 OR event_id % 5 <> 2""",
+        WHEN 2 THEN CASE WHEN event_id % 3 = 0 AND event_id % 50 < 40 THEN '{"type":"result","result":"final ' || CAST(event_id AS STRING) || '"}' ELSE '{"type":"system"}' END
+        WHEN 3 THEN 'not json' ELSE '' END AS line FROM events""",
 }
 #: What a view is made of.
 NEEDS = {"cache": ("doc_files",), "results": ("issues",), "worked": ("issues",), "commits": ("issues",)}

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import buckets_for, running_total, settle
+from gneiss.llm.common import CACHES, buckets_for, running_total, settle
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at least since it last made room; twice as many at most.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -166,6 +166,9 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
+CACHES.append(word_encoder.cache_clear)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. A document is its ids and then `end`; only a longer one
     than capacity is cut, into pieces of that length. Null and empty texts: one piece with `end` alone."""

@@ -23,7 +23,7 @@ KINDS = BASE + ADDED
 #: Tokens of an entity at most, and characters of text on either side of a trigger that the model sees.
 LONGEST, AROUND = 20, 60
 #: Sentences that the weights are learned from (generated here, the same each time), and passes over them.
-SENTENCES, PASSES = 700, 4
+SENTENCES, PASSES = 400, 3
 
 # Base patterns, written so that they take linear time: a run that fails is not tried again from its inside, where it
 # would fail too, and an address is looked for from its @.

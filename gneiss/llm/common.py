@@ -61,21 +61,27 @@ def hex_bucket(key: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int")
 
 
-def running_total(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, buckets: int) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, buckets: int, facts: DataFrame | None = None) -> DataFrame:
     """`out`: the sum of `value` over rows of the same group that come earlier by (key, ties).
 
     key is a hex digest; its ranges are the buckets, so a hot group is dealt over all of them. Each bucket is summed
     first (partial sums before the shuffle), the bucket sums get prefix sums, and the rows add theirs within a bucket.
-    Rows equal in group, key and ties may take each other's place."""
-    rows = df.withColumn("_bucket", hex_bucket(F.col(key), buckets))
-    by = [*group, "_bucket"]
+    Rows equal in group, key and ties may take each other's place. facts: a row per group, whose other columns are added;
+    they travel with the bucket sums, so the rows move once."""
+    # Groups by columns that are never null: the windows and the join then share one partitioning, so rows move once.
+    keys = {f"_v{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(group)} | {f"_z{i}": F.col(c).isNull() for i, c in enumerate(group)}
+    added = [c for c in facts.columns if c not in group] if facts is not None else []
+    rows = df.withColumns({**keys, "_bucket": hex_bucket(F.col(key), buckets)})
+    by = [*keys, "_bucket"]
     sums = rows.groupBy(*by).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    if facts is not None:
+        starts = starts.join(facts.withColumns(keys).select(*keys, *added), [*keys], "left")
     inside = Window.partitionBy(*by).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    met = placed.join(starts, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], "left")
-    return met.withColumn(out, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_start", "_inside", *[f"_g{i}" for i in range(len(by))])
+    met = placed.join(starts, by, "left")
+    return met.select(*df.columns, *added, (F.col("_start") + F.col("_inside")).cast("long").alias(out))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -49,13 +49,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     sized = docs.withColumn("_size", F.col(size) if size else token_count(F.col(text)))
     sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
     totals = sized.groupBy(source).agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(totals, source, weights, share, most).select(F.col(source).alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    placed = running_total(sized, [source], "_key", [doc_id, "_size"], "_size", "_before", buckets_for(docs.count()))
-    met = placed.join(targets, F.col(source).eqNullSafe(F.col("_source")), "left")
+    targets = source_targets(totals, source, weights, share, most).select(source, F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    sized = sized.drop("_source_size", "_target")
+    met = running_total(sized, [source], "_key", [doc_id, "_size"], "_size", "_before", buckets_for(docs.count()), targets)
     budget = F.floor(F.col("_target") + 0.5)
     whole = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(F.lit(0))
     cut = F.greatest(F.lit(0), F.least(F.col("_size"), budget - whole * F.col("_source_size") - F.col("_before")))
-    return met.withColumn("_taken", (whole * F.col("_size") + cut).cast("long")).drop("_source", "_key", "_before")
+    return met.withColumn("_taken", (whole * F.col("_size") + cut).cast("long")).drop("_key", "_before")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

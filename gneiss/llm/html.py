@@ -42,43 +42,72 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+#: Surroundings that may well hold more text than the article does.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Shares of the text above which what looks like surroundings is the page itself: if never closed or a form, and else.
+OPEN_SHARE, CLOSED_SHARE = 1 / 2, 3 / 4
+
+
 @dataclass
 class Line:
-    """The text of one block; chars in links; whether it belongs to what surrounds an article; its article's number (0: none)."""
+    """The text of one block; chars in links; number of the innermost element; whether a header around it leaves it out."""
 
     text: str
     linked: int
-    around: bool
-    article: int
+    element: int
+    left_out: bool
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {(m[1] or m[5]).lower(): next((x for x in m.group(2, 3, 4) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
+@dataclass
+class Element:
+    """An element that ends lines or surrounds; number 0 is the page.
+
+    surrounds: by its tag or (named) its attributes; kind: 3 article, 2 main, 1 by name, 0 none; closed: by its own end."""
 
+    tag: str
+    parent: int
+    surrounds: bool = False
+    named: bool = False
+    comments: bool = False
+    kind: int = 0
+    closed: bool = False
 
-def _surrounds(tag: str, raw: str, in_article: bool, by_name: bool) -> bool:
-    if tag == "header" and in_article:
-        return False
-    if tag in AROUND_TAGS:
-        return True
-    if not raw or not by_name or tag in ("html", "body", "main") or tag in HEADINGS:
-        return False
-    a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in AROUND_ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    names = {w.lower() for w in _WORD.split(f"{a.get('class', '')} {a.get('id', '')}") if w}
-    found = names & AROUND_NAMES
-    return bool(found) and not (found <= {"header"} and in_article)
 
+def _attributes(raw: str) -> dict[str, str]:
+    return {(m[1] or m[5]).lower(): next((x for x in m.group(2, 3, 4) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
 
-def lines_of(page: str, by_name: bool = True) -> list[Line]:
-    """The page as lines, one per block, in page order; markup, comments and raw elements are gone, references decoded.
 
-    by_name: whether classes, ids and roles tell what surrounds an article, and not only elements."""
+def _names(a: dict[str, str]) -> set[str]:
+    return {w.lower() for w in _WORD.split(f"{a.get('class', '')} {a.get('id', '')}") if w}
+
+
+def _element(tag: str, raw: str, parent: int, in_article: bool) -> Element:
+    e = Element(tag, parent)
+    a = _attributes(raw) if raw else {}
+    names, role = _names(a), a.get("role", "").lower()
+    e.surrounds = tag in AROUND_TAGS and not (tag == "header" and in_article)
+    if not e.surrounds and raw and tag not in ("html", "body", "main", "header") and tag not in HEADINGS:
+        found = names & AROUND_NAMES
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or role in AROUND_ROLES or re.search(r"display\s*:\s*none", a.get("style", ""))
+        e.surrounds = e.named = bool(hidden) or bool(found) and not (found <= {"header"} and in_article)
+    e.comments = e.surrounds and bool(names & COMMENT_NAMES)
+    if tag == "article" or role == "article":
+        e.kind = 3
+    elif tag == "main" or role == "main":
+        e.kind = 2
+    elif tag in ("div", "section") and names & CONTENT_NAMES:
+        e.kind = 1
+    return e
+
+
+def lines_of(page: str) -> tuple[list[Line], list[Element]]:
+    """The page as lines, one per block, in page order, and its elements; markup, comments and raw elements are gone,
+    references decoded."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, surrounds, article before it
+    elements = [Element("", 0, closed=True)]
+    stack: list[tuple[str, int, int]] = []  # tag, its element, articles that are open before it
     text: list[tuple[str, bool]] = []
-    around = links = article = articles = 0
+    links = inner = articles = 0
     heading_header = 0  # inside a header element of an article: only headings count
 
     def end_line() -> None:
@@ -87,17 +116,16 @@ def lines_of(page: str, by_name: bool = True) -> list[Line]:
             whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             linked = sum(len("".join(html.unescape(t).split())) for t, in_link in text if in_link)
             if whole:
-                out.append(Line(whole, linked, around > 0 or (heading_header > 0 and not any(s[0] in HEADINGS for s in stack)), article))
+                out.append(Line(whole, linked, inner, heading_header > 0 and not any(s[0] in HEADINGS for s in stack)))
             text = []
 
     def leave(n: int) -> None:
-        nonlocal around, links, article, heading_header
+        nonlocal links, inner, articles, heading_header
         while len(stack) > n:
-            tag, surrounds, before = stack.pop()
-            around -= surrounds
+            tag, own, articles = stack.pop()
             links -= tag == "a"
-            heading_header -= tag == "header" and not surrounds
-            article = before
+            heading_header -= tag == "header" and not elements[own].surrounds
+        inner = stack[-1][1] if stack else 0
 
     at, size = 0, len(page)
     while at < size:
@@ -116,6 +144,7 @@ def lines_of(page: str, by_name: bool = True) -> list[Line]:
                 end_line()
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if found is not None and not (tag not in BLOCKS and any(s[0] in BLOCKS for s in stack[found + 1 :])):
+                elements[stack[found][1]].closed = True
                 leave(found)
             continue
         if tag in RAW:
@@ -133,34 +162,85 @@ def lines_of(page: str, by_name: bool = True) -> list[Line]:
             closes = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("p",))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
+                    elements[stack[i][1]].closed = True
                     leave(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if tag in VOID:
             continue
-        surrounds = _surrounds(tag, m[3], article > 0, by_name)
-        stack.append((tag, surrounds, article))
-        around += surrounds
+        e = _element(tag, m[3], inner, articles > 0)
+        if tag in BLOCKS or e.surrounds or e.kind:
+            elements.append(e)
+            inner = len(elements) - 1
+        stack.append((tag, inner, articles))
+        articles += e.kind > 0
         links += tag == "a"
-        heading_header += tag == "header" and not surrounds
-        if not around and not article:
-            role = "role" in m[3] and _attributes(m[3]).get("role", "").lower()
-            if tag == "article" or role == "article":
-                articles += 1
-                article = articles * 10 + 3
-            elif tag == "main" or role == "main":
-                articles += 1
-                article = articles * 10 + 2
-            elif tag in ("div", "section") and m[3]:
-                a = _attributes(m[3])
-                if {w.lower() for w in _WORD.split(f"{a.get('class', '')} {a.get('id', '')}")} & CONTENT_NAMES:
-                    articles += 1
-                    article = articles * 10 + 1
-        elif not around and tag == "article" and article % 10 < 3:
-            articles += 1
-            article = articles * 10 + 3
+        heading_header += tag == "header" and not e.surrounds
     end_line()
+    return out, elements
+
+
+def _sums(elements: list[Element], lines: list[Line], apart: set[int]) -> list[int]:
+    """Weight of the lines in each element, without those that an inner element in `apart` holds."""
+    sums = [0] * len(elements)
+    for x, w in zip(lines, _weights(lines)):
+        if not x.left_out:
+            sums[x.element] += w
+    for i in range(len(elements) - 1, 0, -1):
+        if i not in apart:
+            sums[elements[i].parent] += sums[i]
+    return sums
+
+
+def _inherited(elements: list[Element], own: list[bool]) -> list[bool]:
+    """Whether it holds for an element or one that it is in."""
+    out = own[:]
+    for i in range(1, len(out)):
+        out[i] |= out[elements[i].parent]
+    return out
+
+
+def _is_page(e: Element, held: int, free: int, found: int) -> bool:
+    """Whether what seems to surround an article holds the page: found is the weight of the heaviest main or article."""
+    either = held + free
+    return held > OPEN_SHARE * either and (not e.closed or e.tag == "form") or held > CLOSED_SHARE * either and found < SURGE
+
+
+def surroundings(lines: list[Line], elements: list[Element]) -> list[bool]:
+    """Which elements surround the article or are in one that does.
+
+    What encloses the heaviest main or article, or most of the unlinked text, is no surroundings, whatever its name."""
+    apart = {i for i, e in enumerate(elements) if e.surrounds}
+    around = _inherited(elements, [e.surrounds for e in elements])
+    comments = _inherited(elements, [e.comments for e in elements])
+    sums = _sums(elements, lines, apart)
+    free = sums[0]
+
+    def release(i: int) -> None:
+        while i:
+            apart.discard(i)
+            i = elements[i].parent
+
+    found = max((sums[i] for i, e in enumerate(elements) if e.kind > 1 and not around[i]), default=0)
+    # A teaser in what surrounds an article is lighter than that article, or not much heavier than a short one.
+    leads = [
+        i for i, e in enumerate(elements)
+        if around[i] and sums[i] > found and (e.kind == 2 or e.kind == 3 and not comments[i] and 2 * sums[i] >= free and sums[i] > CLOSED_SHARE * (sums[i] + found))
+    ]
+    if leads:
+        lead = max(leads, key=lambda i: (elements[i].kind == 2, sums[i], -i))
+        found = max(found, sums[lead])
+        release(lead)
+    while True:  # each time, what is kept more than doubles
+        sums = _sums(elements, lines, apart)
+        most = max((i for i in apart if not comments[i] and _is_page(elements[i], sums[i], sums[0], found)), key=lambda i: (sums[i], -i), default=0)
+        if not most:
+            break
+        release(most)
+    out = _inherited(elements, [i in apart for i in range(len(elements))])
+    if all(out[x.element] or x.left_out for x in lines):  # by elements alone
+        out = _inherited(elements, [i in apart and not e.named for i, e in enumerate(elements)])
     return out
 
 
@@ -195,22 +275,25 @@ def surges(weights: list[int], threshold: int, window: int = WINDOW) -> list[tup
 
 def main_text(page: str) -> str:
     """The article's blocks joined by line ends; empty if there are none."""
-    lines = [x for x in lines_of(page) if not x.around]
-    if not lines:  # an element that is never closed may have taken in all that follows
-        lines = [x for x in lines_of(page, by_name=False) if not x.around]
+    lines, elements = lines_of(page)
+    around = surroundings(lines, elements)
+    lines = [x for x in lines if not around[x.element] and not x.left_out]
     if not lines:
         return ""
+    # The article of an element: the innermost that tells, but an article's own parts are the article's.
+    article = [0] * len(elements)
+    for i, e in enumerate(elements):
+        up = article[e.parent]
+        article[i] = i if e.kind and (not up or e.kind == 3 > elements[up].kind) else up
     totals: dict[int, int] = {}
     for x, w in zip(lines, _weights(lines)):
-        if x.article:
-            totals[x.article] = totals.get(x.article, 0) + w
-    best = max((k % 10 for k, v in totals.items() if v), default=0)
+        if article[x.element]:
+            totals[article[x.element]] = totals.get(article[x.element], 0) + w
+    best = max((elements[k].kind for k, v in totals.items() if v), default=0)
     if best:
         # An article element says where the article is: all lines outside weigh nothing, all inside count.
-        chosen = max((k for k in totals if k % 10 == best), key=lambda k: (totals[k], -k))
-        inside = [len(x.text) if x.article == chosen else 0 for x in lines]
-        parts = surges(inside, 1)
-        return "\n".join(x.text for a, b in parts for x in lines[a:b] if x.article == chosen)
+        chosen = max((k for k in totals if elements[k].kind == best), key=lambda k: (totals[k], -k))
+        return "\n".join(x.text for x in lines if article[x.element] == chosen)
     weights = _weights(lines)
     parts = surges(weights, SURGE) or surges(weights, 1)
     if not parts:

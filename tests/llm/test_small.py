@@ -141,6 +141,23 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>Site name</p><div class='content-sidebar-wrap'><article><p>{PARAGRAPH}</p><p>b</p></article></div>", f"{PARAGRAPH}\nb"),
+        (f"<p>Site name</p><div class='layout has-sidebar'><aside class='sidebar'><p>about</p></aside><main><p>{PARAGRAPH}</p></main></div>", PARAGRAPH),
+        (f"<p>Site name</p><article class='post no-sidebar'><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+        (f"<p>top</p><div class='ad'>buy<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"top\nbuy\n{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<body><p>top</p><nav><ul><li><a href=a>a link</a></ul><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></body>", f"top\na link\n{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<body><p>top</p><form><div class='menu'>m</div><div><p>{PARAGRAPH}</p></div><footer>legal</footer></form></body>", f"top\n{PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p></article><div class='related'><article><p>{PARAGRAPH} More.</p></article></div><footer>{PARAGRAPH * 9}</footer>", None),
+        (f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class='related'><article class='card'><p>teaser</p></article></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+    ],
+)
+def test_what_encloses_the_text_is_no_surroundings(page, text):
+    assert html.main_text(page) == (PARAGRAPH if text is None else text)
+
+
 def test_markup_takes_linear_time():
     for page in ("<p>" + "<a " * 100_000, '<a "' * 50_000, "<a '<a \"" * 50_000, "<" * 200_000, "<!--" * 50_000, "<b>" * 20_000):
         html.main_text(page)

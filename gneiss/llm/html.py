@@ -46,6 +46,9 @@ _WORD = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Shares of the text above which what looks like surroundings is the page itself: if never closed or a form, and else.
 OPEN_SHARE, CLOSED_SHARE = 1 / 2, 3 / 4
+#: So many times its weight may be beside what tells of an article: on the page, where unmarked surroundings are, and in a
+#: main or content element. Share of the text that its container holds where no element tells.
+PAGE_BESIDE, PART_BESIDE, CONTAINER_SHARE = 4, 1 / 3, 0.9
 
 
 @dataclass
@@ -273,6 +276,46 @@ def surges(weights: list[int], threshold: int, window: int = WINDOW) -> list[tup
     return found
 
 
+def _parts(lines: list[Line], elements: list[Element]) -> set[int]:
+    """The elements that are the article: {0}, the page, if none tells.
+
+    From the page inwards, elements give way to those in them that tell more, of the heaviest kind and all of that kind,
+    unless much of the text is beside these."""
+    sums = _sums(elements, lines, set())
+    parts = {0}
+    while True:
+        kind = min(elements[p].kind for p in parts)
+        inner: dict[int, set[int]] = {1: set(), 2: set(), 3: set()}
+        state = [0] * len(elements)  # 1: in a part, 2: in an element found in it
+        for i, e in enumerate(elements):
+            state[i] = state[e.parent]
+            if i in parts:
+                state[i] = 1
+            elif state[i] == 1 and e.kind > kind and sums[i]:
+                state[i] = 2
+                inner[e.kind].add(i)
+        weights = {k: sum(sums[i] for i in v) for k, v in inner.items()}
+        best = max(weights, key=lambda k: (weights[k], k))
+        beside = sum(sums[p] for p in parts) - weights[best]
+        if not weights[best] or beside > (PAGE_BESIDE if parts == {0} else PART_BESIDE) * weights[best]:
+            return parts
+        parts = inner[best]
+
+
+def _container(lines: list[Line], elements: list[Element], found: list[tuple[int, int]]) -> int:
+    """The innermost element of several lines that holds nearly all that the stretches weigh."""
+    weights = _weights(lines)
+    held, count = [0] * len(elements), [0] * len(elements)
+    for a, b in found:
+        for i in range(a, b):
+            held[lines[i].element] += weights[i]
+            count[lines[i].element] += weights[i] > 0
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+        count[elements[i].parent] += count[i]
+    return max(i for i in range(len(elements)) if not i or count[i] > 1 and held[i] >= CONTAINER_SHARE * held[0])
+
+
 def main_text(page: str) -> str:
     """The article's blocks joined by line ends; empty if there are none."""
     lines, elements = lines_of(page)
@@ -280,26 +323,20 @@ def main_text(page: str) -> str:
     lines = [x for x in lines if not around[x.element] and not x.left_out]
     if not lines:
         return ""
-    # The article of an element: the innermost that tells, but an article's own parts are the article's.
-    article = [0] * len(elements)
-    for i, e in enumerate(elements):
-        up = article[e.parent]
-        article[i] = i if e.kind and (not up or e.kind == 3 > elements[up].kind) else up
-    totals: dict[int, int] = {}
-    for x, w in zip(lines, _weights(lines)):
-        if article[x.element]:
-            totals[article[x.element]] = totals.get(article[x.element], 0) + w
-    best = max((elements[k].kind for k, v in totals.items() if v), default=0)
-    if best:
-        # An article element says where the article is: all lines outside weigh nothing, all inside count.
-        chosen = max((k for k in totals if elements[k].kind == best), key=lambda k: (totals[k], -k))
-        return "\n".join(x.text for x in lines if article[x.element] == chosen)
+    parts = _parts(lines, elements)
+    if parts != {0}:
+        # Elements say where the article is: all lines outside weigh nothing, all inside count.
+        inside = _inherited(elements, [i in parts for i in range(len(elements))])
+        return "\n".join(x.text for x in lines if inside[x.element])
     weights = _weights(lines)
-    parts = surges(weights, SURGE) or surges(weights, 1)
-    if not parts:
+    found = surges(weights, SURGE) or surges(weights, 1)
+    if not found:
         return ""
-    start, end = max(parts, key=lambda p: (sum(weights[p[0] : p[1]]), -p[0]))
-    return "\n".join(x.text for x in lines[start:end])
+    # All from the first to the last stretch in the container; lists of links between them too.
+    at = _container(lines, elements, found)
+    inside = _inherited(elements, [i == at for i in range(len(elements))])
+    kept = [p for p in found if any(inside[x.element] for x in lines[p[0] : p[1]])]
+    return "\n".join(x.text for x in lines[kept[0][0] : kept[-1][1]])
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

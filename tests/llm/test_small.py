@@ -158,6 +158,26 @@ def test_what_encloses_the_text_is_no_surroundings(page, text):
     assert html.main_text(page) == (PARAGRAPH if text is None else text)
 
 
+LINKS = "<ul>" + "<li><a href=a>a link</a>" * 4 + "</ul>"
+LINKED = "\n".join(["a link"] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<h1>T</h1><p>{PARAGRAPH * 2}</p>{LINKS}<p>{PARAGRAPH}</p>", f"T\n{PARAGRAPH * 2}\n{LINKED}\n{PARAGRAPH}"),
+        (f"<div><p>{PARAGRAPH * 9}</p>{LINKS}<p>{PARAGRAPH * 9}</p></div>{LINKS}<div>{PARAGRAPH}</div>", f"{PARAGRAPH * 9}\n{LINKED}\n{PARAGRAPH * 9}"),
+        (f"<main><p>{PARAGRAPH}</p><article class='card'><p>teaser</p></article><p>end</p></main>", f"{PARAGRAPH}\nteaser\nend"),
+        (f"<div class='content'><p>{PARAGRAPH}</p></div><article class='card'><p>teaser</p></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}</p></article><p>x</p><article><p>{PARAGRAPH} 2</p></article>", f"{PARAGRAPH}\n{PARAGRAPH} 2"),
+        (f"<p>{PARAGRAPH * 3}</p><article class='card'><p>teaser</p></article>", f"{PARAGRAPH * 3}\nteaser"),
+        (f"<main><p>x</p><article><p>{PARAGRAPH}</p></article></main>", PARAGRAPH),
+    ],
+)
+def test_all_stretches_and_parts_stay(page, text):
+    assert html.main_text(page) == text
+
+
 def test_markup_takes_linear_time():
     for page in ("<p>" + "<a " * 100_000, '<a "' * 50_000, "<a '<a \"" * 50_000, "<" * 200_000, "<!--" * 50_000, "<b>" * 20_000):
         html.main_text(page)

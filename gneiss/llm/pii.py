@@ -20,8 +20,8 @@ from gneiss.llm.common import by_batch
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("ssn", "iban")
 KINDS = BASE + ADDED
-#: Tokens of an entity at most, and characters of text on either side of a trigger that the model sees.
-LONGEST, AROUND = 20, 60
+#: Tokens and characters of an entity at most, and characters of text on either side of a trigger that the model sees.
+LONGEST, LENGTH, AROUND = 20, 90, 120
 #: Sentences that the weights are learned from (generated here, the same each time), and passes over them.
 SENTENCES, PASSES = 400, 3
 
@@ -73,11 +73,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-#: What may hold an entity that the base patterns miss. Everything else is outside every entity, so the model need not see it.
+#: What may hold an entity that the base patterns miss: seven digits near each other, as in _possible; a dot in letters; an
+#: at before a dotted name. Other segments with an at and a dot are no spelled address and their features sum to less than
+#: 0, so the model need not see them.
 _TRIGGER = re.compile(
-    r"(?:[0-9][\x20\t().\-/]{0,3}+){9,}+"
-    r"|(?<![^\W_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}+){3,}+"
-    r"|[\[(]\s?at\s?[\])]|[\[(]\s?dot\s?[\])]|\sdot\s",
+    r"(?:[0-9][^0-9\n]{0,84}+){6}[0-9]"
+    r"|\bdot\b"
+    r"|\bat\b\s*[\])]?\s*[A-Za-z0-9-]++\.[A-Za-z0-9-]",
     re.I,
 )
 
@@ -156,7 +158,7 @@ def span_features(s: Sentence, i: int, j: int) -> list[str]:
 
 def _possible(s: Sentence, i: int, j: int, blocked: list[bool]) -> bool:
     text = s.text[s.tokens[i][0] : s.tokens[j - 1][1]]
-    if any(blocked[i:j]) or "\n" in text or len(text) > 90:
+    if any(blocked[i:j]) or "\n" in text or len(text) > LENGTH:
         return False
     head, tail = s.text[slice(*s.tokens[i])], s.text[slice(*s.tokens[j - 1])]
     if not (head[0].isalnum() or head in "(+") or not tail[-1].isalnum():

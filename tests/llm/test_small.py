@@ -549,6 +549,25 @@ def test_kinds(text, kinds):
     assert sorted(k for k, _, _ in base + added) == kinds
 
 
+@pytest.mark.parametrize("text", ["jane.doe at example.com", "jane at mail.example.org", "jane at example [dot com", f"{'x' * 40}.{'y' * 30} at mail dot org"])
+def test_spelled_addresses_are_seen_alone(text):
+    w = pii.weights()
+    assert pii.model_spans(text, [], w) == pii.model_spans(f"{text} \n call (555) 234-5678", [], w)[:1] == [("email", 0, len(text))]
+
+
+def test_triggers_miss_nothing_that_scores():
+    w, r = pii.weights(), random.Random(3)
+    for k in pii.KINDS:  # letters that are no spelled address
+        most = lambda *names: max(w.get((k, f), 0.0) for f in names)  # noqa: B023, E731
+        cues = sum(max(0.0, w.get((k, f"cue={c}"), 0.0)) for c in pii.KINDS)
+        assert w[k, "bias"] + w[k, "letters"] + w[k, "mixed"] + most(*(f"tokens={n}" for n in range(1, 9))) + most("open", "closed") + most("free-left", "joined-left") + most("free-right", "joined-right") + cues < 0
+    for _ in range(3000):
+        text = "".join(r.choice("0123456789 -./(a\n") for _ in range(r.randint(7, 60)))
+        s = pii.Sentence.of(text)
+        digits = any(sum(c in "0123456789" for c in text[s.tokens[i][0] : s.tokens[j - 1][1]]) >= 7 for j, rows in pii._segments(s, [False] * len(s.tokens)).items() for i, _ in rows)
+        assert pii._TRIGGER.search(text) or not digits
+
+
 def test_masks(spark):
     text = "write a@b.co or 10.0.0.1, é"
     got = pii.personal_data(docs(spark, text, None)).orderBy("doc_id").collect()

@@ -368,11 +368,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that are in the class of a row with a smaller doc_id. Of rows with the same doc_id
-    and text one stays. A document without words stays."""
-    classes = near_duplicates(docs, doc_id, text, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs without those that are in the class of a row with a smaller doc_id (null: the largest) or the same
+    and a smaller digest of the text. Of rows with the same doc_id and text one stays. A document without words stays."""
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"))
+    classes = near_duplicates(docs.select(key.alias("_key"), text), "_key", text, **options)
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, key == F.col("_kept"), "left_semi")
     # Repeated rows are few or none: only theirs are shuffled with their texts.
     digests = rows.select(F.col(doc_id).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
     again = settle(digests.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_again")).distinct(), "again")

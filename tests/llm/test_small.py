@@ -380,6 +380,18 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8]
 
 
+def test_one_of_each_by_rows(spark):
+    near = [" ".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"[: n]) for n in (36, 35, 34)]  # similar at 0.8 or more
+    far = [x.upper().replace(" ", "_ ") for x in near]
+    other = " ".join(f"w{i}" for i in range(40))
+    ids = [None, None, None, None, None, 5, 5, 3, 6, None]
+    texts = [near[0], near[1], far[0], far[1], other, other, near[2], far[2], None, "z z"]
+    kept = chosen_path.one_of_each(docs(spark, *texts, ids=ids)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(5, other), (5, near[2]), (3, far[2]), (6, None), (None, "z z")])
+    lone = chosen_path.one_of_each(docs(spark, near[0], near[1], f"{other} x", other, near[2], ids=[None, None, 7, 7, 7])).collect()
+    assert len(lone) == 2 and {r["doc_id"] for r in lone} == {7}
+
+
 def test_runs_reach_recall():
     r = np.random.default_rng(0)
     runs, met = chosen_path.runs_for(0.999), 0

@@ -19,7 +19,7 @@ RECALL = 0.9999
 #: Levels of splitting, and sets that a bucket may have to be compared as it is.
 DEPTH, SMALL = 3, 2_000
 #: Places of the sketch that filters pairs in a bucket, and how many standard errors below the threshold a pair still passes.
-SKETCH, ERRORS = 128, 4.0
+SKETCH, ERRORS = 128, 6.0
 #: Sets and shingles of a block of a group that is compared exactly.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Bits of the filter that says which documents are in a group: so many times the members, up to 2**30.
@@ -335,7 +335,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Equal sets are one from the start. Chosen paths bring sets together in buckets; a bucket of up to SMALL sets is
     compared by brute force on sketches, a larger one is split on a further token, and one still large at the last level
     is compared in pairs of blocks. The sets that pass form groups, and each group is compared exactly, all its pairs, in
-    pairs of blocks where it is large. So the links found are exact, and missing one takes every run missing it. No step
+    pairs of blocks where it is large. So the links found are exact, and missing one takes every run missing it, or sketches,
+    the same in every run, that differ by ERRORS standard errors (1e-6 at most; runs_for leaves room for it). No step
     writes out pairs: buckets and groups give spanning edges and counts. Nothing but a bitmap of bounded size and counts
     reaches the driver."""
     runs = runs_for(recall, similarity=similarity)

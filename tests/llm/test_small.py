@@ -403,6 +403,17 @@ def test_runs_reach_recall():
     assert met >= 296
 
 
+def test_sketches_leave_the_recall():
+    met = 1.0
+    for _ in range(chosen_path.DEPTH):
+        met = 1 - math.exp(-min(1.0, 2 / 1.8) * met)
+    runs = (1 - met) ** chosen_path.runs_for(chosen_path.RECALL)
+    for n in range(1, chosen_path.SKETCH + 1):
+        least = n * (0.8 - chosen_path.ERRORS * 0.4 / math.sqrt(n))
+        missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k < least)
+        assert missed < 1e-6 and runs + missed <= 1 - chosen_path.RECALL
+
+
 def test_shingles():
     text = "the quick  brown\tfox jumps over the lazy dog"
     assert len(shingles.shingle_set(text.encode())) == 5

@@ -83,6 +83,7 @@ class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
+    positions: list[tuple[int, int]] = field(default_factory=list)  # by page: granule position, packets that end in it
     pages: int = 0
     gaps: int = 0
     ended: bool = False
@@ -116,7 +117,8 @@ def demultiplex(data: bytes) -> tuple[dict[int, Stream], int]:
         s.pages += 1
         s.ended |= bool(flags & LAST)
         part, skip = (s._part, s._part is None) if flags & CONTINUED else ([], False)
-        begin = cursor = 27 + n
+        begin, before = 27 + n, len(s.packets)
+        cursor = begin
         for value in lacing:
             cursor += value
             if value < 255:
@@ -124,6 +126,7 @@ def demultiplex(data: bytes) -> tuple[dict[int, Stream], int]:
                     s.packets.append(b"".join([*(part or []), page[begin:cursor]]))
                     s.granules.append(granule)
                 part, skip, begin = [], False, cursor
+        s.positions.append((granule, len(s.packets) - before))
         s._part = None if skip else [*(part or []), page[begin:cursor]] if n and lacing[-1] == 255 else None
         at = stop if data[stop : stop + 4] == MAGIC else data.find(MAGIC, stop)
     return streams, failed
@@ -144,6 +147,29 @@ def store(payload: bytes) -> bytes:
     return b"".join(mixed + other[-(-max(len(rest), 1) // every) :])
 
 
+def packet_starts(s: Stream, lengths: list[int] | None = None) -> list[int]:
+    """Where each packet starts. A page's granule position is that of the last packet ending in it; earlier packets are
+    counted back from it. lengths: samples that each packet stands for (its bytes, and none for the header, if not given).
+    Raises ValueError if a page disagrees with the one before it, or has a position though no packet ends in it."""
+    lengths = lengths or [0, *map(len, s.packets[1:])]
+    starts: list[int] = []
+    end = 0
+    for granule, n in s.positions:
+        if not n:
+            if granule != -1:
+                raise ValueError("damaged media: a granule position where no packet ends")
+            continue
+        own, at = [], granule
+        for size in reversed(lengths[len(starts) : len(starts) + n]):
+            at -= size
+            own.append(at)
+        if at != end:
+            raise ValueError("damaged media: granule positions do not match")
+        starts += own[::-1]
+        end = granule
+    return starts
+
+
 def load(media: bytes) -> tuple[bytes, dict]:
     """The payload read back, and what the container says. Raises ValueError if anything is damaged or missing."""
     streams, failed = demultiplex(media)
@@ -157,14 +183,11 @@ def load(media: bytes) -> tuple[bytes, dict]:
     kept = b"".join(parts)
     if len(kept) != size or b"".join(zlib.crc32(p).to_bytes(4, "little") for p in parts) != marks.packets[1]:
         raise ValueError("damaged media: samples do not match their marks")
-    # A page's granule position is that of the last packet ending in it; earlier packets are counted back from it.
-    starts, run = [], 0
-    for p in parts:
-        starts.append(run / rate)
-        run += len(p)
-    if parts and max(samples.granules) != run:
-        raise ValueError("damaged media: granule positions do not match")
-    return kept, {"rate": rate, "bits": bits, "pages": samples.pages + marks.pages, "packets": len(parts), "seconds": run / rate, "last_start": starts[-1] if starts else 0.0}
+    starts = packet_starts(samples)[1:]
+    if packet_starts(marks, [0, size]) != [0, 0]:
+        raise ValueError("damaged media: granule positions of the marks do not match")
+    end = starts[-1] + len(parts[-1]) if parts else 0
+    return kept, {"rate": rate, "bits": bits, "pages": samples.pages + marks.pages, "packets": len(parts), "seconds": end / rate, "last_start": starts[-1] / rate if starts else 0.0}
 
 
 def features(samples: bytes, info: dict) -> str:

@@ -244,6 +244,25 @@ def test_ogg_damage():
         ogg.load(ogg.store(bytes(64))[:-10])
 
 
+def test_ogg_granules_of_every_page():
+    media = ogg.store(random.Random(1).randbytes(200_000))
+    places, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        places.append((at, stop := at + 27 + n + sum(media[at + 27 : at + 27 + n])))
+        at = stop
+    assert len(places) > 5
+    streams, _ = ogg.demultiplex(media)
+    assert ogg.packet_starts(streams[ogg.SAMPLES]) == [0, *range(0, 200_000, ogg.PACKET)]
+    for at, stop in places:
+        page = media[at:stop]
+        granule = int.from_bytes(page[6:14], "little", signed=True)
+        wrong = page[:6] + max(0, granule - 1 if granule > 0 else 7).to_bytes(8, "little") + page[14:22] + bytes(4) + page[26:]
+        wrong = wrong[:22] + ogg.ogg_crc(wrong).to_bytes(4, "little") + wrong[26:]
+        with pytest.raises(ValueError, match="granule"):
+            ogg.load(media[:at] + wrong + media[stop:])
+
+
 def test_ogg_columns(spark):
     got = ogg.media_columns(docs(spark, None, "", "é", "é", "x" * 64), keep_media=True).orderBy("doc_id").collect()
     assert [r["n_bytes"] for r in got] == [0, 0, 2, 2, 64] and all(r["payload_bytes"] == 64 for r in got)

@@ -567,55 +567,13 @@ def test_base_spans_take_linear_time():
         pii.base_spans(t)
 
 
-def test_model_on_unseen_sentences():
-    r, w = random.Random(1234), pii.weights()
-    right = wrong = missed = 0
-    for _ in range(150):
-        text, spans = pii._example(r)
-        base = pii.base_spans(text)
-        got = set(pii.model_spans(text, base, w))
-        gold = {s for s in spans if not any(a < s[2] and b > s[1] for _, a, b in base)}
-        right, wrong, missed = right + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert wrong <= 0.03 * right and missed <= 0.03 * right
-
-
-@pytest.mark.parametrize(
-    ("text", "kinds"),
-    [
-        ("Reach me at ann dot lee [at] mail dot example dot org please", ["email"]), ("call (555) 234-5678 now", ["phone"]), ("ssn 078-05-1120.", ["ssn"]), ("iban DE89 3704 0044 0532 0130 00 ok", ["iban"]),
-        ("token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"", []), ("version 4.0. of 2001-12-31", []), ("the dot is at the end. no dot here", []), ("4111111111111112", []), ("+1 (743) 555-3824 and 4111 1111 1111 1111", ["card", "phone"]), ("", []),
-    ],
-)
-def test_kinds(text, kinds):
-    base, added = pii.find(text, pii.weights())
-    assert sorted(k for k, _, _ in base + added) == kinds
-
-
-@pytest.mark.parametrize("text", ["jane.doe at example.com", "jane at mail.example.org", "jane at example [dot com", f"{'x' * 40}.{'y' * 30} at mail dot org"])
-def test_spelled_addresses_are_seen_alone(text):
-    w = pii.weights()
-    assert pii.model_spans(text, [], w) == pii.model_spans(f"{text} \n call (555) 234-5678", [], w)[:1] == [("email", 0, len(text))]
-
-
-def test_triggers_miss_nothing_that_scores():
-    w, r = pii.weights(), random.Random(3)
-    for k in pii.KINDS:  # letters that are no spelled address
-        most = lambda *names: max(w.get((k, f), 0.0) for f in names)  # noqa: B023, E731
-        cues = sum(max(0.0, w.get((k, f"cue={c}"), 0.0)) for c in pii.KINDS)
-        assert w[k, "bias"] + w[k, "letters"] + w[k, "mixed"] + most(*(f"tokens={n}" for n in range(1, 9))) + most("open", "closed") + most("free-left", "joined-left") + most("free-right", "joined-right") + cues < 0
-    for _ in range(3000):
-        text = "".join(r.choice("0123456789 -./(a\n") for _ in range(r.randint(7, 60)))
-        s = pii.Sentence.of(text)
-        digits = any(sum(c in "0123456789" for c in text[s.tokens[i][0] : s.tokens[j - 1][1]]) >= 7 for j, rows in pii._segments(s, [False] * len(s.tokens)).items() for i, _ in rows)
-        assert pii._TRIGGER.search(text) or not digits
-
-
 def test_masks(spark):
     text = "write a@b.co or 10.0.0.1, é"
-    got = pii.personal_data(docs(spark, text, None)).orderBy("doc_id").collect()
+    got = pii.personal_data(docs(spark, text, None), keep_masked=True).orderBy("doc_id").collect()
     assert got[0]["masked"] == "write [EMAIL] or [IP], é" and got[0]["spans"] == "email:6:12,ip:16:24"
     assert got[0]["base_sha256"] == hashlib.sha256(b"email:6:12,ip:16:24").hexdigest()
     assert (got[1]["masked"], got[1]["spans"], got[1]["n_email"]) == ("", "", 0)
+    assert "masked" not in pii.personal_data(docs(spark, text)).columns
     fresh = pii.mask_documents(docs(spark, text, None)).orderBy("doc_id").collect()
     assert fresh[0]["n_chars"] == len(fresh[0]["text"]) == 24 and fresh[1]["text"] is None
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from gneiss.llm.common import by_batch, utf8
 
 WINDOW = 3
-#: Without an article element, a window has surged when its lines hold this many characters outside links.
+#: A window has surged when its lines weigh so much: about as many characters outside links.
 SURGE = 80
 
 # Fixed values of HTML: which elements end a line, have no end tag, hold raw text.
@@ -23,10 +25,10 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object canvas".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object canvas".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-#: Elements, roles and name parts of what surrounds an article.
+#: Elements, roles and names of what surrounds an article.
 AROUND_TAGS = frozenset("nav header footer aside form button select datalist dialog menu head fieldset".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 AROUND_NAMES = frozenset(
@@ -35,6 +37,14 @@ AROUND_NAMES = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist "
     "disqus reply replies respond pagination pager copyright legal disclaimer alert toast widget skip form paywall".split()
 )
+#: Parts of a name that say where a thing is or what it is made of; a name is one of surroundings if it has an AROUND part and
+#: none but these beside it (`cookie-bar-top` is, `menu-history` and `form-factor` are not).
+NEUTRAL_NAMES = frozenset(
+    "site page main global top bottom left right center inner outer upper lower fixed sticky mobile desktop box bar list item items link links button buttons btn icon icons "
+    "wrap wrapper container content section area block row col column columns panel group slot unit zone module component region holder inline body title heading text label "
+    "primary secondary small large big user users reader readers visitor visitors post posts article articles story stories entry entries more this us latest and js is has "
+    "space rail strip header footer thread count tree level current open fluid dark light".split()
+)
 CONTENT_NAMES = frozenset("article content story post entry".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?=/?[a-zA-Z])[^<>]*(?:\Z|(?=<))", re.S)
@@ -76,12 +86,23 @@ class Element:
     closed: bool = False
 
 
+@lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): next((x for x in m.group(2, 3, 4) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _names(a: dict[str, str]) -> set[str]:
-    return {w.lower() for w in _WORD.split(f"{a.get('class', '')} {a.get('id', '')}") if w}
+def _names(a: dict[str, str]) -> list[set[str]]:
+    """The parts of each name in class and id."""
+    return [{w.lower() for w in _WORD.split(name) if w} for name in f"{a.get('class', '')} {a.get('id', '')}".split()]
+
+
+def _around(names: list[set[str]]) -> set[str]:
+    """The AROUND parts of those names that mean surroundings: all of their parts do, or say nothing."""
+    return {w for parts in names for w in parts & AROUND_NAMES if all(x in AROUND_NAMES or x in NEUTRAL_NAMES or len(x) == 1 or not x.isalpha() for x in parts)}
 
 
 def _element(tag: str, raw: str, parent: int, in_article: bool) -> Element:
@@ -90,15 +111,15 @@ def _element(tag: str, raw: str, parent: int, in_article: bool) -> Element:
     names, role = _names(a), a.get("role", "").lower()
     e.surrounds = tag in AROUND_TAGS and not (tag == "header" and in_article)
     if not e.surrounds and raw and tag not in ("html", "body", "main", "header") and tag not in HEADINGS:
-        found = names & AROUND_NAMES
+        found = _around(names)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or role in AROUND_ROLES or re.search(r"display\s*:\s*none", a.get("style", ""))
         e.surrounds = e.named = bool(hidden) or bool(found) and not (found <= {"header"} and in_article)
-    e.comments = e.surrounds and bool(names & COMMENT_NAMES)
+    e.comments = e.surrounds and any(parts & COMMENT_NAMES for parts in names)
     if tag == "article" or role == "article":
         e.kind = 3
     elif tag == "main" or role == "main":
         e.kind = 2
-    elif tag in ("div", "section") and names & CONTENT_NAMES:
+    elif tag in ("div", "section") and any(parts & CONTENT_NAMES for parts in names):
         e.kind = 1
     return e
 
@@ -109,8 +130,10 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
     out: list[Line] = []
     elements = [Element("", 0, closed=True)]
     stack: list[tuple[str, int, int]] = []  # tag, its element, articles that are open before it
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag in the stack
+    blocks: list[int] = []  # of the open elements that end lines
     text: list[tuple[str, bool]] = []
-    links = inner = articles = 0
+    links = inner = articles = headings = 0
     heading_header = 0  # inside a header element of an article: only headings count
 
     def end_line() -> None:
@@ -119,14 +142,18 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
             whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             linked = sum(len("".join(html.unescape(t).split())) for t, in_link in text if in_link)
             if whole:
-                out.append(Line(whole, linked, inner, heading_header > 0 and not any(s[0] in HEADINGS for s in stack)))
+                out.append(Line(whole, linked, inner, heading_header > 0 and not headings))
             text = []
 
     def leave(n: int) -> None:
-        nonlocal links, inner, articles, heading_header
+        nonlocal links, inner, articles, heading_header, headings
         while len(stack) > n:
             tag, own, articles = stack.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
             links -= tag == "a"
+            headings -= tag in HEADINGS
             heading_header -= tag == "header" and not elements[own].surrounds
         inner = stack[-1][1] if stack else 0
 
@@ -145,8 +172,8 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
         if m[1]:
             if tag in BLOCKS:
                 end_line()
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if found is not None and not (tag not in BLOCKS and any(s[0] in BLOCKS for s in stack[found + 1 :])):
+            found = places[tag][-1] if places[tag] else None
+            if found is not None and (tag in BLOCKS or not blocks or blocks[-1] < found):
                 elements[stack[found][1]].closed = True
                 leave(found)
             continue
@@ -154,7 +181,7 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
             if tag in BLOCKS:
                 end_line()
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                close = _end_of(tag).search(page, at)
                 at = close.end() if close else size
             continue
         if tag == "br":
@@ -163,19 +190,19 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
             end_line()
             # A new item or paragraph ends an open one before it.
             closes = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    elements[stack[i][1]].closed = True
-                    leave(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if blocks and stack[blocks[-1]][0] in closes:
+                elements[stack[blocks[-1]][1]].closed = True
+                leave(blocks[-1])
         if tag in VOID:
             continue
         e = _element(tag, m[3], inner, articles > 0)
         if tag in BLOCKS or e.surrounds or e.kind:
             elements.append(e)
             inner = len(elements) - 1
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        headings += tag in HEADINGS
         stack.append((tag, inner, articles))
         articles += e.kind > 0
         links += tag == "a"
@@ -316,20 +343,32 @@ def _container(lines: list[Line], elements: list[Element], found: list[tuple[int
     return max(i for i in range(len(elements)) if not i or count[i] > 1 and held[i] >= CONTAINER_SHARE * held[0])
 
 
-def main_text(page: str) -> str:
-    """The article's blocks joined by line ends; empty if there are none."""
+def weighted_lines(page: str) -> tuple[list[Line], list[int], list[Element], bool]:
+    """The lines that are not stripped as surroundings, what they weigh, the page's elements, whether elements lent weight.
+
+    A line weighs its characters outside links, and nothing if it is mostly links. Where elements tell of the article, their
+    lines weigh one more than their characters outside links, so that no list of links or short line parts them, and lines
+    beside them weigh nothing."""
     lines, elements = lines_of(page)
     around = surroundings(lines, elements)
     lines = [x for x in lines if not around[x.element] and not x.left_out]
-    if not lines:
-        return ""
     parts = _parts(lines, elements)
-    if parts != {0}:
-        # Elements say where the article is: all lines outside weigh nothing, all inside count.
-        inside = _inherited(elements, [i in parts for i in range(len(elements))])
-        return "\n".join(x.text for x in lines if inside[x.element])
-    weights = _weights(lines)
+    if parts == {0}:
+        return lines, _weights(lines), elements, False
+    inside = _inherited(elements, [i in parts for i in range(len(elements))])
+    return lines, [1 + len(x.text) - x.linked if inside[x.element] else 0 for x in lines], elements, True
+
+
+def main_text(page: str) -> str:
+    """The article's blocks joined by line ends; empty if there are none.
+
+    The sums over sliding windows of the weighted lines decide on every page: the text between the points where they surge
+    and those where they dive stays (if no window surges, the text of all that weighs). Where elements lent weight, lines
+    that have none are no text; else a list of links between two stretches of the innermost common element stays."""
+    lines, weights, elements, lent = weighted_lines(page)
     found = surges(weights, SURGE) or surges(weights, 1)
+    if lent:
+        return "\n".join(lines[i].text for a, b in found for i in range(a, b) if weights[i])
     if not found:
         return ""
     # All from the first to the last stretch in the container; lists of links between them too.

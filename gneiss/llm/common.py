@@ -22,37 +22,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session within one machine
+    gets a folder made here; elsewhere that is an error, since no local folder is shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gneiss-')}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session is gone: nothing is left to tidy with
-        pass
+#: Tables that settle wrote and nothing has deleted yet.
+SETTLED: list[str] = []
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete the tables that settle wrote so far; for long sessions, once their results are written elsewhere."""
+    while SETTLED:
+        path = SETTLED.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session is gone: nothing is left to tidy with
+            pass
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The files go at the end of the Python process."""
+    The files go at the end of the Python process, or by tidy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gneiss-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    if not SETTLED:
+        atexit.register(tidy, spark)
+    SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def buckets_for(rows: int) -> int:
-    """A number of buckets in proportion to the rows, so that a bucket stays small at any size."""
+    """A number of buckets in proportion to the rows, so that a bucket stays small: ROWS_PER_BUCKET up to a billion rows,
+    25,000 at 25 billion; a window over the buckets of one group stays a task of a million rows."""
     return max(1, min(1 << 20, -(-rows // ROWS_PER_BUCKET)))
 
 
@@ -106,18 +119,61 @@ def let_go() -> None:
 BATCH_ROWS = 1_000
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
-    """Apply f to each Arrow batch; one batch is held at a time. rows: slices of so many rows are given to f."""
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None, remember: bool = False) -> DataFrame:
+    """Apply f to each Arrow batch of BATCH_ROWS rows at most; one batch is held at a time. rows: slices of so many rows are
+    given to f. remember: what workers remember is kept for the next task.
+
+    The session's own bound on batches is lowered to BATCH_ROWS if it is higher or none."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    most = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if most <= 0 or most > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    step = min(rows or BATCH_ROWS, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
+        if not remember:
+            let_go()
         for batch in batches:
-            step = rows or max(1, batch.num_rows)
             for at in range(0, batch.num_rows, step):
                 yield f(batch.slice(at, step))
-        let_go()
+        if not remember:
+            let_go()
 
     return df.mapInArrow(run, schema)
+
+
+def order_numbers(values: DataFrame, column: str) -> DataFrame:
+    """(column, _rank) for the different values of a column that are not null: 0, 1, 2, ... in their order.
+
+    The values are range-partitioned by Spark's own sample and sorted within partitions; the driver gets one count per
+    partition. No values: no rows."""
+    spark = values.sparkSession
+    parted = values.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    placed = settle(parted.withColumn("_at", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("_at", 33)
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    if not starts:
+        return placed.select(column, F.lit(0).cast("long").alias("_rank"))
+    first = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
+    return placed.select(column, (first[part] + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_rank"))
+
+
+#: Keys of a join that are taken out as hot: those with more than this part of all rows, so fewer keys than its inverse.
+HOT_PART = 1_000
+
+
+def join_on_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined (inner) with facts, a row per key; n: a column of facts that counts a key's rows of all `total` in rows.
+
+    A key with more than a HOT_PART-th of the rows is joined by a broadcast: there are fewer than HOT_PART of them. The
+    others meet by a shuffle in which no key is a large part. rows is read twice: settle it before."""
+    limit = max(1, total // HOT_PART)
+    hot = facts.where(F.col(n) > limit)
+    cold = facts.where(F.col(n) <= limit)
+    by_broadcast = rows.join(F.broadcast(hot), key)
+    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return by_broadcast.unionByName(by_shuffle)

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import CACHES, buckets_for, running_total, settle
+from gneiss.llm.common import CACHES, buckets_for, by_batch, running_total, settle
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at least since it last made room; twice as many at most.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers at least since it last made room, and bytes of them; twice as many at most. A longer
+#: stretch without white space than LONG_WORD is encoded each time.
+CACHE_WORDS, CACHE_BYTES, LONG_WORD = 600_000, 48 << 20, 200
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -142,6 +143,8 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    held = 0  # bytes of known, about
+
     def learn(stems: list[str], others: list[str]) -> None:
         """stems: words of letters alone, each of which is one word to the tokenizer, whose last token says so. They are
         encoded as one text, which costs a good deal less than each by itself."""
@@ -160,24 +163,31 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        nonlocal known, older
+        nonlocal known, older, held
         words = text.split()
         fresh = list(set(words).difference(known))
+        long = {}
         if fresh:
-            if len(known) > CACHE_WORDS:
-                known, older = {"": b""}, known
+            if len(known) > CACHE_WORDS or held > CACHE_BYTES:
+                known, older, held = {"": b""}, known, 0
                 fresh = list(set(words))
             plain = {}
             for w in fresh:
-                if (ids := older.get(w)) is None:
+                if len(w) > LONG_WORD:
+                    long[w] = array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+                elif (ids := older.get(w)) is None:
                     plain[w] = _plain(w)
                 else:
                     known[w] = ids
+                    held += len(w) + len(ids)
             stems = {stem for stem, _ in plain.values()}.difference(known)
             simple = [w for w in stems if w.isalpha() and max(w) < "\u0180" and w == w.lower()]
             learn(simple, [*stems.difference(simple), *{mark for _, mark in plain.values()}.difference(known)])
             for w, (stem, mark) in plain.items():
                 known[w] = known[stem] + known[mark]
+                held += 2 * len(w) + len(known[w])
+        if long:
+            return b"".join(long[w] if len(w) > LONG_WORD else known[w] for w in words)
         return b"".join(map(known.__getitem__, words))
 
     return encode
@@ -190,25 +200,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """A row per piece: doc_id, piece, start, length, ids_crc32. A document is its ids and then `end`; only a longer one
     than capacity is cut, into pieces of that length. Null and empty texts: one piece with `end` alone."""
 
-    def run(batches):
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         encode = word_encoder(tokenizer)
         last = np.array([end], "<u4").tobytes()
-        for b in batches:
-            rows, piece, start, length, crc = [], [], [], [], []
-            for i, value in enumerate(b.column(1)):
-                ids = encode(value.as_py() or "") + last
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(i)
-                    piece.append(n)
-                    start.append(n * capacity)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        rows, piece, start, length, crc = [], [], [], [], []
+        for i, value in enumerate(b.column(1)):
+            ids = encode(value.as_py() or "") + last
+            for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                rows.append(i)
+                piece.append(n)
+                start.append(n * capacity)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_batch(docs.select(doc_id, text), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", remember=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

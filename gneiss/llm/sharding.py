@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import buckets_for, running_total, settle
+from gneiss.llm.common import buckets_for, join_on_hot, order_numbers, running_total, settle
 
 #: Histogram rows that one round brings to the driver at most, over all nodes of a level.
 ROUND_ROWS = 32_768
@@ -17,24 +17,33 @@ TOLERANCE = 5e-4
 COORDINATE_BITS, TIE_BITS = 31, 31
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number for a value; strings by their first six bytes, null lowest."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.col(name).cast("double")
+#: Different strings of a dimension up to which their ranks are broadcast; more of them meet the rows by a shuffle.
+BROADCAST_VALUES = 50_000
+
+
+def _ranked(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with out: the rank of a string among the different ones of its column, by code point; null: null."""
+    counts = settle(df.groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    ranks = order_numbers(counts, "_value").withColumnRenamed("_rank", out)
+    if counts.count() <= BROADCAST_VALUES:
+        return df.join(F.broadcast(ranks), df[name] == ranks["_value"], "left").drop("_value")
+    rows = settle(df.withColumn("_value", F.col(name)), "named")
+    total = counts.agg(F.sum("_n")).first()[0]
+    met = join_on_hot(rows.where(F.col(name).isNotNull()), ranks.join(counts, "_value"), "_value", "_n", total)
+    return met.drop("_value", "_n").unionByName(rows.where(F.col(name).isNull()).withColumn(out, F.lit(None).cast("long")).drop("_value"))
 
 
 def coordinates(df: DataFrame, dims: list[str]) -> DataFrame:
-    """df with _c0, _c1, ...: each dimension scaled to whole numbers from 0 below 2**31; null lowest."""
-    numbered = df.select("*", *[_number(df, d).alias(f"_n{i}") for i, d in enumerate(dims)])
-    ends = numbered.agg(*[f(f"_n{i}").alias(f"{k}{i}") for i in range(len(dims)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    top = float((1 << COORDINATE_BITS) - 1)
+    """df with _c0, _c1, ...: each dimension scaled to whole numbers from 0 below 2**31; null lowest. Strings count by rank."""
+    for i, d in enumerate(dims):
+        df = _ranked(df, d, f"_n{i}") if isinstance(df.schema[d].dataType, T.StringType) else df.withColumn(f"_n{i}", F.col(d).cast("double"))
+    ends = df.agg(*[f(f"_n{i}").alias(f"{k}{i}") for i in range(len(dims)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    top = float((1 << COORDINATE_BITS) - 2)
     for i in range(len(dims)):
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
-        scaled = F.lit(0) if lo is None or hi <= lo else F.floor((F.col(f"_n{i}") - F.lit(lo)) / F.lit(hi - lo) * F.lit(top))
-        numbered = numbered.withColumn(f"_c{i}", F.coalesce(scaled.cast("long"), F.lit(0).cast("long"))).drop(f"_n{i}")
-    return numbered
+        scaled = F.lit(0.0) if lo is None or hi <= lo else (F.col(f"_n{i}") - F.lit(lo)) / F.lit(float(hi) - float(lo)) * F.lit(top)
+        df = df.withColumn(f"_c{i}", F.coalesce(F.floor(scaled).cast("long") + 1, F.lit(0).cast("long")) if lo is not None else F.lit(0).cast("long")).drop(f"_n{i}")
+    return df
 
 
 def _numbers(values: list[int]) -> Column:

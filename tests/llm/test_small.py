@@ -312,8 +312,9 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_repeats_as_by_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 5000), (1, 5000), (2, 5000), (3, 5000), (0, 2), (1, 2), (2, 2), (3, 2)])
+def test_repeats_as_by_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffixes, "HOT_DOCS", hot)
     r = random.Random(seed)
     alphabet = ["ab", "abcdefghijklmnop ", "é ñ", "a"][seed]
     pool = ["".join(r.choice(alphabet) for _ in range(r.randint(20, 150))) for _ in range(12)]
@@ -339,6 +340,34 @@ def test_repeats_in_long_runs(spark):
     assert [r["n_removed"] for r in got] == [0, 700, 0, 0, 50] and got[1]["kept"] == b"bb"
 
 
+def test_repeats_by_ids_that_are_no_numbers(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abc") for _ in range(80)) for _ in range(6)]
+    ids = [None if i == 3 else f"id{i % 10}" for i in range(24)]
+    rows = [(i, (texts[n % 6] + texts[n * 5 % 6])[n % 7 :]) for n, i in enumerate(ids)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    number = {v: i for i, v in enumerate(sorted({i for i in ids if i}))} | {None: 99}
+    assert sorted((number[x["doc_id"]], *x[1:]) for x in got) == brute_repeats([(number[i], t.encode()) for i, t in rows])
+
+
+def test_hot_runs_are_parted_by_their_windows():
+    r = random.Random(2)
+    for _ in range(200):
+        data = bytes(r.choice(b"ab") for _ in range(r.randint(90, 400))) if r.random() < 0.5 else bytes([97]) * r.randint(60, 200)
+        for s, n, m in zip(*suffixes._all_runs(data)):
+            _, places = suffixes._leads(data, np.array([s]), np.array([m]))
+            place, at = int(places[0]), int(s)
+            gram = data[place : place + suffixes.GRAM]
+            for start, count, key in suffixes._fine(data, int(s), int(n), place):
+                assert start == at and count > 0
+                at += count
+                for w in range(start, start + count):  # the key follows from the window alone
+                    o = data.find(gram, w) - w
+                    low, high = (1 << o.bit_length()) >> 1, min((1 << o.bit_length()) - 1, 34)
+                    assert key == bytes([o.bit_length()]) + data[w : w + 50][o - low : o + 16 + 34 - high]
+            assert at == s + n
+
+
 def test_multikey_order():
     rows = np.random.default_rng(0).integers(0, 3, (500, 4)).astype(np.uint64)
     order, differs = suffixes.multikey_order(rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import by_batch, settle, utf8
+from gneiss.llm.common import by_batch, join_on_hot, settle, utf8
 from gneiss.llm.components import components
 from gneiss.llm.shingles import WORDS, mix, shingle_set
 
@@ -49,30 +49,22 @@ def _draw(tokens: np.ndarray, names: np.ndarray) -> np.ndarray:
     return x
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, similarity: float = SIMILARITY) -> np.ndarray:
-    """Rows of `depth` numbers, one per path: the path's name after each level, 0 where no token was chosen for it.
+def longer_paths(tokens: np.ndarray, paths: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The names of the paths that go one token further than `paths`, sorted and each once.
 
-    Whether a token extends a path depends on the run, the path and the token alone, against 1/(similarity * size).
-    All runs are drawn for at once, some thousand tokens at a time."""
+    Whether a token extends a path depends on the path and the token alone, against 1/(similarity * size)."""
     limit = np.uint64(min(2.0**64 - 2**12, 2.0**64 / (similarity * len(tokens))))
-    names = mix(np.arange(1, runs + 1, dtype=np.uint64))
-    trails = np.zeros((runs, 0), np.uint64)
-    done = []
-    for level in range(depth):
-        path, drawn = [], []
-        for at in range(0, len(tokens), _COLUMNS):
-            x = _draw(tokens[at : at + _COLUMNS], names)
-            i, j = np.nonzero(x < limit)
-            path.append(i)
-            drawn.append(x[i, j])
-        path, drawn = np.concatenate(path), np.concatenate(drawn)
-        if level:
-            ended = np.ones(len(names), bool)
-            ended[path] = False
-            done.append(np.pad(trails[ended], ((0, 0), (0, depth - level))))
-        names = mix(drawn + names[path])
-        trails = np.column_stack([trails[path], names])
-    return np.concatenate([*done, trails])
+    longer = []
+    for at in range(0, len(tokens), _COLUMNS):
+        x = _draw(tokens[at : at + _COLUMNS], paths)
+        i, j = np.nonzero(x < limit)
+        longer.append(mix(x[i, j] + paths[i]))
+    return np.unique(np.concatenate(longer))
+
+
+def first_paths(tokens: np.ndarray, runs: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The paths of one token, of all runs."""
+    return longer_paths(tokens, mix(np.arange(1, runs + 1, dtype=np.uint64)), similarity)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -92,8 +84,8 @@ def _set_name(tokens: np.ndarray) -> int:
     return int(_signed(mix((mix(tokens).cumsum(dtype=np.uint64)[-1:] + np.uint64(len(tokens)))))[0]) if len(tokens) else 0
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, runs: int) -> DataFrame:
-    """A row per document: doc_id, name of its shingle set, size, sketch, paths."""
+def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, runs: int, similarity: float) -> DataFrame:
+    """A row per document: doc_id, name of its shingle set, size, sketch, paths of one token."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, sizes, sketches, paths = [], [], [], []
@@ -102,30 +94,33 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, runs: int) ->
             names.append(_set_name(s))
             sizes.append(len(s))
             sketches.append(sketch(s) if len(s) else b"")
-            paths.append(chosen_paths(s, runs).tobytes() if len(s) else b"")
+            paths.append(first_paths(s, runs, similarity).tobytes() if len(s) else b"")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.binary())], ["doc_id", "name", "size", "sketch", "paths"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return by_batch(docs.select(doc_id, text), run, f"doc_id {kind}, name long, size long, sketch binary, paths binary")
 
 
-def _level(rows: DataFrame, level: int) -> DataFrame:
-    """(name, key): the paths of a set at a level. rows: (name, paths), and above (a path of the level before) from level 1."""
+def _keys_of(rows: DataFrame) -> DataFrame:
+    """(name, key): the paths of one token. rows: (name, paths)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        names, keys = [], []
-        for i, name in enumerate(columns[0]):
-            p = np.frombuffer(columns[1][i], np.int64).reshape(-1, DEPTH)
-            if level:
-                p = p[p[:, level - 1] == columns[2][i]]
-            own = np.unique(p[:, level])
-            own = own[own != 0]
-            keys.append(own)
-            names.append(np.full(len(own), name, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(keys))], ["name", "key"])
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        keys = [np.frombuffer(x, np.int64) for x in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(k) for k in keys]), pa.int64()), pa.array(np.concatenate(keys))], ["name", "key"])
+
+    return by_batch(rows.select("name", "paths"), run, "name long, key long")
 
-    return by_batch(rows, run, "name long, key long")
+
+def _longer_keys(rows: DataFrame, similarity: float) -> DataFrame:
+    """(name, key): the paths one token longer than those in above. rows: (name, tokens, above)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        keys = [longer_paths(np.frombuffer(t, np.uint64), np.array(above.as_py(), np.int64).view(np.uint64), similarity).view(np.int64) for t, above in zip(utf8(batch.column(1)), batch.column(2))]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(k) for k in keys]), pa.int64()), pa.array(np.concatenate(keys))], ["name", "key"])
+
+    return by_batch(rows.select("name", "tokens", "above"), run, "name long, key long")
 
 
 def _forest(names: np.ndarray, sketches: np.ndarray, blocks: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -186,17 +181,18 @@ def _blocks(rows: DataFrame, group: str, parts: str, block: str) -> DataFrame:
     return dealt.withColumns({"lo": F.least(block, "_other"), "hi": F.greatest(block, "_other")}).drop("_other")
 
 
-def _candidate_edges(rows: DataFrame) -> DataFrame:
-    """Edges between sets that met in a bucket and whose sketches pass. rows: (name, sketch, paths), a set once or more often."""
+def _candidate_edges(rows: DataFrame, facts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges between sets that met in a bucket and whose sketches pass. rows: (name, sketch, paths), a set once or more often;
+    facts: (name, rep); docs: (doc_id, text), from which the sets in large buckets are made again to be split."""
     found = []
-    paths = rows.select("name", "paths")
     sketches = rows.select("name", "sketch")
+    keys = _keys_of(rows)
     for level in range(DEPTH):
-        # Copies of a set meet by key and set, counts are summed before they meet by key, and Spark can split the join's
-        # large keys: a token that a third of all sets chose is no hot group.
-        keys = settle(_level(paths, level).distinct(), f"paths{level}")
-        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = settle(keys.join(counts, "key"), f"met{level}")
+        # Copies of a set meet by key and set, counts are summed before they meet by key, and keys that a large part of all
+        # sets chose meet by broadcast.
+        keys = settle(keys.distinct(), f"paths{level}")
+        counts = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"counts{level}")
+        met = settle(join_on_hot(keys, counts, "key", "n", keys.count()), f"met{level}")
         last = level == DEPTH - 1
         members = met.where(F.col("n") <= SMALL).select("key", "name", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("block"))
         if last:
@@ -210,8 +206,10 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
         small = small.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("name", "sketch", "block")).alias("members"), F.min("name").alias("lead"))
         found.append(settle(_ties(small).distinct(), f"ties{level}"))
         if not last:
-            large = met.where(F.col("n") > SMALL).select("name", F.col("key").alias("above"))
-            paths = large.join(_once(rows.select("name", "paths"), large.select("name").distinct()), "name").select("name", "paths", "above")
+            large = settle(met.where(F.col("n") > SMALL).groupBy("name").agg(F.collect_list("key").alias("above")), f"large{level}")
+            if not large.limit(1).count():
+                break
+            keys = _longer_keys(_with_tokens(docs, words, large.join(facts.select("name", "rep"), "name")), similarity)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -323,6 +321,14 @@ def _tokens_of(docs: DataFrame, words: int) -> DataFrame:
     return by_batch(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, tokens binary")
 
 
+def _with_tokens(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """wanted (name, rep, ...) with the set's tokens, without rep. docs: (doc_id, text). rep is a document with the set; the
+    bitmap may let others through, and one of those with the set is enough."""
+    texts = Bitmap.of(wanted.select("rep"), "rep").let_through(docs, "doc_id")
+    met = _tokens_of(texts, words).join(wanted, "name").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    return met.drop("doc_id", "rep").dropDuplicates(["name"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """A row per row of docs: doc_id, class_id, n_links.
 
@@ -340,9 +346,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     writes out pairs: buckets and groups give spanning edges and counts. Nothing but a bitmap of bounded size and counts
     reaches the driver."""
     runs = runs_for(recall, similarity=similarity)
-    rows = settle(_prepared(docs, doc_id, text, words, runs), "sets")
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = settle(_prepared(named, "doc_id", "text", words, runs, similarity), "sets")
     facts = settle(rows.where("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "distinct")
-    groups = components(_candidate_edges(rows.where("size > 0").select("name", "sketch", "paths")))
+    groups = components(_candidate_edges(rows.where("size > 0").select("name", "sketch", "paths"), facts, named, words, similarity))
     members = settle(groups.withColumnRenamed("node", "name").join(facts, "name"), "members")
     count = members.count()
     own = rows.select("doc_id", "name", "size")
@@ -353,9 +360,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.least(F.col("n"), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("parts")
     placed = members.join(sizes.select("label", parts), "label").withColumn("block", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
-    # rep is a document with the set; the bitmap may let others through, and one of those with the set is enough.
-    texts = Bitmap.of(members.select("rep"), "rep").let_through(docs.select(F.col(doc_id).alias("doc_id"), text), "doc_id")
-    met = _tokens_of(texts, words).join(placed.select("name", "rep", "label", "copies", "parts", "block"), "name").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep").dropDuplicates(["name"])
+    met = _with_tokens(named, words, placed.select("name", "rep", "label", "copies", "parts", "block"))
     dealt = _blocks(settle(met, "tokens"), "label", "parts", "block")
     tasks = dealt.groupBy("label", "lo", "hi").agg(F.collect_list(F.struct("name", "tokens", "copies", "block")).alias("members"))
     found = settle(_group_links(tasks.select("members"), similarity), "links")

@@ -446,8 +446,10 @@ def test_runs_reach_recall():
     for _ in range(300):
         tokens = np.unique(r.integers(0, 1 << 63, 110, dtype=np.uint64))
         a, b = np.sort(tokens[:100]), np.sort(tokens[11:111])  # similarity 0.8 or a little more
-        x, y = chosen_path.chosen_paths(a, runs), chosen_path.chosen_paths(b, runs)
-        met += bool(set(x[:, -1][x[:, -1] > 0].tolist()) & set(y[:, -1].tolist()))
+        x, y = chosen_path.first_paths(a, runs), chosen_path.first_paths(b, runs)
+        for _ in range(chosen_path.DEPTH - 1):
+            x, y = chosen_path.longer_paths(a, x), chosen_path.longer_paths(b, y)
+        met += bool(set(x.tolist()) & set(y.tolist()))
     assert met >= 296
 
 

@@ -376,6 +376,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs without those that are in the class of a row with a smaller doc_id (null: the largest) or the same
     and a smaller digest of the text. Of rows with the same doc_id and text one stays. A document without words stays."""
+    names = docs.columns  # of any kind: the columns are numbered meanwhile
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"))
     classes = near_duplicates(docs.select(key.alias("_key"), text), "_key", text, **options)
     kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
@@ -384,6 +387,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     digests = rows.select(F.col(doc_id).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
     again = settle(digests.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_again")).distinct(), "again")
     if not again.limit(1).count():
-        return rows
+        return rows.toDF(*names)
     once = rows.join(again, rows[doc_id].eqNullSafe(again["_again"]), "left_anti")
-    return once.unionByName(rows.join(again, rows[doc_id].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([doc_id, text]))
+    return once.unionByName(rows.join(again, rows[doc_id].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([doc_id, text])).toDF(*names)

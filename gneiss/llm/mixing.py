@@ -43,11 +43,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     A source's budget is its target rounded to whole tokens. Every row is taken whole as often as the budget holds the
     source; what is left goes to rows in order of md5(seed:doc_id), then doc_id, then size, until the budget is met,
-    the last row in part. Null text: size 0, taken 0. Null source: a source of its own. Repeated rows each count.
+    the last row in part. A null doc_id is drawn by the row's size. Null text: size 0, taken 0. Null source: a source of its own. Repeated rows each count.
     Empty table: no rows. Columns of docs named like the new ones are replaced. size: a column that has the tokens of a row
     already; then no text is needed."""
     sized = docs.withColumn("_size", F.col(size) if size else token_count(F.col(text)))
-    sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
+    sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("size"), F.col("_size").cast("string"))))))
     totals = sized.groupBy(source).agg(F.sum("_size").alias("source_size"))
     targets = source_targets(totals, source, weights, share, most).select(source, F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     sized = sized.drop("_source_size", "_target")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.llm import langid, packing, pii, queries
 from gneiss.llm.queries import tokenizer_path
@@ -17,6 +18,45 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 
 
+def odd_documents(spark):
+    from test_small import odd
+
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id > 100").orderBy("doc_id").limit(60)
+    more = odd(spark)
+    clash = [c for c in more.columns if c not in base.columns]
+    return base.withColumns({c: F.lit(9) for c in clash}).unionByName(more.withColumn("lang", F.when(F.col("doc_id") > 3, F.col("lang"))))
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stage_on_odd_rows(spark, n):
+    frame = odd_documents(spark)
+    name, stage = corpus_pipeline.STAGES[n]
+    rows = [r.asDict() for r in stage(spark, frame, SMALL).collect()]
+    given = [r.asDict() for r in frame.collect()]
+    if name == "pack":
+        assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in given)
+        return
+    assert all(set(r) == set(given[0]) and all(r[c] == 9 for c in r if c not in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows)
+    ids, texts = Counter(r["doc_id"] for r in rows), Counter((r["doc_id"], r["text"]) for r in rows)
+    if name == "language":
+        assert not [r for r in rows if not r["text"] or not any(c.isalpha() for c in r["text"])] and len(rows) > 55
+    elif name == "near_duplicates":
+        assert max(texts.values()) == 1 and ids[1] == ids[2] == ids[6] == 1 and ids[4] == 1 and ids[5] == 0 and ids[3] == 1 and ids[7] == 2
+    elif name == "personal_data":
+        assert len(rows) == len(given) and [r["text"] for r in rows if r["doc_id"] == 1] == [None]
+    else:
+        assert not any(ids[i] for i in (1, 2, 6)) and ids[4] + ids[5] + ids[7] > 0
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stage_on_an_empty_table(spark, n):
+    from test_small import empty
+
+    frame = empty(spark)
+    got = corpus_pipeline.STAGES[n][1](spark, frame, SMALL)
+    assert got.count() == 0 and (n == 4 or got.columns == frame.columns)
+
+
 def test_stage_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -41,7 +81,7 @@ def test_as_by_brute_force(spark):
     model = langid.fit(np.array([v for _, v in x], np.float32), [k for k, _ in x])
 
     def clear(text):
-        if not text or not re.search(r"[^\W\d_]", text):
+        if not text or not any(c.isalpha() for c in text):
             return False
         first, second, odds = model.decode(langid.features(text)[None])
         return odds[0, first[0]] - odds[0, second[0]] >= langid.MARGIN

@@ -46,8 +46,9 @@ def lookup(table: dict, key: Column, default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), key), default)
 
 
-def model_limit(model: Column) -> Column:
-    return lookup({m[0]: m[3] for m in R.MODELS}, model, F.lit(R.DEFAULT_LIMIT))
+def model_limit(model: Column, others: dict[str, int] | None = None) -> Column:
+    """Input tokens of a model: of the known ones, or of `others`, which may also set a known one anew."""
+    return lookup({m[0]: m[3] for m in R.MODELS} | (others or {}), model, F.lit(R.DEFAULT_LIMIT))
 
 
 def loc(content: Column) -> Column:
@@ -161,6 +162,31 @@ def regex_matches(content: Column, pattern: str) -> Column:
     return walked["out"]
 
 
+def regex_lines(content: Column, pattern: str) -> Column:
+    """All matches in order as structs (line from 1, mark, text); mark: the first two characters of the line, without white
+    space, up to where the match begins. For patterns that never match emptily.
+
+    Line ends are counted in what lies between the matches and in the matches, each once, so a file costs its length."""
+    found = F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(content, pattern, -1)
+    pieces = F.when(F.size(found) > 0, F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("text"))).otherwise(F.array().cast("array<struct<gap:string,text:string>>"))
+    start = F.struct(F.lit(1).alias("line"), F.lit("").alias("mark"), F.array().cast("array<struct<line:int,mark:string,text:string>>").alias("out"))
+
+    def ends(x: Column) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit("\n")))
+
+    def mark_after(mark: Column, x: Column) -> Column:
+        last = F.when(F.contains(x, F.lit("\n")), F.substring_index(x, "\n", -1)).when(F.length(mark) > 1, F.lit("")).otherwise(F.concat(mark, x))
+        return F.when(~F.contains(x, F.lit("\n")) & (F.length(mark) > 1), mark).otherwise(F.substring(F.regexp_replace(last, r"^\s+", ""), 1, 2))
+
+    def step(acc: Column, x: Column) -> Column:
+        line, mark = acc["line"] + ends(x["gap"]), mark_after(acc["mark"], x["gap"])
+        own = F.struct(line.alias("line"), mark.alias("mark"), x["text"].alias("text"))
+        return F.struct((line + ends(x["text"])).alias("line"), mark_after(mark, x["text"]).alias("mark"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(pieces, start, step)["out"]
+
+
 def line_of(content: Column, at: Column) -> Column:
     """The number, from 1, of the line that the character with `at` before it is on."""
     return F.regexp_count(content.substr(F.lit(1), at), F.lit("\n")) + 1

@@ -31,78 +31,121 @@ def may_match(text: Column, low: Column, pattern: str, needs: tuple[str, ...]) -
 def scan_rules(files: DataFrame, rules: tuple[R.Rule, ...] = R.RULES) -> DataFrame:
     """Issues of the regex rules. files: path, ext, content.
 
-    One pass over the files: each rule's matches are an array (empty where the extension gate is shut, before any
-    regex), the arrays are exploded together. Matches on a line that begins as a comment are dropped. Rows are ordered by
-    (rule_ord, match_ord) within a file."""
-    empty = F.array().cast("array<struct<at:int,text:string>>")
+    One pass over the files: each rule's matches are an array (empty where the extension gate is shut or no word that a
+    match needs is there, before any regex), with their lines worked out, and the arrays are exploded together; the
+    contents go no further. Matches on a line that begins as a comment are dropped. Rows are ordered by (rule_ord,
+    match_ord) within a file."""
+    empty = F.array().cast("array<struct<line:int,mark:string,text:string>>")
     found = F.array(*[
         F.struct(
             F.lit(i).alias("rule_ord"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"),
-            F.when(gated(F.col("ext"), r.extensions) & may_match(F.col("content"), F.col("_low"), r.pattern, r.needs) & F.col("content").rlike(r.java), X.regex_matches(F.col("content"), r.java)).otherwise(empty).alias("matches"),
+            F.when(gated(F.col("ext"), r.extensions) & may_match(F.col("content"), F.col("_low"), r.pattern, r.needs), X.regex_lines(F.col("content"), r.java)).otherwise(empty).alias("matches"),
         ) for i, r in enumerate(rules)
     ])
-    hits = files.withColumn("_low", F.lower("content")).select("path", "content", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
-    rows = hits.select("path", "content", "r.rule_ord", "r.type", "r.severity", "r.description", F.posexplode("r.matches").alias("match_ord", "m"))
-    rows = rows.withColumn("line", X.line_of(F.col("content"), F.col("m.at")))
-    rows = rows.where(~F.get(X.lines(F.col("content")), F.col("line") - 1).rlike(r"^\s*(?://|#|\*)"))
+    hits = files.withColumn("_low", F.lower("content")).select("path", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
+    rows = hits.select("path", "r.rule_ord", "r.type", "r.severity", "r.description", F.posexplode("r.matches").alias("match_ord", "m"))
+    # What the match itself adds to the beginning of its line counts too.
+    begins = F.regexp_replace(F.concat("m.mark", F.substring_index("m.text", "\n", 1)), r"^\s+", "")
+    rows = rows.where(~begins.rlike(r"^(?://|#|\*)"))
     description = F.when(F.col("type") == "stubs", F.substring(X.trimmed(F.col("m.text")), 1, 100)).otherwise(F.col("description"))
-    return rows.select(F.col("path").alias("file"), "line", "type", "severity", description.alias("description"), "rule_ord", "match_ord")
+    return rows.select(F.col("path").alias("file"), F.col("m.line").alias("line"), "type", "severity", description.alias("description"), "rule_ord", "match_ord")
 
 
 def flagged_files(issues: DataFrame) -> DataFrame:
     return issues.groupBy("file").agg(F.count(F.lit(1)).alias("n_issues"))
 
 
-def hotspots(files: DataFrame) -> DataFrame:
-    """(path, line, label, snippet): the first pattern of a label that a line matches. Files that hold no word of any
-    pattern are not taken apart, and a line is matched only against patterns that it holds a word of."""
-    low = files.select("path", "ext", "content", F.lower("content").alias("low"))
-    any_word = None
+def _any_word(ext: Column, text: Column, low: Column) -> Column:
+    """Whether a text holds a word of any hotspot of its kind of file."""
+    out = F.lit(False)
     for h in R.HOTSPOTS:
-        one = gated(F.col("ext"), h.extensions) & may_match(F.col("content"), F.col("low"), h.pattern, h.needs)
-        any_word = one if any_word is None else any_word | one
-    # The test stays with the explode: as a filter it would be pushed into whatever makes the contents, once per word.
-    lines = F.posexplode_outer(F.when(any_word, X.lines(F.col("content")))).alias("n", "text")
-    rows = low.select("path", "ext", lines).where("n is not null").withColumn("low", F.lower("text"))
-    labels = F.array(*[F.when(gated(F.col("ext"), h.extensions) & may_match(F.col("text"), F.col("low"), h.pattern, h.needs) & F.col("text").rlike(h.java), F.struct(F.lit(h.label).alias("label"), F.lit(i).alias("ord"))) for i, h in enumerate(R.HOTSPOTS)])
-    hits = rows.select("path", "n", "text", F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("h"))
-    first = hits.groupBy("path", "n", "text", F.col("h.label").alias("label")).agg(F.min("h.ord").alias("ord"))
-    return first.select("path", (F.col("n") + 1).alias("line"), "label", F.substring(X.trimmed(F.col("text")), 1, 80).alias("snippet"), "ord")
+        out = out | (gated(ext, h.extensions) & may_match(text, low, h.pattern, h.needs))
+    return out
+
+
+def hotspots_of(ext: Column, content: Column) -> Column:
+    """An array of structs (line, ord, label, snippet) in that order: the first pattern of each label that a line matches.
+    Texts that hold no word of any pattern are not taken apart, and a line is matched only against patterns that it holds
+    a word of."""
+    by_label: dict[str, list[tuple[int, R.Hotspot]]] = {}
+    for i, h in enumerate(R.HOTSPOTS):
+        by_label.setdefault(h.label, []).append((i, h))
+
+    def of_line(x: Column) -> Column:
+        text, low = x["text"], x["low"]
+
+        def one(label: str) -> Column:
+            out = None
+            for i, h in by_label[label]:
+                hit = gated(ext, h.extensions) & may_match(text, low, h.pattern, h.needs) & text.rlike(h.java)
+                out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
+            return F.struct(x["line"].alias("line"), out.alias("ord"), F.lit(label).alias("label"), F.substring(X.trimmed(text), 1, 80).alias("snippet"))
+
+        return F.when(_any_word(ext, text, low), F.array_sort(F.filter(F.array(*map(one, by_label)), lambda h: h["ord"].isNotNull()))).otherwise(none)
+
+    none = F.array().cast("array<struct<line:int,ord:int,label:string,snippet:string>>")
+    rows = F.transform(X.lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.lower(t).alias("low")))
+    return F.when(_any_word(ext, content, F.lower(content)), F.flatten(F.transform(rows, of_line))).otherwise(none)
+
+
+def hotspots(files: DataFrame) -> DataFrame:
+    """(path, line, label, snippet, ord) by hotspots_of."""
+    return files.select("path", F.explode(hotspots_of(F.col("ext"), F.col("content"))).alias("h")).select("path", "h.line", "h.label", "h.snippet", "h.ord")
+
+
+def signatures_of(ext: Column, content: Column) -> Column:
+    """An array of structs (line, kind, name, params, returns): one at most per line, of the first pattern for its kind of file."""
+    kinds: dict[tuple[str, ...], list[tuple]] = {}
+    for row in R.SIGNATURES:
+        kinds.setdefault(row[1], []).append(row)
+    none = F.array().cast("array<struct<line:int,kind:string,name:string,params:string,returns:string>>")
+
+    def of_line(rows: list[tuple]):
+        def one(text: Column, i: Column) -> Column:
+            chosen: Column | None = None
+            for kind, _, pattern, name, params, returns in rows:
+                java = pattern.replace("|$)", r"|\z)")
+                groups = [F.nullif(X.trimmed(F.regexp_extract(text, java, g)), F.lit("")) for g in returns]
+                # A group that took no part is null; an empty list of parameters is an empty string.
+                given = F.lit(None).cast("string")
+                if params and kind == "class":
+                    given = F.when(text.rlike(r"^class\s+\w+\("), X.trimmed(F.regexp_extract(text, java, params)))
+                elif params:
+                    given = X.trimmed(F.regexp_extract(text, java, params))
+                got = (F.coalesce(*groups) if groups else F.lit(None)).cast("string")
+                made = F.struct((i + 1).alias("line"), F.lit(kind).alias("kind"), F.regexp_extract(text, java, name).alias("name"), given.alias("params"), got.alias("returns"))
+                chosen = F.when(text.rlike(java), made) if chosen is None else chosen.when(text.rlike(java), made)
+            return chosen
+
+        return one
+
+    bare = F.transform(X.lines(content), lambda t: F.regexp_replace(t, r"^\s+", ""))
+    out: Column | None = None
+    for exts, rows in kinds.items():
+        own = F.filter(F.transform(bare, of_line(rows)), lambda s: s.isNotNull())
+        out = F.when(ext.isin(*exts), own) if out is None else out.when(ext.isin(*exts), own)
+    return out.otherwise(none)
 
 
 def signatures(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name, params, returns): one at most per line, of the first pattern for its kind of file."""
-    kinds = sorted({e for _, exts, *_ in R.SIGNATURES for e in exts})
-    rows = files.where(F.col("ext").isin(kinds)).select("path", "ext", F.posexplode(X.lines(F.col("content"))).alias("n", "raw"))
-    rows = rows.withColumn("text", F.regexp_replace("raw", r"^\s+", ""))
-    chosen: Column | None = None
-    for kind, exts, pattern, name, params, returns in R.SIGNATURES:
-        java = pattern.replace("|$)", r"|\z)")
-        groups = [F.nullif(X.trimmed(F.regexp_extract("text", java, g)), F.lit("")) for g in returns]
-        # A group that took no part is null; an empty list of parameters is an empty string.
-        given = F.lit(None).cast("string")
-        if params and kind == "class":
-            given = F.when(F.col("text").rlike(r"^class\s+\w+\("), X.trimmed(F.regexp_extract("text", java, params)))
-        elif params:
-            given = X.trimmed(F.regexp_extract("text", java, params))
-        made = F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", java, name).alias("name"), given.alias("params"), (F.coalesce(*groups) if groups else F.lit(None).cast("string")).alias("returns"))
-        test = gated(F.col("ext"), exts) & F.col("text").rlike(java)
-        chosen = F.when(test, made) if chosen is None else chosen.when(test, made)
-    found = rows.withColumn("s", chosen).where(F.col("s").isNotNull())
-    return found.select("path", (F.col("n") + 1).alias("line"), "s.kind", "s.name", "s.params", "s.returns")
+    """(path, line, kind, name, params, returns) by signatures_of."""
+    return files.select("path", F.explode(signatures_of(F.col("ext"), F.col("content"))).alias("s")).select("path", "s.line", "s.kind", "s.name", "s.params", "s.returns")
 
 
 def _all(pattern: str, group: int = 1, content: str = "content") -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
 
 
-def light_imports(files: DataFrame) -> DataFrame:
-    """(path, pos, spec): the imports that a fingerprint shows."""
+def light_imports_of(ext: Column) -> Column:
+    """An array of the imports in `content` that a fingerprint shows."""
     py = F.transform(_all(r"(?m)^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", 0), lambda m: F.regexp_extract(m, r"^(?:from|import)\s+([\w.]+)", 1))
     go = F.filter(_all(r'"([^"]+)"'), lambda s: s.contains(".") | s.contains("/"))
-    ext = F.col("ext")
-    found = F.when(ext.isin(*R.SCRIPT), _all(r"(?m)^import\s+.*?from\s+['\"]([^'\"]+)['\"]")).when(ext == ".py", py).when(ext == ".go", go).otherwise(F.array().cast("array<string>"))
-    return files.select("path", F.posexplode(found).alias("pos", "spec"))
+    return F.when(ext.isin(*R.SCRIPT), _all(r"(?m)^import\s+.*?from\s+['\"]([^'\"]+)['\"]")).when(ext == ".py", py).when(ext == ".go", go).otherwise(F.array().cast("array<string>"))
+
+
+def light_imports(files: DataFrame) -> DataFrame:
+    """(path, pos, spec) by light_imports_of."""
+    return files.select("path", F.posexplode(light_imports_of(F.col("ext"))).alias("pos", "spec"))
 
 
 def full_imports(files: DataFrame) -> DataFrame:
@@ -143,6 +186,7 @@ def unused_imports(files: DataFrame) -> DataFrame:
     )
 
 
+# How functions, and constants that are arrow functions, begin.
 _FUNCTION = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\(", re.A)
 _ARROW = re.compile(r"^(?:export\s+)?const\s+(\w+)\s*(:\s*[^=]+?)?\s*=\s*(?:async\s*)?\(", re.A)
 #: Lines that a parameter list may span, and lines after it that may hold its return type.

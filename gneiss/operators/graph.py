@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,27 +50,35 @@ def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pack_next_fit(items: DataFrame, budget: int, group: list[str] | None = None) -> DataFrame:
-    """(group..., path, tokens, hotspots, chunk, pos): next-fit in order of hotspots (most first), then ord.
+    """(group..., path, tokens, hotspots, chunk, pos): next-fit in order of hotspots (most first), then ord, then path.
 
     items: path, tokens, hotspots, ord and the group columns. A chunk is closed when the next item would overrun the
     budget and it holds something; an item over the budget has a chunk to itself. The sum starts anew at each overrun,
-    which no window frame expresses: each group is sorted into an array and folded once. Groups are packed apart (without
-    any, all items are one group: keep them to a repository's files)."""
+    which no window frame expresses: the items are sorted by group, and a walk along them holds a few numbers, however
+    large a group is. Groups are packed apart (without any, all items are one group: keep them to a repository's files)."""
     by = group or []
-    item = F.struct((-F.col("hotspots")).alias("k"), "ord", "path", "tokens", "hotspots")
-    rows = items.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] + x["tokens"] > budget) & (acc["held"] > 0)
-        chunk = F.when(over, acc["chunk"] + 1).otherwise(acc["chunk"])
-        used = F.when(over, F.lit(0).cast("long")).otherwise(acc["used"]) + x["tokens"]
-        held = F.when(over, F.lit(0)).otherwise(acc["held"]) + 1
-        return F.struct(chunk.alias("chunk"), used.cast("long").alias("used"), held.alias("held"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    folded = rows.withColumn("chunks", F.aggregate("items", zero, step, lambda acc: acc["out"]))
-    each = folded.select(*by, F.posexplode(F.arrays_zip("items", "chunks")).alias("pos", "z"))
-    return each.select(*by, "z.items.path", "z.items.tokens", "z.items.hotspots", F.col("z.chunks").alias("chunk"), "pos")
+    rows = items.select(*by, "path", "tokens", "hotspots", "ord")
+    rows = rows.repartition(*by) if by else rows.repartition(1)
+    rows = rows.sortWithinPartitions(*by, F.desc("hotspots"), "ord", "path").drop("ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, used, pos = None, 0, 0, -1
+        for b in batches:
+            chunks, places = [], []
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else [()] * b.num_rows
+            for key, tokens in zip(keys, b.column(len(by) + 1).to_pylist()):
+                if key != now:
+                    now, chunk, used, pos = key, 0, 0, -1
+                pos += 1
+                if pos and used + tokens > budget:
+                    chunk, used = chunk + 1, 0
+                used += tokens
+                chunks.append(chunk)
+                places.append(pos)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int32()), pa.array(places, pa.int32())], [*b.schema.names, "chunk", "pos"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, chunk int, pos int")
 
 
 def smart_groups(files: list[dict], neighbours: dict[str, set[str]], budget: int) -> list[list[str]]:
@@ -123,20 +133,23 @@ def directory_manifest(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", F.coalesce(F.nullif(F.regexp_extract("name", r"^.+?(\.[^.]*)\z", 1), F.lit("")), F.lit("other")))
     kinds = rows.groupBy("directory", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
     counted = kinds.groupBy("directory").agg(F.sort_array(F.collect_list(F.struct("first", F.concat(F.col("n").cast("string"), "kind").alias("text")))).alias("k"), F.sum("n").alias("n"))
-    few = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("path", "name"))), 1, 3).alias("names"))
-    met = counted.join(few.select("directory", "names"), "directory")
+    place = F.row_number().over(Window.partitionBy("directory").orderBy("path"))
+    few = rows.withColumn("_n", place).where("_n <= 3").groupBy("directory").agg(F.sort_array(F.collect_list(F.struct("path", "name"))).alias("names"))
+    met = counted.join(few, "directory")
     text = F.when(F.col("n") <= 3, F.array_join(F.transform("names", lambda x: x["name"]), ", ")).otherwise(F.array_join(F.transform("k", lambda x: x["text"]), " "))
     return met.select("directory", F.concat(F.lit("  "), F.col("directory"), F.lit("/ "), text).alias("line"))
 
 
-def manifest(head: str, lines: list[str], related: list[str], most: int = 600) -> str:
-    """The text of a manifest from its parts, cut to `most` characters."""
-    text = f"{head}\nStructure:\n" + "".join(f"{x}\n" for x in lines)
-    if related:
-        text += "Related files in other chunks:\n" + "\n".join(related[:6]) + "\n"
-        if len(related) > 6:
-            text += f"  ... +{len(related) - 6} more\n"
-    return text if len(text) <= most else text[: most - 20] + "\n  ... (trimmed)\n"
+#: Related files that a manifest names, and its characters at most.
+RELATED, MANIFEST = 6, 600
+
+
+def manifest_text(head: Column, lines: Column, related: Column, most: int = MANIFEST) -> Column:
+    """The text of a manifest from its parts (lines, related: arrays), cut to `most` characters with a note at the end."""
+    told = F.concat(F.lit("Related files in other chunks:\n"), F.array_join(F.slice(related, 1, RELATED), "\n"), F.lit("\n"))
+    rest = F.when(F.size(related) > RELATED, F.concat(F.lit("  ... +"), (F.size(related) - RELATED).cast("string"), F.lit(" more\n"))).otherwise("")
+    text = F.concat(head, F.lit("\nStructure:\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), F.when(F.size(related) > 0, F.concat(told, rest)).otherwise(""))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 20), F.lit("\n  ... (trimmed)\n")))
 
 
 def related_files(placed: DataFrame, imports: DataFrame, most: int = 6) -> DataFrame:
@@ -164,3 +177,27 @@ def related_files(placed: DataFrame, imports: DataFrame, most: int = 6) -> DataF
 def halves(pos: Column, count: Column) -> Column:
     """Which half of a chunk of `count` files one falls into when the chunk is too large for a request."""
     return F.when(pos < F.ceil(count / 2), F.lit(0)).otherwise(F.lit(1))
+
+
+#: The halves of a chunk that was too large get this share of the budget, and parts are halved so often at most.
+HALF_SHARE, HALF_DEPTH = 0.45, 2
+
+
+def split_chunks(placed: DataFrame, refused: DataFrame, budget: int, depth: int = HALF_DEPTH) -> DataFrame:
+    """placed (chunk, pos, ...) with part and file_budget: chunks that a model refused as too large, in halves.
+
+    refused: chunk, part (empty for the whole chunk) of each refusal so far. A refused part becomes its two halves, up to
+    `depth` times; what is refused beyond that stays, for the caller to leave out. file_budget: the characters that each
+    file of a half may have, an even share of HALF_SHARE of the budget (see compress.fitted); null where nothing was cut."""
+    rows = placed.withColumns({"part": F.lit(""), "file_budget": F.lit(None).cast("long")})
+    for _ in range(depth):
+        hit = refused.select("chunk", "part", F.lit(True).alias("_hit")).distinct()
+        own = Window.partitionBy("chunk", "part")
+        met = rows.join(hit, ["chunk", "part"], "left").withColumns({"_count": F.count(F.lit(1)).over(own), "_at": F.row_number().over(own.orderBy("pos")) - 1})
+        half = halves(F.col("_at"), F.col("_count"))
+        first = F.ceil(F.col("_count") / 2)
+        files = F.when(half == 0, first).otherwise(F.col("_count") - first)
+        cut = F.col("_hit").isNotNull()
+        share = F.floor(F.lit(int(budget * HALF_SHARE)) / files).cast("long")
+        rows = met.withColumns({"file_budget": F.when(cut, share).otherwise(F.col("file_budget")), "part": F.when(cut, F.concat("part", half.cast("string"))).otherwise(F.col("part"))}).drop("_hit", "_count", "_at")
+    return rows

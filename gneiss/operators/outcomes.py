@@ -49,6 +49,13 @@ def remaining_requests(usage: DataFrame, today: Column) -> DataFrame:
     return met.select("model", "tier", "used", F.greatest(F.lit(0), F.col("per_day") - F.col("used")).alias("remaining"))
 
 
+def record_requests(usage: DataFrame, today: Column, model: str, requests: int = 1) -> DataFrame:
+    """usage to be kept: today's rows, one per model, with the requests just made; other days are done with."""
+    made = usage.sparkSession.createDataFrame([(model, requests)], "model string, requests_used int").select("model", today.alias("date"), "requests_used")
+    rows = usage.where(F.col("date") == today).select("model", "date", "requests_used").unionByName(made)
+    return rows.groupBy("model", "date").agg(F.sum("requests_used").alias("requests_used"))
+
+
 def budget_level(remaining: DataFrame, primary: str) -> DataFrame:
     """(total, own, level): critical under 15 in all; flush from 20 of the primary model or 40 in all; else normal."""
     sums = remaining.agg(F.sum("remaining").alias("total"), F.coalesce(F.max(F.when(F.col("model") == primary, F.col("remaining"))), F.lit(0)).alias("own"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
@@ -28,15 +30,21 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join({"**": ".*", "*": "[^/]*"}.get(p, re.sub(r"([.+^${}()|\[\]\\?])", r"\\\1", p)) for p in parts) + r"\z"
 
 
+def _never(test: Column) -> Column:
+    """Rows for which the test does not hold; a test on a null field does not hold."""
+    return ~F.coalesce(test, F.lit(False))
+
+
 def apply_filters(issues: DataFrame, filters: Filters) -> DataFrame:
-    """issues without excluded types, severities below the least, and files that a glob matches."""
+    """issues without excluded types, severities below the least, and files that a glob matches. A null field is excluded by
+    nothing; a null severity ranks lowest."""
     keep: Column = F.lit(True)
     if filters.exclude_types:
-        keep = keep & ~F.col("type").isin(*filters.exclude_types)
+        keep = keep & _never(F.col("type").isin(*filters.exclude_types))
     if filters.min_severity:
         keep = keep & at_least(F.col("severity"), filters.min_severity)
     for glob in filters.exclude_paths:
-        keep = keep & ~F.col("file").rlike(glob_regex(glob))
+        keep = keep & _never(F.col("file").rlike(glob_regex(glob)))
     return issues.where(keep)
 
 
@@ -49,28 +57,44 @@ def min_severity(issues: DataFrame, least: str) -> DataFrame:
 
 
 def valid_regex(pattern: str) -> bool:
+    """Whether the engine that runs it takes a pattern: Java's, where a session is there to ask."""
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if session:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
 
+def _told() -> Column:
+    return F.concat(F.coalesce("file", F.lit("")), F.lit(":"), F.coalesce("description", F.lit("")))
+
+
 def apply_allow_rules(issues: DataFrame, patterns: list[str]) -> DataFrame:
-    """issues without those whose `file:description` a pattern matches, whatever its case; broken patterns count for nothing."""
-    told = F.concat(F.col("file"), F.lit(":"), F.col("description"))
+    """issues without those whose `file:description` a pattern matches, whatever its case; broken patterns count for nothing.
+    A null field is empty."""
     allowed: Column = F.lit(False)
     for p in filter(valid_regex, patterns):
-        allowed = allowed | told.rlike(f"(?i){p}")
+        allowed = allowed | _told().rlike(f"(?i){p}")
     return issues.where(~allowed)
 
 
+#: Patterns of an allow table that one join broadcasts.
+ALLOW_PART = 10_000
+
+
 def apply_allow_table(issues: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same with the patterns in a table (pattern): few rows, so the join is a broadcast of checked size."""
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("an allow list has 10,000 patterns at most")
-    told = F.concat(F.col("file"), F.lit(":"), F.col("description"))
-    return issues.join(F.broadcast(rules.select(F.concat(F.lit("(?i)"), "pattern").alias("_p"))), F.call_function("rlike", told, F.col("_p")), "left_anti")
+    """The same with the patterns in a table (pattern). Each join broadcasts about ALLOW_PART of them; more take more joins."""
+    parts = -(-rules.count() // ALLOW_PART)
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
+    usable = rules.where(F.col("pattern").isNotNull()).where(compiled.isNotNull()).select(F.concat(F.lit("(?i)"), "pattern").alias("_p"))
+    for n in range(parts):
+        own = usable.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == n)
+        issues = issues.join(F.broadcast(own), F.call_function("rlike", _told(), F.col("_p")), "left_anti")
+    return issues
 
 
 def merge_filters(filters: list[Filters]) -> Filters:

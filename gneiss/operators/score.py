@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
 from gneiss.functions import text as X
+from gneiss.operators.ordering import row_numbers
 
 
 def penalty(severity: Column) -> Column:
@@ -102,8 +103,11 @@ def last_fixed(issues: DataFrame, most: int = 20, seq: str = "seq") -> DataFrame
 
 
 def batches(rows: DataFrame, order: list[str], size: int = 8, group: list[str] | None = None) -> DataFrame:
-    """rows with batch and index, in batches of `size` within each group."""
-    n = F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order)) - 1
+    """rows with batch and index, in batches of `size` within each group, or over all rows (order then begins with a number)."""
+    if not group:
+        rows = row_numbers(rows, order[0], order[1:], "_n").withColumn("_n", F.col("_n") - 1)
+        return rows.withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "index": (F.col("_n") % size).cast("int")}).drop("_n")
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return rows.withColumn("_n", n).withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "index": (F.col("_n") % size).cast("int")}).drop("_n")
 
 
@@ -114,8 +118,15 @@ def clusters(issues: DataFrame, size: int = 10, seq: str = "seq") -> DataFrame:
     rows = batches(rows, ["_rank", seq], size, ["directory"])
     rows = rows.withColumn("_first", F.min(seq).over(Window.partitionBy("directory")))
     per = rows.groupBy("directory", "batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.min("_rank").alias("worst"), F.first("_first").alias("_first"))
-    return per.withColumn("cluster_rank", F.row_number().over(Window.orderBy("worst", "_first", "batch"))).drop("_first")
+    # Severity and first appearance as one number, by which the order is dealt to ranges.
+    ranked = row_numbers(per.withColumn("_lead", F.shiftleft(F.col("worst").cast("long"), 48) + F.col("_first")), "_lead", ["batch"], "cluster_rank")
+    return ranked.drop("_first", "_lead")
 
 
 def split_status(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return issues.where("status = 'fixed'"), issues.where("status = 'skipped'")
+
+
+def newest_first(history: DataFrame, order: str = "run") -> DataFrame:
+    """history with place: 1 for the last run."""
+    return row_numbers(history, order, [], "place", descending=True)

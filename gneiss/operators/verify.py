@@ -44,17 +44,22 @@ def correct_lines(found: DataFrame, files: DataFrame) -> DataFrame:
 
     The lines around a row's own are a slice of its file's lines, so nothing is joined line by line."""
     met = found.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    return _corrected(met).drop("content")
+
+
+def _corrected(met: DataFrame) -> DataFrame:
+    """correct_lines of rows that have the content of their file (null: no such file)."""
     claim = X.normalized(F.col("line_content"))
     start, n = _window(F.col("line").cast("int"), CONTENT_LINES, CONTENT_LINES)
-    around = F.slice(X.lines(F.col("content")), start + 1, F.greatest(n, F.lit(0)))
     met = met.withColumns({"_claim": claim, "_start": start})
-    hits = F.filter(F.transform(around, lambda x, i: F.when(X.normalized(x).contains(F.col("_claim")) | F.col("_claim").contains(X.normalized(x)), i)), lambda v: v.isNotNull())
-    met = met.withColumn("_hit", F.get(hits, F.lit(0)))
     checked = F.coalesce((F.length("_claim") > LEAST_CLAIM) & (F.col("line") > 0) & F.col("content").isNotNull(), F.lit(False))
-    met = met.withColumn("content_verified", checked & F.col("_hit").isNotNull())
-    met = met.where(~checked | F.col("_hit").isNotNull())
-    line = F.when(F.col("content_verified"), (F.col("_start") + F.col("_hit") + 1).cast(found.schema["line"].dataType)).otherwise(F.col("line"))
-    return met.withColumn("line", line).drop("_claim", "_start", "_hit", "content")
+    around = F.slice(X.lines(F.col("content")), F.col("_start") + 1, F.greatest(n, F.lit(0)))
+    flat = F.transform(around, X.normalized)
+    hits = F.filter(F.transform(flat, lambda x, i: F.when(x.contains(F.col("_claim")) | F.col("_claim").contains(x), i)), lambda v: v.isNotNull())
+    met = met.withColumn("_checked", checked).withColumn("_hit", F.when(F.col("_checked"), F.get(hits, F.lit(0))))
+    met = met.where(~F.col("_checked") | F.col("_hit").isNotNull()).withColumn("content_verified", F.col("_checked"))
+    line = F.when(F.col("_checked"), (F.col("_start") + F.col("_hit") + 1).cast(met.schema["line"].dataType)).otherwise(F.col("line"))
+    return met.withColumn("line", line).drop("_claim", "_start", "_checked", "_hit")
 
 
 def has_evidence(description: Column, evidence: Column, line: Column, content: Column) -> Column:
@@ -81,15 +86,21 @@ def has_evidence(description: Column, evidence: Column, line: Column, content: C
 
 def require_evidence(found: DataFrame, files: DataFrame) -> DataFrame:
     """found without claims about security, high or critical, that nothing bears out. found has content_verified."""
-    met = found.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
-    grave = (F.col("type") == "security") & F.col("severity").isin("high", "critical") & ~F.col("content_verified")
+    return _borne(found.join(files.select(F.col("path").alias("file"), "content"), "file", "left")).drop("content")
+
+
+def _borne(met: DataFrame) -> DataFrame:
+    grave = F.coalesce((F.col("type") == "security") & F.col("severity").isin("high", "critical"), F.lit(False)) & ~F.col("content_verified")
     borne = F.col("content").isNull() | has_evidence(F.col("description"), F.col("evidence"), F.col("line"), F.col("content"))
-    return met.where(~grave | borne).drop("content")
+    return met.where(F.when(grave, F.coalesce(borne, F.lit(False))).otherwise(F.lit(True)))
 
 
 def verify(found: DataFrame, local: DataFrame, files: DataFrame) -> DataFrame:
-    """All checks in their order."""
-    return require_evidence(correct_lines(in_known_files(drop_local_duplicates(found, local), files), files), files).drop("content_verified")
+    """All checks in their order: without findings that local ones tell already, of unknown files, misplaced or unfounded.
+    The files' contents meet the findings once."""
+    fresh = drop_local_duplicates(found, local)
+    met = fresh.join(files.select(F.col("path").alias("file"), "content"), "file")
+    return _borne(_corrected(met)).drop("content_verified", "content")
 
 
 def keep_real(found: DataFrame, verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:

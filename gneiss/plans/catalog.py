@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
@@ -57,11 +57,11 @@ _LOC = "len(list_filter(string_split(content, chr(10)), lambda l: regexp_matches
 # ---- detectors -------------------------------------------------------------------------------------------------------
 
 
-def _rules_cte() -> str:
+def _rules_cte(rules: tuple[R.Rule, ...] = R.RULES) -> str:
     """found(file, line, type, severity, description, rule_ord, match_ord) over code_files: each rule's matches are placed by
     the lengths of what lies between them."""
     parts = []
-    for i, r in enumerate(R.RULES):
+    for i, r in enumerate(rules):
         description = f"substr({_trim('m')}, 1, 100)" if r.type == "stubs" else _q(r.description)
         parts.append(f"""SELECT path, content, place, {_q(r.type)} AS type, {_q(r.severity)} AS severity, {description} AS description, {i} AS rule_ord, n - 1 AS match_ord FROM (
           SELECT path, content, n, ms[n] AS m, coalesce(list_sum(list_transform(gs[1:n], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:n - 1], lambda x: len(x))), 0) AS place FROM (
@@ -146,12 +146,13 @@ def _signature_sql() -> str:
         got = f"coalesce({', '.join(f'nullif({group(g)}, {_q('')})' for g in returns)})" if returns else "NULL"
         branches.append(f"WHEN {_ext_in(exts)} AND {test} THEN {{'kind': '{kind}', 'name': regexp_extract(t, {_q(plain)}, {name}), 'params': CAST({given} AS VARCHAR), 'returns': CAST({got} AS VARCHAR)}}")
     return (
-        "l AS (SELECT path, ext, unnest(range(1, len(ls) + 1)) AS n, regexp_replace(unnest(ls), '^\\s+', '') AS t FROM (SELECT path, ext, string_split(content, chr(10)) AS ls FROM code_files)), "
-        "s AS (SELECT path, n, CASE " + "\n".join(branches) + " END AS s FROM l) SELECT path, n AS line, s.kind AS kind, s.name AS name, s.params AS params, s.returns AS returns FROM s WHERE s IS NOT NULL"
+        "sl AS (SELECT path, ext, unnest(range(1, len(ls) + 1)) AS n, regexp_replace(unnest(ls), '^\\s+', '') AS t FROM (SELECT path, ext, string_split(content, chr(10)) AS ls FROM code_files)), "
+        "sr AS (SELECT path, n, CASE " + "\n".join(branches) + " END AS s FROM sl), "
+        "signed AS (SELECT path, n AS line, s.kind AS kind, s.name AS name, s.params AS params, s.returns AS returns FROM sr WHERE s IS NOT NULL)"
     )
 
 
-@query(oracle_with("code_files") + ", " + _signature_sql())
+@query(oracle_with("code_files") + ", " + _signature_sql() + " SELECT * FROM signed")
 def signatures(spark, d):
     return detect.signatures(view(spark, d, "code_files"))
 
@@ -193,22 +194,45 @@ def _unused_sql() -> str:
       e AS (SELECT path, content, kind, place, unnest(range(0, len(names))) AS pos, {_trim('unnest(names)')} AS raw FROM i),
       w AS (SELECT *, coalesce(nullif({_trim(r"string_split_regex(raw, '\s+as\s+')[2]")}, ''), string_split_regex(raw, '\\s+as\\s+')[1]) AS name FROM e),
       u AS (SELECT *, len(string_split(content[1:CAST(place AS BIGINT)], chr(10))) AS line FROM w WHERE (CASE WHEN kind = 0 THEN len(name) >= 2 ELSE name <> 'React' END)
-        AND len(regexp_extract_all(content, '\\b' || regexp_escape(name) || '\\b')) <= 1)
-      SELECT path AS file, line, 'lint' AS type, 'low' AS severity, 'Unused import: ''' || name || '''' AS description, {len(R.RULES) + 1} AS rule_ord,
-        CAST(row_number() OVER (PARTITION BY path ORDER BY kind, place, pos) - 1 AS INT) AS match_ord FROM u"""
+        AND len(regexp_extract_all(content, '\\b' || regexp_escape(name) || '\\b')) <= 1),
+      unused AS (SELECT path AS file, line, 'lint' AS type, 'low' AS severity, 'Unused import: ''' || name || '''' AS description, {len(R.RULES) + 1} AS rule_ord,
+        CAST(row_number() OVER (PARTITION BY path ORDER BY kind, place, pos) - 1 AS INT) AS match_ord FROM u)"""
 
 
-@query(oracle_with("code_files") + ", " + _unused_sql())
+@query(oracle_with("code_files") + ", " + _unused_sql() + " SELECT * FROM unused")
 def unused_imports(spark, d):
     return detect.unused_imports(view(spark, d, "code_files"))
 
 
-@query()
+#: A function's line, the 30 lines from it on, the first bracket closed in them, and what follows that on its and two more lines.
+_MISSING = rf"""fl AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i, {_trim('unnest(ls)')} AS h, unnest(ls) AS raw FROM (SELECT path, string_split(content, chr(10)) AS ls FROM code_files WHERE ext IN ('.ts', '.tsx'))),
+  fh AS (SELECT path, ls, i, array_to_string(ls[i:i + 29], chr(10)) AS block, regexp_extract(h, '^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\(', 1) AS f,
+      regexp_extract(h, '^(?:export\s+)?const\s+(\w+)\s*(?::\s*[^=]+?)?\s*=\s*(?:async\s*)?\(', 1) AS c, {_trim(r"regexp_extract(h, '^(?:export\s+)?const\s+(?:\w+)\s*(:\s*[^=]+?)?\s*=\s*(?:async\s*)?\(', 1)")} AS given
+    FROM fl WHERE NOT regexp_matches(h, '^(//|\*|/\*)')),
+  fb AS (SELECT path, i, p, ch, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY path, i ORDER BY p) AS depth FROM (
+    SELECT path, i, unnest(range(1, len(block) + 1)) AS p, unnest(string_split(block, '')) AS ch FROM fh WHERE (f <> '' AND f <> 'constructor') OR (f = '' AND c NOT IN ('', 'constructor') AND len(given) <= 1))),
+  fc AS (SELECT path, i, min(p) AS p FROM fb WHERE ch = ')' AND depth = 0 GROUP BY path, i),
+  fr AS (SELECT path, i, f, c, split_part(block[p + 1:], chr(10), 1) || array_to_string(list_transform(list_prepend('', ls[e + 1:e + 2]), lambda x: {_trim('x')}), ' ') AS rest
+    FROM (SELECT *, i + len(string_split(block[1:p], chr(10))) - 1 AS e FROM fh JOIN fc USING (path, i))),
+  missing AS (SELECT path AS file, CAST(i AS INT) AS line, 'types' AS type, 'medium' AS severity, 'Function ''' || coalesce(nullif(f, ''), c) || ''' is missing an explicit return type annotation' AS description, {len(R.RULES)} AS rule_ord,
+      CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INT) AS match_ord
+    FROM fr WHERE CASE WHEN f <> '' THEN NOT regexp_matches(rest, '^\s*:') ELSE contains(rest, '=>') AND NOT regexp_matches(split_part(rest, '=>', 1), '[?;{{}}]') AND NOT (regexp_matches(rest, '^\s*:\s*\S') AND contains(split_part(rest, '=>', 1), ':')) END)"""
+
+
+@query(oracle_with("code_files") + ", " + _MISSING + " SELECT * FROM missing")
 def missing_return_types(spark, d):
     return detect.missing_return_types(view(spark, d, "code_files"))
 
 
-@query()
+_ALLS = _MISSING + ", " + _unused_sql() + ", alls AS (SELECT * FROM found UNION ALL SELECT * FROM missing UNION ALL SELECT * FROM unused)"
+_ALL = _RULES + ", " + _ALLS
+
+
+@query(
+    _ALL
+    + f""", once AS (SELECT * FROM alls QUALIFY row_number() OVER (PARTITION BY file, line, type ORDER BY rule_ord, match_ord) = 1), s AS (SELECT count(*) AS n_issues, CAST(sum({_PENALTY}) AS BIGINT) AS penalty FROM once),
+    f AS (SELECT CAST(greatest(sum({_LOC}), 1) AS BIGINT) AS loc FROM code_files) SELECT n_issues, penalty, loc, CAST(least(100, greatest(0, floor(100.0::DOUBLE - penalty / greatest(1.0::DOUBLE, loc / 1000.0::DOUBLE) + 0.5::DOUBLE))) AS INT) AS score FROM s, f"""
+)
 def local_scan_score(spark, d):
     """All detectors, first-wins, score of the whole."""
     files = view(spark, d, "code_files")
@@ -278,39 +302,77 @@ def commit_messages(spark, d):
     return outcomes.commit_messages(rows.withColumn("description", F.concat("description", F.repeat(F.lit("!"), (F.col("seq") % 60).cast("int")))))
 
 
-@query("SELECT p_partkey AS id, CAST(floor(greatest(p_size * 300 - 500, 1000) * 3.2::DOUBLE) AS BIGINT) AS budget, CASE WHEN p_partkey % 3 = 0 THEN 8000 ELSE 8000 END AS model_limit FROM part")
+@query("SELECT p_partkey AS id, CAST(floor(greatest(p_size * 300 - 500, 1000) * 3.2::DOUBLE) AS BIGINT) AS budget, CASE p_partkey % 3 WHEN 0 THEN 8000 WHEN 1 THEN 16000 ELSE 8000 END AS model_limit FROM part")
 def model_budgets(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
-    model = F.when(F.col("p_partkey") % 3 == 0, "openai/gpt-4o").otherwise("unknown-model")
-    return p.select(F.col("p_partkey").alias("id"), X.code_budget(F.col("p_size") * 300).alias("budget"), X.model_limit(model).alias("model_limit"))
+    model = F.when(F.col("p_partkey") % 3 == 0, "openai/gpt-4o").when(F.col("p_partkey") % 3 == 1, "own/model").otherwise("unknown-model")
+    return p.select(F.col("p_partkey").alias("id"), X.code_budget(F.col("p_size") * 300).alias("budget"), X.model_limit(model, {"own/model": 16000}).alias("model_limit"))
 
 
 _Q, _A = '"' * 3, "''" * 3  # three double quotes; three single ones inside a literal
 
 
-@query(
-    oracle_with("code_files")
-    + f"SELECT path, len(t) AS n_chars, substr(sha256(t), 1, 16) AS hash FROM (SELECT path, regexp_replace(CASE WHEN ext = '.py' "
+_BARE = (
+    "bare AS (SELECT path, ext, content, regexp_replace(CASE WHEN ext = '.py' "
     + rf"THEN regexp_replace(regexp_replace(regexp_replace(content, '(?s){_Q}.*?{_Q}', '{_Q}{_Q}', 'g'), '(?s){_A}.*?{_A}', '{_A}{_A}', 'g'), '(?m)^(\s*)#([^!\n].*)?$', '', 'g') "
     + r"ELSE regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g') END, '\n{3,}', chr(10) || chr(10), 'g') AS t FROM code_files)"
 )
+
+
+@query(oracle_with("code_files") + f", {_BARE} SELECT path, len(t) AS n_chars, substr(sha256(t), 1, 16) AS hash FROM bare")
 def comments_stripped(spark, d):
     rows = view(spark, d, "code_files").select("path", compress.without_comments(F.col("content"), F.col("ext")).alias("t"))
     return rows.select("path", F.length("t").alias("n_chars"), X.content_hash(F.col("t")).alias("hash"))
 
 
-@query()
+#: Line by line: whether a body is open (the indent of its declaration) and the number of the line in it; four lines on, all
+#: but the last are gone, and that one is the mark.
+_FITTED = rf""", sk AS (SELECT path, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS t, ext FROM (SELECT path, ext, string_split(t, chr(10)) AS ls FROM bare WHERE len(content) > 140 AND len(t) > 140)),
+  si AS (SELECT path, i, t, CASE WHEN regexp_matches(t, '\S') THEN len(regexp_extract(t, '^\s*')) END AS indent, len(regexp_extract(t, '^\s*')) AS lead,
+    CASE WHEN ext = '.py' THEN regexp_matches(t, '^(\s*)(def |class |async def )') ELSE regexp_matches(t, '^(\s*)(function |class |const \w+\s*=\s*(?:async\s*)?\(|export (?:default )?(?:function|class|const|async)|interface |type \w+\s*=)') END AS head FROM sk),
+  sw AS (SELECT path, i, t, CASE WHEN head THEN lead END AS base, 0 AS nth FROM si WHERE i = 1 UNION ALL
+    SELECT n.path, n.i, n.t, CASE WHEN w.base IS NULL THEN CASE WHEN n.head THEN n.lead END WHEN n.indent <= w.base THEN NULL ELSE w.base END,
+      CASE WHEN w.base IS NULL OR n.indent <= w.base THEN 0 ELSE w.nth + 1 END FROM sw w JOIN si n ON n.path = w.path AND n.i = w.i + 1),
+  so AS (SELECT path, i, CASE WHEN nth <= 3 THEN t WHEN coalesce(lead(nth) OVER (PARTITION BY path ORDER BY i), 0) = 0 THEN repeat(' ', CAST(base + 2 AS INT)) || '// ... ' || (nth - 3) || ' lines collapsed' END AS line FROM sw),
+  sd AS (SELECT path, string_agg(line, chr(10) ORDER BY i) AS skeleton FROM so GROUP BY path),
+  fit AS (SELECT path, len(content) > 140 AS compressed, CASE WHEN len(content) <= 140 THEN content WHEN len(t) <= 140 THEN t WHEN len(skeleton) <= 140 THEN skeleton
+    ELSE substr(skeleton, 1, CAST(140 - len(note) AS BIGINT)) || note END AS fit FROM (SELECT *, chr(10) || '// ... truncated (' || CAST(floor(len(content) / 1024.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) || 'KB original)' || chr(10) AS note FROM bare LEFT JOIN sd USING (path)))"""
+
+
+@query((oracle_with("code_files") + ", " + _BARE + _FITTED + " SELECT path, CAST(len(fit) AS INT) AS n_chars, compressed, substr(sha256(fit), 1, 16) AS hash FROM fit").replace("WITH ", "WITH RECURSIVE ", 1))
 def compressed_files(spark, d):
     done = compress.fitted(view(spark, d, "code_files"), F.lit(140))
     return done.select("path", F.length("fit").alias("n_chars"), "compressed", X.content_hash(F.col("fit")).alias("hash"))
 
 
-@query()
+def _prints_sql(local: str | None) -> str:
+    """prints(path, line_count, n_imports, ..., text, tokens) over code_files; local: a table of issues."""
+    nl = "chr(10)"
+    caught = f"pc AS (SELECT file AS path, list('  L' || coalesce(CAST(nullif(line, 0) AS VARCHAR), '?') || ':' || type || ': ' || substr(description, 1, 60) || {nl} ORDER BY rule_ord, match_ord) AS c FROM {local} GROUP BY file)" if local else "pc AS (SELECT '' AS path, [''] AS c WHERE false)"
+    more = lambda x, n, before, after: f"CASE WHEN len({x}) > {n} THEN '{before}' || (len({x}) - {n}) || '{after}' ELSE '' END"
+    return (
+        f"{_hotspot_sql()}, {_signature_sql()}, pi AS (SELECT path, {_LIGHT} AS i, len(string_split(content, {nl})) AS line_count FROM code_files), "
+        "ps AS (SELECT path, list('L' || line || ':' || name || CASE WHEN params IS NOT NULL THEN '(' || substr(params, 1, 60) || ')' ELSE '' END || CASE WHEN \"returns\" IS NOT NULL THEN '->' || substr(\"returns\", 1, 40) ELSE ' [NO_RETURN_TYPE]' END ORDER BY line) AS s FROM signed GROUP BY path), "
+        f"ph AS (SELECT path, list('  L' || n || ' [' || label || ']: ' || snippet || {nl} ORDER BY n, ord) AS h FROM (SELECT path, n, label, substr({_trim('min(t)')}, 1, 80) AS snippet, min(ord) AS ord FROM h GROUP BY path, n, label) GROUP BY path), {caught}, "
+        "pm AS (SELECT pi.path, line_count, i, coalesce(s, []) AS s, coalesce(h, []) AS h, coalesce(c, []) AS c FROM pi LEFT JOIN ps USING (path) LEFT JOIN ph USING (path) LEFT JOIN pc USING (path)), "
+        f"pt AS (SELECT *, '=== ' || path || ' (' || line_count || ' lines) ===' || {nl} || CASE WHEN len(i) > 0 THEN 'IMPORTS: ' || array_to_string(i[1:10], ', ') || {more('i', 10, ' +', ' more')} || {nl} ELSE '' END "
+        f"|| CASE WHEN len(s) > 0 THEN 'DEFS: ' || array_to_string(s, ', ') || {nl} ELSE '' END || CASE WHEN len(h) > 0 THEN 'FLAGS:' || {nl} || array_to_string(h[1:8], '') || {more('h', 8, '  +', ' more hotspots')} || CASE WHEN len(h) > 8 THEN {nl} ELSE '' END ELSE '' END "
+        f"|| CASE WHEN len(c) > 0 THEN 'ALREADY_CAUGHT_LOCALLY:' || {nl} || array_to_string(c[1:6], '') || {more('c', 6, '  +', ' more local issues')} || CASE WHEN len(c) > 6 THEN {nl} ELSE '' END ELSE '' END AS text FROM pm), "
+        "prints AS (SELECT path, CAST(line_count AS INT) AS line_count, CAST(len(i) AS INT) AS n_imports, CAST(len(s) AS INT) AS n_signatures, CAST(len(h) AS INT) AS n_hotspots, CAST(len(c) AS INT) AS n_local, text, CAST(ceil(len(text) / 3.2::DOUBLE) AS BIGINT) AS tokens FROM pt)"
+    )
+
+
+@query(_RULES + ", " + _prints_sql("found") + " SELECT * FROM prints")
 def fingerprint_texts(spark, d):
     files = view(spark, d, "code_files")
     return compress.fingerprints(files, detect.scan_rules(files))
 
 
+@query(oracle_with("code_files") + ", " + _prints_sql(None) + " SELECT count(*) AS files, CAST(sum(n_hotspots) AS BIGINT) AS hotspots, CAST(floor(avg(tokens) + 0.5::DOUBLE) AS BIGINT) AS avg_tokens FROM prints")
+def hotspot_totals(spark, d):
+    return compress.hotspot_totals(compress.fingerprints(view(spark, d, "code_files")))
+
+
 @query(
     oracle_with("code_files", "issues")
     + """SELECT seq, array_to_string(list_transform(range(greatest(1, line - 15), least(len(ls), line + 15) + 1), lambda i: i || ': ' || ls[i]), chr(10)) AS context
@@ -448,7 +510,7 @@ def dashboard_facts(spark, d):
 
 @query(oracle_with("history") + "SELECT run, score, row_number() OVER (ORDER BY run DESC) AS place FROM history")
 def history_newest_first(spark, d):
-    return view(spark, d, "history").select("run", "score", F.row_number().over(Window.orderBy(F.desc("run"))).alias("place"))
+    return score.newest_first(view(spark, d, "history")).select("run", "score", "place")
 
 
 _TIERS = "tiers(model, per_day, tier) AS (VALUES " + ", ".join(f"('{m[0]}', {m[1]}, '{m[6]}')" for m in R.MODELS) + ")"
@@ -540,10 +602,11 @@ def cache_upsert(spark, d):
 
 
 _LOCAL = _RULES.replace("WITH ", "WITH ai_found AS (" + oracle_with("ai_found").split("AS (", 1)[1].rstrip()[:-1] + "), ", 1)
-_NODUP = """, nodup AS (SELECT * FROM ai_found a WHERE NOT EXISTS (SELECT 1 FROM found l WHERE l.file = a.file AND l.type = a.type AND (abs(a.line - l.line) <= 3 OR (a.line IS NULL AND l.line IS NULL))))"""
+_TOLD = ", told AS (SELECT file, line, type FROM found)"
+_NODUP = """, nodup AS (SELECT * FROM ai_found a WHERE NOT EXISTS (SELECT 1 FROM told l WHERE l.file = a.file AND l.type = a.type AND (abs(a.line - l.line) <= 3 OR (a.line IS NULL AND l.line IS NULL))))"""
 
 
-@query(_LOCAL + _NODUP + " SELECT seq, file, line, type FROM nodup")
+@query(_LOCAL + _TOLD + _NODUP + " SELECT seq, file, line, type FROM nodup")
 def near_local_dropped(spark, d):
     return verify.drop_local_duplicates(view(spark, d, "ai_found"), detect.scan_rules(view(spark, d, "code_files"))).select("seq", "file", "line", "type")
 
@@ -588,7 +651,7 @@ def evidence_checks(spark, d):
     return met.select("seq", verify.has_evidence(F.col("description"), F.col("evidence"), F.col("line"), F.col("content")).alias("borne"))
 
 
-@query(_LOCAL + _NODUP + _corrected("nodup") + f" SELECT seq, file, line, type, severity FROM corrected WHERE NOT ({_GRAVE}) OR {_evidence_sql()}")
+@query(_LOCAL + _TOLD + _NODUP + _corrected("nodup") + f" SELECT seq, file, line, type, severity FROM corrected WHERE NOT ({_GRAVE}) OR {_evidence_sql()}")
 def verified_findings(spark, d):
     files = view(spark, d, "code_files")
     return verify.verify(view(spark, d, "ai_found"), detect.scan_rules(files), files).select("seq", "file", "line", "type", "severity")
@@ -721,7 +784,15 @@ def smart_groups(spark, d):
     return graph.smart_group(files.select(repo("path").alias("repo"), "path", F.length("content").alias("content_len")), inside, 3200)
 
 
-@query()
+@query(
+    oracle_with("code_files").replace("WITH ", "WITH RECURSIVE ")
+    + ", "
+    + _prints_sql(None)
+    + """, ci AS (SELECT path, split_part(path, '/', 1) AS repo, tokens, n_hotspots, text, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY n_hotspots DESC, path) - 1 AS pos FROM prints),
+    cw AS (SELECT repo, path, tokens, n_hotspots, text, pos, 0 AS chunk, tokens AS used FROM ci WHERE pos = 0 UNION ALL
+      SELECT i.repo, i.path, i.tokens, i.n_hotspots, i.text, i.pos, CASE WHEN w.used + i.tokens > 7500 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used + i.tokens > 7500 THEN i.tokens ELSE w.used + i.tokens END FROM cw w JOIN ci i ON i.repo = w.repo AND i.pos = w.pos + 1)
+    SELECT repo || '-' || chunk AS chunk, count(*) AS files, CAST(sum(n_hotspots) AS BIGINT) AS hotspots, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(len(text) + 1) AS INT) AS n_chars FROM cw GROUP BY repo, chunk"""
+)
 def chunk_prompts(spark, d):
     files = view(spark, d, "code_files")
     prints = compress.fingerprints(files)
@@ -780,6 +851,87 @@ def agent_outputs(spark, d):
     return findings.agent_output(view(spark, d, "stream_lines"))
 
 
+_CUSTOM = (R.Rule("own_print", r"print\([^)]*\)", "duplicates", "low", "A print", (".py",)), R.Rule("own_struct", r"struct\s+\{|interface\s+\w+", "dead-code", "high", "A struct"))
+
+
+@query(
+    oracle_with("code_files")
+    + ", "
+    + _rules_cte(_CUSTOM)
+    + " SELECT file, CAST(line AS INT) AS line, type, severity, description FROM found"
+)
+def plugin_rules(spark, d):
+    """Rules as a plug-in brings them, those that may run."""
+    nested = R.Rule("slow", r"(a+)+", "lint", "low", "never runs")
+    return detect.scan_rules(view(spark, d, "code_files"), policy.usable_rules([*_CUSTOM, nested])).select("file", "line", "type", "severity", "description")
+
+
+@query(oracle_with("issues") + f"SELECT seq, file, type FROM issues WHERE type NOT IN ('types', 'lint') AND {_UP} >= 1 AND NOT regexp_matches(file, '^d[34]/.*$') AND NOT regexp_matches(file, '^root[^/]*\\.py$')")
+def repository_policy(spark, d):
+    """What a repository ignores and turns off, over the filters of its plug-ins."""
+    base = policy.Filters(("root*.py",), ("lint",), "medium")
+    return policy.apply_filters(view(spark, d, "issues"), policy.with_config(base, ["d3/**", "d4/**"], {"types": "off", "bugs": "high"})).select("seq", "file", "type")
+
+
+@query(
+    oracle_with("code_files")
+    + """, r AS (SELECT split_part(path, '/', 1) AS directory, ext, path, id FROM code_files), k AS (SELECT directory, ext, count(*) AS n, min(path) AS first FROM r GROUP BY ALL),
+    l AS (SELECT directory, 'Files of ' || directory || chr(10) || 'Structure:' || chr(10) || '  ' || directory || '/ ' || string_agg(n || ext, ' ' ORDER BY first) || chr(10) AS head FROM k GROUP BY directory),
+    t AS (SELECT directory, head || 'Related files in other chunks:' || chr(10) || array_to_string(rel[1:6], chr(10)) || chr(10) || '  ... +' || (len(rel) - 6) || ' more' || chr(10) AS text
+      FROM l JOIN (SELECT directory, list('other file of some length: ' || path ORDER BY path) AS rel FROM r WHERE id <= 100 GROUP BY directory HAVING count(*) > 6) USING (directory))
+    SELECT directory, CASE WHEN len(text) <= 260 THEN text ELSE text[1:240] || chr(10) || '  ... (trimmed)' || chr(10) END AS text FROM t"""
+)
+def cut_manifests(spark, d):
+    """Manifests of directories with related files, cut to 260 characters."""
+    files = view(spark, d, "code_files")
+    top = X.top_dir(F.col("path")).alias("directory")
+    related = files.where("id <= 100").groupBy(top).agg(F.sort_array(F.collect_list(F.concat(F.lit("other file of some length: "), "path"))).alias("related")).where(F.size("related") > 6)
+    met = graph.directory_manifest(files).join(related, "directory")
+    text = graph.manifest_text(F.concat(F.lit("Files of "), "directory"), F.array("line"), F.col("related"), 260)
+    return met.select("directory", text.alias("text"))
+
+
+@query(
+    oracle_with("code_files")
+    + """, p AS (SELECT id % 50 AS chunk, id AS pos, path, row_number() OVER (PARTITION BY id % 50 ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY id % 50) AS c FROM code_files),
+    a AS (SELECT *, CASE WHEN chunk % 3 = 0 THEN CASE WHEN n < ceil(c / 2) THEN '0' ELSE '1' END ELSE '' END AS part FROM p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY chunk, part ORDER BY pos) - 1 AS m, count(*) OVER (PARTITION BY chunk, part) AS e FROM a),
+    f AS (SELECT chunk, path, CASE WHEN part = '1' AND chunk % 6 = 0 THEN part || CASE WHEN m < ceil(e / 2) THEN '0' ELSE '1' END ELSE part END AS part FROM b)
+    SELECT chunk, path, part, CASE WHEN part <> '' THEN CAST(4500 // count(*) OVER (PARTITION BY chunk, part) AS BIGINT) END AS file_budget FROM f"""
+)
+def split_chunks(spark, d):
+    """Chunks that were refused once, and some second halves that were refused again."""
+    placed = view(spark, d, "code_files").select((F.col("id") % 50).alias("chunk"), F.col("id").alias("pos"), "path")
+    chunks = placed.select("chunk").distinct()
+    refused = chunks.where("chunk % 3 = 0").select("chunk", F.lit("").alias("part")).unionByName(chunks.where("chunk % 6 = 0").select("chunk", F.lit("1").alias("part")))
+    return graph.split_chunks(placed, refused, 10_000).select("chunk", "path", "part", "file_budget")
+
+
+@query(
+    oracle_with("results")
+    + """SELECT cluster_id, CAST(0 AS INT) AS ord, file, CASE WHEN line > 0 THEN line END AS line, status, reason FROM results"""
+)
+def reported_results(spark, d):
+    """Results as agents wrap them: a document in the text of a wrapper's `result`, amid prose."""
+    rows = view(spark, d, "results")
+    line = F.when(F.col("line") > 0, F.col("line"))
+    inner = F.to_json(F.struct(F.array(F.struct("file", line.alias("line"), "status", "reason")).alias("results")))
+    raw = F.to_json(F.struct(F.lit("success").alias("type"), F.concat(F.lit("Done. "), inner, F.lit(" That is all.")).alias("result")))
+    return findings.parse_results(rows.select("cluster_id", raw.alias("raw")))
+
+
+@query(
+    oracle_with("issues")
+    + "SELECT seq, type, severity, file, CAST(line AS DOUBLE) AS line, description FROM (SELECT seq, type, CASE WHEN severity = 'odd' THEN 'medium' ELSE severity END AS severity, file, line, description FROM issues)"
+)
+def loop_answers(spark, d):
+    """Answers of the fixing loop: a wrapper whose `result` holds the issues in prose."""
+    rows = view(spark, d, "issues")
+    inner = F.to_json(F.struct(F.array(F.struct("type", "severity", "file", "line", "description")).alias("issues")))
+    raw = F.to_json(F.struct(F.concat(F.lit("I found this: "), inner).alias("result")))
+    return findings.parse_issues(rows.select("seq", raw.alias("raw")), "loop").select("seq", "type", "severity", "file", "line", "description")
+
+
 # ---- streaming -------------------------------------------------------------------------------------------------------
 
 
@@ -787,7 +939,7 @@ def agent_outputs(spark, d):
 def streaming_incremental_scan(spark, d):
     """A stream of documents, scanned twice: the second pass finds nothing new."""
     table = f"{d}/documents.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 4).parquet(f"{table}*")
+    raw = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")  # a pattern, so that it may be one file
     number = F.col("doc_id").cast("string")
     ext = F.element_at(F.array(*map(F.lit, (".md", ".py", ".ts", ".txt", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     files = raw.select(F.concat(F.col("source"), F.lit("/doc_"), number, ext).alias("path"), ext.alias("ext"), F.coalesce("text", F.lit("")).alias("content"))
@@ -797,7 +949,18 @@ def streaming_incremental_scan(spark, d):
     return streaming.current(spark, root, "path string, line int, label string, snippet string, ord int")
 
 
-@query()
+@query(
+    _LOCAL
+    + ", "
+    + _ALLS
+    + ", told AS (SELECT file, line, type FROM alls)"
+    + _NODUP
+    + _corrected("nodup")
+    + f""", kept AS (SELECT * FROM corrected WHERE NOT ({_GRAVE}) OR {_evidence_sql()}),
+    joint AS (SELECT file, line, type, severity, description, 'local' AS source, 0 AS src, rule_ord * 4294967296 + match_ord AS ord FROM alls UNION ALL SELECT file, line, type, severity, description, 'ai', 1, seq FROM kept),
+    passed AS (SELECT * FROM joint WHERE type <> 'duplicates' AND NOT regexp_matches(file, '^d6/') AND NOT regexp_matches(file || ':' || description, '(?i)hack in a'))
+    SELECT type, severity, source, count(*) AS n FROM (SELECT * FROM passed QUALIFY row_number() OVER (PARTITION BY file, line, type ORDER BY src, ord, severity, description) = 1) GROUP BY ALL"""
+)
 def scan_end_to_end(spark, d):
     """Local and reported findings, verified, filtered, once each: the issues of a scan by type and severity."""
     files = view(spark, d, "code_files")

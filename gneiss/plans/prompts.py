@@ -21,10 +21,59 @@ def scan_request(manifest: str, files: list[tuple[str, str, bool]], number: int,
     return "\n\n".join(p for p in parts if p)
 
 
-def fix_request(issues: list, extra: str = "") -> str:
-    """A cluster of issues to fix, one after the other."""
-    rows = "\n".join(f"{n}. [{i['severity']}] {i['type']} at {i['file']}{':' + str(int(i['line'])) if i['line'] else ''}: {i['description']}" for n, i in enumerate(issues, 1))
-    return "\n\n".join(p for p in [f"Fix these {len(issues)} issues and report JSON with an array `results`.", rows, extra] if p)
+def pass_request(number: int, fixed: list[str], plan: str = "", extra: str = "") -> str:
+    """A whole repository to look at: from the second pass on with what was fixed so far, not to be told again."""
+    first = "Look through every file of this repository and report each real problem with its file and line."
+    later = f"This is pass {number}. Look through the repository again for problems that the fixes brought to light.\n\nFixed so far:\n" + "\n".join(f"- {x}" for x in fixed)
+    guide = "\n".join(f"{s}: {GUIDE[s]}" for s in R.SEVERITIES)
+    parts = [first if number == 1 else later, f"Kinds: {', '.join(R.TYPES)}", guide, plan and f"Plan:\n{plan}", extra, "Answer with JSON alone: an array `issues` of type, severity, file, line, description."]
+    return "\n\n".join(p for p in parts if p)
+
+
+def _place(issue: dict) -> str:
+    return f"{issue['file']}:{int(issue['line'])}" if issue.get("line") else issue["file"]
+
+
+def fix_request(issues: list, extra: str = "", test: str = "") -> str:
+    """A cluster of issues to fix, one after the other; test: a command that must pass after each."""
+    rows = "\n".join(f"{n}. [{i['severity']}] {i['type']} at {_place(i)}: {i['description']}" for n, i in enumerate(issues, 1))
+    files = {i["file"] for i in issues}
+    apart = f"The {len(files)} files do not depend on each other: work on them side by side." if len(files) > 1 else ""
+    check = f"Run `{test}` after each fix; take back a fix that it fails." if test else "See after each fix that the file still parses."
+    parts = [f"Fix these {len(issues)} issues, with as small a change as each needs, and report JSON with an array `results` (file, line, status fixed or skipped, reason).", rows, apart, check, extra]
+    return "\n\n".join(p for p in parts if p)
+
+
+def single_request(issue: dict, extra: str = "", test: str = "") -> str:
+    """One issue to fix. An answer that begins with SKIP: says why it cannot be."""
+    told = f"{issue['type']}, {issue['severity']}, at {_place(issue)}: {issue['description']}"
+    check = f"Run `{test}` afterwards." if test else "See that the file still parses."
+    parts = ["Fix this one issue and change nothing else.", told, extra, check, "If it cannot be fixed without harm, answer with SKIP: and the reason."]
+    return "\n\n".join(p for p in parts if p)
+
+
+#: What an application's exposure means for the weight of findings.
+EXPOSURE = {
+    "local": "It is not on a network: weigh what needs a remote attacker lightly, unless it reads input that nobody vouches for.",
+    "internal": "Only an internal network reaches it: weigh what needs an outside attacker lightly, access between users fully.",
+    "public": "Everybody reaches it: weigh every finding about security fully.",
+}
+
+
+def context_section(settings: dict, custom: str = "") -> str:
+    """What a request should say of the application: app (a mapping), framework, runtime, trusted packages, files at the
+    boundary of trust, allowed patterns, and the user's own text. Nothing set: empty."""
+    app = settings.get("app") or {}
+    lines = [f"- {k.replace('-', ' ')}: {'yes' if v is True else 'no' if v is False else v}" for k, v in app.items() if v not in (None, "")]
+    exposure = "local" if app.get("network") == "localhost" else app.get("exposure")
+    tools = [f"- {k}: {settings[k]}" for k in ("framework", "runtime") if settings.get(k)]
+    listed = lambda title, rows: f"{title}\n" + "\n".join(f"- {x}" for x in rows) if rows else ""
+    allowed = [f"{r['pattern']} ({r['reason']})" if r.get("reason") else r["pattern"] for r in settings.get("allow") or []]
+    parts = [
+        listed("The application:", [x[2:] for x in lines]), EXPOSURE.get(exposure, "") if lines else "", listed("Built with:", [x[2:] for x in tools]), listed("Trusted as if its own:", settings.get("trusted")),
+        listed("Where input that nobody vouches for comes in:", settings.get("untrusted")), listed("Meant to be so, not to be reported:", allowed), custom and f"Further rules:\n{custom}",
+    ]
+    return "\n\n".join(p for p in parts if p)
 
 
 def ask(prompts: DataFrame, call: Callable[[str], str], key: str = "chunk", text: str = "text") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
 from gneiss.operators import detect, incremental, policy, score, verify
+from gneiss.sources.files import load_json, save_json
 from gneiss.sources.findings import union_findings
 
 FIELDS = ["file", "line", "type", "severity", "description", "status", "source"]
@@ -43,7 +44,8 @@ def scan(files: DataFrame, settings: Settings = Settings(), reported: DataFrame
     """files: path, ext, content. reported: what a model said (the columns of findings.parse_issues). cache: path, hash,
     strategy, issues.
 
-    Cached issues come first, then local ones, then reported ones; the first of a place and type stays. Filters go before
+    Cached issues come first, then local ones, then reported ones; the first of a place and type stays. Reported
+    ones are in order of their seq if they have one, else of severity and description. Filters go before
     duplicates, and do not commute with them."""
     cached, part, todo = None, files.withColumn("hit", F.lit(False)), files
     if cache is not None:
@@ -51,10 +53,10 @@ def scan(files: DataFrame, settings: Settings = Settings(), reported: DataFrame
         cached = incremental.cached_issues(part, cache)
         todo = part.where("not hit")
     local = detect.scan_local(todo, R.RULES + settings.rules).withColumns({"status": F.lit("found"), "source": F.lit("local"), "line": F.col("line").cast("double")})
-    parts = [local.withColumn("ord", F.col("rule_ord") * 1_000_000 + F.col("match_ord"))]
+    parts = [local.withColumn("ord", F.shiftleft(F.col("rule_ord").cast("long"), 32) + F.col("match_ord"))]
     if reported is not None:
         kept = verify.verify(reported.withColumn("line", F.col("line").cast("double")), local, todo)
-        parts.append(kept.withColumn("ord", F.monotonically_increasing_id() if "seq" not in kept.columns else F.col("seq")))
+        parts.append(kept.withColumn("ord", F.col("seq") if "seq" in kept.columns else F.lit(0)))
     found = union_findings(*[p.select(*FIELDS, F.col("ord").cast("long").alias("ord")) for p in parts])
     whole = found
     if cached is not None:
@@ -74,6 +76,26 @@ class Pass:
     duration_ms: int
 
 
+def save_loop(spark: SparkSession, path: str, passes: list[Pass], facts: dict | None = None) -> None:
+    """Keep the state of a loop (its passes, and whatever else the next run in a chain should know) in a small file."""
+    save_json(spark, path, {"passes": [asdict(p) for p in passes], **(facts or {})})
+
+
+def load_loop(spark: SparkSession, path: str, chain: int) -> dict | None:
+    """The state that an earlier run of a chain kept, with its passes as Pass and the number in the chain; None for the first
+    run of a chain, and if there is no state that can be read."""
+    state = load_json(spark, path) if chain else None
+    try:
+        return state and {**state, "passes": [Pass(**p) for p in state["passes"]], "chain": chain}
+    except (KeyError, TypeError):
+        return None
+
+
+def issue_facts(issue: dict) -> dict[str, str]:
+    """What a hook after a fix is told of the issue, as text; missing fields are empty."""
+    return {f"issue_{k}": "" if issue.get(k) is None else str(issue[k]) for k in ("file", "line", "type", "severity", "description", "status")}
+
+
 def run_hooks(hooks: list[Callable[[dict], None]], facts: dict) -> list[str]:
     """Call each hook in turn; what one raises is a warning and stops nothing."""
     warnings = []

@@ -11,78 +11,72 @@ from gneiss.operators.policy import Filters, merge_filters, usable_rules
 
 Value = str | list | dict
 
-_TOP = re.compile(r"^([a-zA-Z_-]+)\s*:\s*(.*)")
-_ITEM = re.compile(r"^\s+-\s+(.*)")
-_ITEM_KEY = re.compile(r"^\s+-\s+(\w[\w-]*)\s*:\s*(.*)")
-_NESTED = re.compile(r"^\s+([a-zA-Z_-]+)\s*:\s*(.*)")
-
-
 def unquoted(s: str) -> str:
     return s[1:-1] if len(s) > 1 and s[0] == s[-1] and s[0] in "'\"" else s
 
 
-class _Reader:
-    """Scalars, lists, one level of nesting, and | blocks. A comment after a value is part of it; [a, b] is a string."""
-
-    def __init__(self) -> None:
-        self.out: dict[str, Value] = {}
-        self.key = ""
-        self.items: list | None = None
-        self.nested: dict | None = None
-        self.block: list[str] | None = None
-
-    def end_block(self) -> None:
-        if self.block is not None:
-            (self.nested if self.nested is not None else self.out)[self.key] = "".join(f"{x}\n" for x in self.block).rstrip()
-            self.block = None
-
-    def end_key(self) -> None:
-        if self.items is not None:
-            self.out[self.key] = self.items
-        if self.nested is not None:
-            self.out[self.key] = self.nested
-        self.items = self.nested = None
-
-    def line(self, raw: str) -> None:
-        if self.block is not None:
-            if raw.startswith(("  ", "\t")) or not raw.strip():
-                self.block.append(raw.removeprefix("  "))
-                return
-            self.end_block()
-        elif not raw.strip() or raw.strip().startswith("#"):
-            return
-        if m := _TOP.match(raw):
-            self.end_key()
-            self.key, value = m[1], m[2].strip()
-            if value == "|":
-                self.block = []
-            elif value == "[]":
-                self.out[self.key] = []
-            elif value:
-                self.out[self.key] = unquoted(value)
-        elif m := _ITEM_KEY.match(raw):
-            self.items = [*(self.items or []), {m[1]: unquoted(m[2].strip())}]
-        elif m := _ITEM.match(raw):
-            self.items = [*(self.items or []), unquoted(m[1].strip())]
-        elif m := _NESTED.match(raw):
-            value = m[2].strip()
-            if self.items and isinstance(self.items[-1], dict):
-                self.items[-1][m[1]] = unquoted(value)
-                return
-            self.nested = {} if self.nested is None else self.nested
-            if value == "|":
-                self.block = []
-            else:
-                self.nested[m[1]] = unquoted(value)
+@dataclass
+class _Entry:
+    """A line as indentation, an item's dash, a key if it has one, and what is after the colon (all, without a key)."""
+
+    indented: bool
+    item: bool
+    key: str | None
+    value: str
+
+
+def _entry(raw: str) -> _Entry:
+    body = raw.strip()
+    indented, item = raw[:1].isspace(), False
+    if indented and body[:1] == "-" and raw.lstrip()[1:2].isspace():
+        body, item = body[1:].strip(), True
+    key, colon, value = body.partition(":")
+    key = key.rstrip()
+    letters = key.replace("-", "").replace("_", "")
+    plain = letters.isascii() and (key[:1] not in ("", "-") and (letters + "x").isalnum() if item else bool(key) and (letters + "x").isalpha())
+    return _Entry(indented, item, key, value.strip()) if colon and plain else _Entry(indented, item, None, body)
+
+
+def _block(lines: list[str]) -> tuple[str, list[str]]:
+    """The text of a | block at the start of lines, two spaces less deep, and the lines after it."""
+    n = next((i for i, x in enumerate(lines) if x.strip() and not x.startswith(("  ", "\t"))), len(lines))
+    return "\n".join(x.removeprefix("  ") for x in lines[:n]).rstrip(), lines[n:]
+
+
+def _value(key: str, value: str, lines: list[str]) -> Value | None:
+    """What a key stands for: the value beside it, or the items or the keys in the lines below it, the latter if both."""
+    found: Value | None = {"[]": [], "": None}.get(value, unquoted(value))
+    if value == "|":
+        found, lines = _block(lines)
+    items: list = []
+    keys: dict = {}
+    while lines:
+        raw, lines = lines[0], lines[1:]
+        if not raw.strip() or raw.strip().startswith("#"):
+            continue
+        e = _entry(raw)
+        if e.item:
+            items.append(unquoted(e.value) if e.key is None else {e.key: unquoted(e.value)})
+        elif e.key is not None and items and isinstance(items[-1], dict):
+            items[-1][e.key] = unquoted(e.value)
+        elif e.key is not None and e.value == "|":
+            keys[key], lines = _block(lines)  # a block below a key belongs to the outer key
+        elif e.key is not None:
+            keys[e.key] = unquoted(e.value)
+    return keys or items or found
 
 
 def parse_yaml(text: str) -> dict[str, Value]:
-    reader = _Reader()
+    """Scalars, lists, one level of nesting, and | blocks. A comment after a value is part of it; [a, b] is a string."""
+    parts: list[tuple[str, str, list[str]]] = [("", "", [])]
     for raw in text.split("\n"):
-        reader.line(raw)
-    reader.end_block()
-    reader.end_key()
-    return reader.out
+        e = _entry(raw)
+        if e.indented or e.key is None or raw.startswith("#"):
+            parts[-1][2].append(raw if e.indented or not raw.strip() else "#")  # other text at the margin says nothing
+        else:
+            parts.append((e.key, e.value, []))
+    values = ((key, _value(key, value, lines)) for key, value, lines in parts)
+    return {key: v for key, v in values if v is not None}
 
 
 @dataclass
@@ -174,6 +168,22 @@ def first_text(paths: list[str]) -> str | None:
     return next((Path(p).read_text("utf-8") for p in paths if Path(p).is_file()), None)
 
 
+def repository_text(root: str, name: str) -> str | None:
+    """The settings of a repository: .name.yml or .yaml, else config.yml or .yaml in the folder .name."""
+    return first_text([f"{root}/.{name}.yml", f"{root}/.{name}.yaml", f"{root}/.{name}/config.yml", f"{root}/.{name}/config.yaml"])
+
+
+def profile_text(root: str, name: str, profile: str) -> str | None:
+    """A profile's settings, from the folder .name/profiles; None if it is not named or not there."""
+    return first_text([f"{root}/.{name}/profiles/{profile}{end}" for end in (".yml", ".yaml")]) if profile else None
+
+
+def repository_settings(root: str, name: str, profile: str = "") -> dict[str, Value]:
+    """What a repository sets, with what a profile sets over it."""
+    own, over = repository_text(root, name), profile_text(root, name, profile)
+    return {**(repo_settings(own) if own is not None else {}), **(repo_settings(over) if over is not None else {})}
+
+
 def settled(explicit: dict, profile: dict, repo: dict, defaults: dict) -> dict:
     """Each setting from the first of the four that has it; a value equal to its default counts as not given."""
     given = {k: v for k, v in explicit.items() if v != defaults.get(k)}

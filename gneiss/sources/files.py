@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,61 @@ def is_source(path: Column) -> Column:
     return ~hidden & (X.extension(path).isin(R.CODE_EXTENSIONS) | X.basename(path).isin(R.CODE_NAMES))
 
 
+def _unlisted(spark: SparkSession, root: str) -> list[str]:
+    """Files and folders under root that Spark's listing leaves out though a scan may want them: names that begin with an
+    underscore, and .github. Folders that a scan never enters are not walked."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [(top, False)]
+    while todo:
+        place, hidden = todo.pop()
+        for status in system.listStatus(place):
+            path = status.getPath()
+            name = path.getName()
+            odd = name == ".github" or name.startswith("_")
+            if status.isDirectory():
+                if name not in R.IGNORED_DIRS and (odd or not name.startswith(".")):
+                    todo.append((path, hidden or odd))
+            elif (hidden or odd) and not name.startswith("."):
+                found.append(path.toString())
+    return sorted(found)
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, ext, content) of the source files under root; paths are relative to it. The filter is on the path, so the
-    contents of other files are not read. Spark lists no hidden folders, so .github at the root is named."""
+    contents of other files are not read. Spark lists no hidden files: those in .github and in folders whose names begin
+    with an underscore are named to it; files whose own names do, which it never takes, are read by the driver."""
     jvm = spark.sparkContext._jvm
-    workflows = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.github")
-    there = workflows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(workflows)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *[workflows.toString()] * there])
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = raw.select(F.col("path").alias("uri"), "content")
+    named = _unlisted(spark, root)
+    listed = [p for p in named if not p.rpartition("/")[2].startswith("_")]
+    if listed:
+        base = base.unionByName(spark.read.format("binaryFile").load([_unglobbed(p) for p in listed]).select(F.col("path").alias("uri"), "content"))
+    if hidden := [p for p in named if p.rpartition("/")[2].startswith("_")]:
+        base = base.unionByName(spark.createDataFrame([(p, _bytes(spark, p)) for p in hidden], "uri string, content binary"))
     prefix = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("uri", r"^[a-z]+:(?://[^/]*)?", ""), "^" + _escaped(prefix), "")
     rows = base.withColumn("path", path).where(is_source(path))
     return rows.select("path", X.extension(F.col("path")).alias("ext"), F.decode("content", "UTF-8").alias("content"))
 
 
+def _bytes(spark: SparkSession, path: str) -> bytearray:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _unglobbed(path: str) -> str:
+    """A path that a reader takes as it stands."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
 def _escaped(text: str) -> str:
     return "".join(f"\\{c}" if c in r".+*?^${}()|[]\\" else c for c in text)
 
@@ -69,6 +112,46 @@ def append_history(entry: DataFrame, path: str) -> None:
     entry.write.mode("append").json(path)
 
 
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries that can be read; a line that is no entry is left out, and without any file there are none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return rows.dropna("all")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole, in any file system that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def save_json(spark: SparkSession, path: str, value: dict) -> None:
+    write_text(spark, path, json.dumps(value, indent=2))
+
+
+def load_json(spark: SparkSession, path: str) -> dict | None:
+    """A saved object; None if there is none, or it cannot be read as one."""
+    try:
+        found = json.loads(read_text(spark, path) or "null")
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def save_state(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").parquet(path)
 

@@ -34,24 +34,30 @@ def issue_fields(v: Column) -> dict[str, Column]:
     }
 
 
-def salvaged(raw: Column, dialect: str = "scan") -> Column:
-    """The JSON document of an answer, as a variant; null if there is none.
+def with_document(answers: DataFrame, raw: str, dialect: str = "scan") -> DataFrame:
+    """answers with _doc, the JSON document of an answer as a variant; null if there is none.
 
     scan: the whole text, else from its first { to its last }. loop and results: the `result` of a wrapper if it has one,
-    then from the first { before "issues" or "results" to the last }."""
+    then from the first { before "issues" or "results" to the last }. Each step is a column of its own, so that no text is
+    parsed twice."""
+    rows = answers.withColumn("_whole", F.try_parse_json(F.col(raw)))
     if dialect == "scan":
-        return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))))
+        inside = F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")))
+        return rows.withColumn("_doc", F.coalesce("_whole", F.when(F.col("_whole").isNull(), inside))).drop("_whole")
     word = {"loop": "issues", "results": "results"}[dialect]
-    whole = F.try_parse_json(raw)
-    inner = F.coalesce(F.nullif(_text_of(whole, "$.result"), F.lit("")), F.when(F.schema_of_variant(whole) == "STRING", F.try_variant_get(whole, "$", "string")), raw)
-    return F.try_parse_json(F.nullif(F.regexp_extract(inner, rf'(?s)\{{.*"{word}".*\}}', 0), F.lit("")))
+    rows = rows.withColumn("_result", F.try_variant_get("_whole", "$.result", "variant"))
+    told = F.when(F.schema_of_variant("_result") == "STRING", F.nullif(F.try_variant_get("_result", "$", "string"), F.lit("")))
+    said = F.when(F.schema_of_variant("_whole") == "STRING", F.try_variant_get("_whole", "$", "string"))
+    rows = rows.withColumn("_inner", F.coalesce(told, said, F.col(raw)))
+    found = F.try_parse_json(F.nullif(F.regexp_extract("_inner", rf'(?s)\{{.*"{word}".*\}}', 0), F.lit("")))
+    return rows.withColumn("_doc", found).drop("_whole", "_result", "_inner")
 
 
 def parse_issues(answers: DataFrame, dialect: str = "scan", raw: str = "raw") -> DataFrame:
     """A row per issue object of each answer, in order (pos), with all columns of answers but the raw text. Elements that
     are not objects are dropped, one by one."""
     kept = [c for c in answers.columns if c != raw]
-    found = answers.select(*kept, F.try_variant_get(salvaged(F.col(raw), dialect), "$.issues", "array<variant>").alias("_issues"))
+    found = with_document(answers, raw, dialect).select(*kept, F.try_variant_get("_doc", "$.issues", "array<variant>").alias("_issues"))
     each = found.select(*kept, F.posexplode("_issues").alias("pos", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
     fields = issue_fields(F.col("_v"))
     return each.select(*kept, "pos", *[c.alias(n) for n, c in fields.items()], F.lit("found").alias("status"), F.lit("ai").alias("source"))
@@ -59,7 +65,7 @@ def parse_issues(answers: DataFrame, dialect: str = "scan", raw: str = "raw") ->
 
 def parse_results(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """(cluster_id, ord, file, line, status, reason) of agents' answers."""
-    found = answers.select("cluster_id", F.try_variant_get(salvaged(F.col(raw), "results"), "$.results", "array<variant>").alias("_r"))
+    found = with_document(answers, raw, "results").select("cluster_id", F.try_variant_get("_doc", "$.results", "array<variant>").alias("_r"))
     each = found.select("cluster_id", F.posexplode("_r").alias("ord", "_v"))
     v = F.col("_v")
     return each.select("cluster_id", "ord", _text_of(v, "$.file").alias("file"), _number_of(v, "$.line").cast("int").alias("line"), _text_of(v, "$.status").alias("status"), _text_of(v, "$.reason").alias("reason"))

@@ -14,36 +14,66 @@ from gneiss.functions import text as X
 from gneiss.sources import findings
 
 STATE = "batch long, path string, hash string"
+#: Every so many batches the state is written whole, so that later ones read it and what came after.
+COMPACT = 50
+
+
+def _there(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (system, place) if system.exists(place) else None
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What earlier batches wrote; empty before the first."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
 
 
 def latest(state: DataFrame) -> DataFrame:
-    """(path, hash) as last seen."""
-    return state.groupBy("path").agg(F.max_by("hash", "batch").alias("hash"))
+    """(path, batch, hash) as last seen; a null hash: the file is gone."""
+    last = state.groupBy("path").agg(F.max(F.struct("batch", "hash")).alias("s"))
+    return last.select("path", "s.batch", "s.hash")
+
+
+def _whole_states(spark: SparkSession, root: str) -> list[int]:
+    """The batches up to which the state is written whole."""
+    found = _there(spark, f"{root}/whole")
+    if not found:
+        return []
+    system, place = found
+    names = [x.getPath().getName() for x in system.listStatus(place) if system.exists(x.getPath().suffix("/_SUCCESS"))]
+    return sorted(int(n.removeprefix("upto=")) for n in names if n.startswith("upto="))
+
+
+def state_before(spark: SparkSession, root: str, number: int) -> DataFrame:
+    """(path, batch, hash) of all files before a batch: the last whole state, and the batches after it."""
+    whole = [n for n in _whole_states(spark, root) if n < number]
+    seen = _table(spark, f"{root}/seen", STATE).where(F.col("batch") < number)
+    if whole:
+        seen = seen.where(F.col("batch") > whole[-1]).unionByName(spark.read.schema(STATE).parquet(f"{root}/whole/upto={whole[-1]}"))
+    return latest(seen)
 
 
-def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], root: str) -> StreamingQuery:
+def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], root: str, modified: str | None = None) -> StreamingQuery:
     """Start a query that keeps findings under root/found and content hashes under root/seen, a folder per batch.
 
     files: a stream of path, ext, content. A batch that is run again writes the same folder again, so its findings are
-    there once. Within a batch the last content of a path counts. Of a path scanned several times, `current` has the last."""
+    there once. modified: a column that says when a content was written; of several contents of a path in a batch the last
+    by it counts (without it, or at the same time, the one with the largest hash: the same each time). A null content says
+    that the file is gone. Of a path scanned several times, `current` has the last."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = latest(_table(spark, f"{root}/seen", STATE).where(F.col("batch") < number)).withColumnRenamed("hash", "_seen")
+        seen = state_before(spark, root, number).select("path", F.col("hash").alias("_seen"))
         hashed = batch.withColumn("hash", X.content_hash(F.col("content")))
-        place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("hash")))
-        once = hashed.withColumn("_n", place).where("_n = 1").drop("_n")
+        place = F.row_number().over(Window.partitionBy("path").orderBy(*([F.desc(modified)] if modified else []), F.desc("hash")))
+        once = hashed.withColumn("_n", place).where("_n = 1").drop("_n", *([modified] if modified else []))
         fresh = once.join(seen, "path", "left").where(~F.col("hash").eqNullSafe(F.col("_seen"))).drop("_seen").persist()
         fresh.select("path", "hash").write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
-        scan(fresh.drop("hash")).write.mode("overwrite").parquet(f"{root}/found/batch={number}")
+        scan(fresh.where(F.col("content").isNotNull()).drop("hash")).write.mode("overwrite").parquet(f"{root}/found/batch={number}")
         fresh.unpersist()
+        if number % COMPACT == COMPACT - 1:
+            state_before(spark, root, number + 1).write.mode("overwrite").parquet(f"{root}/whole/upto={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
@@ -61,6 +91,8 @@ def agent_stream(lines: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's state: in the shared folder of the cluster, else (tests) a temporary one."""
+    """A new folder for a stream's state: in the shared folder of the cluster; within one machine, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="gneiss-stream-")

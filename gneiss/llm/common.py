@@ -170,9 +170,11 @@ def join_on_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int)
     """rows joined (inner) with facts, a row per key; n: a column of facts that counts a key's rows of all `total` in rows.
 
     A key with more than a HOT_PART-th of the rows is joined by a broadcast: there are fewer than HOT_PART of them. The
-    others meet by a shuffle in which no key is a large part. rows is read twice: settle it before."""
+    others meet by a shuffle in which no key is a large part. rows may be read twice and facts three times: settle them before."""
     limit = max(1, total // HOT_PART)
     hot = facts.where(F.col(n) > limit)
+    if not hot.limit(1).count():
+        return rows.join(facts, key)
     cold = facts.where(F.col(n) <= limit)
     by_broadcast = rows.join(F.broadcast(hot), key)
     by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

@@ -126,7 +126,7 @@ def _plain(word: str) -> tuple[str, str]:
 
 
 @lru_cache(1)
-def word_encoder(path: str) -> Callable[[str], bytes]:
+def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], bytes]:
     """text: its ids as little-endian 32-bit numbers, equal to the tokenizer's own on the whole text.
 
     This tokenizer's words never cross white space, its changes to the text (composition, lower case) don't either, and
@@ -168,7 +168,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         fresh = list(set(words).difference(known))
         long = {}
         if fresh:
-            if len(known) > CACHE_WORDS or held > CACHE_BYTES:
+            if len(known) > cache_words or held > CACHE_BYTES:
                 known, older, held = {"": b""}, known, 0
                 fresh = list(set(words))
             plain = {}
@@ -196,12 +196,12 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
 CACHES.append(word_encoder.cache_clear)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. A document is its ids and then `end`; only a longer one
     than capacity is cut, into pieces of that length. Null and empty texts: one piece with `end` alone."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        encode = word_encoder(tokenizer)
+        encode = word_encoder(tokenizer, cache_words)
         last = np.array([end], "<u4").tobytes()
         rows, piece, start, length, crc = [], [], [], [], []
         for i, value in enumerate(b.column(1)):
@@ -219,9 +219,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     return by_batch(docs.select(doc_id, text), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", remember=True)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """token_pieces with sequence_id and offset. Repeated rows are packed each; extra columns are not read; empty table: no rows.
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+    """token_pieces with sequence_id and offset. cache_words: see CACHE_WORDS; fewer take less memory and more time. Repeated rows are packed each; extra columns are not read; empty table: no rows.
 
     The pieces are written once to the shared folder, since tokenizing is the costly part and three jobs read them."""
-    pieces = settle(token_pieces(docs, tokenizer, doc_id, text, capacity), "pieces")
+    pieces = settle(token_pieces(docs, tokenizer, doc_id, text, capacity, cache_words=cache_words), "pieces")
     return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"], capacity)

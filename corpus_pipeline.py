@@ -13,6 +13,10 @@ from gneiss.llm.common import read, settle
 from gneiss.llm.queries import tokenizer_path
 
 
+#: Words that a worker remembers: half of what packing alone takes, since the executors have come from other stages.
+CACHE_WORDS = 300_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose two nearest codewords are about as near. The classifiers learn
     from the documents' own labels, of those that are not held out.
@@ -48,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of at most 2048 tokens. A null or empty text: one piece, the end token.
     Repeated rows are packed each; long texts are cut into pieces."""
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), cache_words=CACHE_WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("pack", pack)]

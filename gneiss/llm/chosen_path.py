@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import by_batch, join_on_hot, settle, utf8
@@ -298,35 +298,42 @@ class Bitmap:
             flat[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
         return cls(bits, flat)
 
+    def slot(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+    def passes(self, slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((self.flat[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool))
+
     def let_through(self, rows: DataFrame, column: str) -> DataFrame:
-        held = rows.sparkSession.sparkContext.broadcast(self.flat)
+        held = rows.sparkSession.sparkContext.broadcast(self)
         kept = rows.columns
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(np.int64)
-            inside = (held.value[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
-            return batch.select(list(range(len(kept)))).filter(pa.array(inside))
+            return batch.select(list(range(len(kept)))).filter(held.value.passes(batch.column(len(kept))))
 
-        slot = F.pmod(F.xxhash64(column), F.lit(self.bits)).alias("_slot")
-        return by_batch(rows.select(*kept, slot), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+        return by_batch(rows.select(*kept, self.slot(column).alias("_slot")), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
 
 
-def _tokens_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, name, tokens) of docs (doc_id, text)."""
+def _tokens_of(docs: DataFrame, words: int, bitmap: Bitmap) -> DataFrame:
+    """(doc_id, name, tokens) of those docs (doc_id, text) that the bitmap lets through. One step of Python does both: two in
+    a row would take two workers for each task, which live on beside the executor."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(held.value.passes(batch.column(2)))
         sets = [shingle_set(d, words) for d in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "name", "tokens"])
 
-    return by_batch(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, tokens binary")
+    rows = docs.select("doc_id", "text", bitmap.slot("doc_id").alias("_slot"))
+    return by_batch(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, tokens binary")
 
 
 def _with_tokens(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """wanted (name, rep, ...) with the set's tokens, without rep. docs: (doc_id, text). rep is a document with the set; the
     bitmap may let others through, and one of those with the set is enough."""
-    texts = Bitmap.of(wanted.select("rep"), "rep").let_through(docs, "doc_id")
-    met = _tokens_of(texts, words).join(wanted, "name").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    return met.drop("doc_id", "rep").dropDuplicates(["name"])
+    met = _tokens_of(docs, words, Bitmap.of(wanted.select("rep"), "rep")).join(wanted, "name")
+    return met.where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep").dropDuplicates(["name"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:

@@ -162,20 +162,25 @@ def order_numbers(values: DataFrame, column: str) -> DataFrame:
     return placed.select(column, (first[part] + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_rank"))
 
 
-#: Keys of a join that are taken out as hot: those with more than this part of all rows, so fewer keys than its inverse.
-HOT_PART = 1_000
+#: Keys of a join that count as hot: those with more than this part of all rows, so fewer keys than its inverse; and over
+#: how many places of the shuffle such a key's rows are spread.
+HOT_PART, HOT_SPREAD = 1_000, 1_024
 
 
 def join_on_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined (inner) with facts, a row per key; n: a column of facts that counts a key's rows of all `total` in rows.
 
-    A key with more than a HOT_PART-th of the rows is joined by a broadcast: there are fewer than HOT_PART of them. The
-    others meet by a shuffle in which no key is a large part. rows may be read twice and facts three times: settle them before."""
+    A key with more than a HOT_PART-th of the rows gets its facts by a broadcast: there are fewer than HOT_PART of them. In
+    the shuffle by which the others get theirs, such a key's rows are spread, so no key is a large part of a task. facts is
+    read three times: settle it before; its columns but the key are in none of rows."""
     limit = max(1, total // HOT_PART)
-    hot = facts.where(F.col(n) > limit)
+    hot, cold = facts.where(F.col(n) > limit), facts.where(F.col(n) <= limit)
     if not hot.limit(1).count():
         return rows.join(facts, key)
-    cold = facts.where(F.col(n) <= limit)
-    by_broadcast = rows.join(F.broadcast(hot), key)
-    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return by_broadcast.unionByName(by_shuffle)
+    added = [c for c in facts.columns if c != key]
+    told = hot.select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added])
+    met = rows.join(F.broadcast(told), rows[key] == told["_hot"], "left")
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SPREAD)) + 1).cast("int")
+    met = met.withColumn("_spread", spread).join(cold.withColumn("_spread", F.lit(0)), [key, "_spread"], "left")
+    out = met.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in added])
+    return out.where(F.col(n).isNotNull())

@@ -149,9 +149,9 @@ DEFAULT_LIMIT, OVERHEAD_TOKENS, LEAST_CODE_TOKENS, CHARS_PER_TOKEN = 8000, 500,
 
 # Which files are code.
 CODE_EXTENSIONS = (
-    ".ts .tsx .js .jsx .py .rb .go .rs .java .c .cpp .h .hpp .cs .php .swift .kt .scala .vue .svelte .html .css .scss .sql .sh .yaml "
-    ".yml .json .toml .xml .dockerfile"
-).split()
-CODE_NAMES = "Dockerfile Makefile Rakefile Gemfile Procfile Vagrantfile Jenkinsfile Brewfile".split()
+    ".ts", ".tsx", ".js", ".jsx", ".py", ".rb", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp", ".cs", ".php", ".swift", ".kt", ".scala", ".vue", ".svelte", ".html", ".css", ".scss", ".sql", ".sh",
+    ".yaml", ".yml", ".json", ".toml", ".xml", ".dockerfile",
+)
+CODE_NAMES = ("Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", "Vagrantfile", "Jenkinsfile", "Brewfile")
 #: Directories left out; other names that start with a dot are left out too, but for .github.
-IGNORED_DIRS = "node_modules .git dist build out .next vendor __pycache__ .venv venv target coverage".split()
+IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "out", ".next", "vendor", "__pycache__", ".venv", "venv", "target", "coverage")

@@ -14,8 +14,8 @@ from gneiss.functions import text as X
 def is_source(path: Column) -> Column:
     """Whether a path (relative to its root) belongs to a scan: no ignored or hidden directory, a known extension or name."""
     parts = F.split(path, "/")
-    hidden = F.exists(parts, lambda p: (p.startswith(".") & (p != ".github")) | p.isin(R.IGNORED_DIRS))
-    return ~hidden & (X.extension(path).isin(R.CODE_EXTENSIONS) | X.basename(path).isin(R.CODE_NAMES))
+    hidden = F.exists(parts, lambda p: (p.startswith(".") & (p != ".github")) | p.isin(*R.IGNORED_DIRS))
+    return ~hidden & (X.extension(path).isin(*R.CODE_EXTENSIONS) | X.basename(path).isin(*R.CODE_NAMES))
 
 
 def _unlisted(spark: SparkSession, root: str) -> list[str]:
@@ -80,7 +80,7 @@ def _escaped(text: str) -> str:
 def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     """files that a change list names, unless removed, by extension alone. changes: path, status."""
     live = changes.where("status <> 'removed'").select("path")
-    return files.join(live, "path", "left_semi").where(X.extension(F.col("path")).isin(R.CODE_EXTENSIONS))
+    return files.join(live, "path", "left_semi").where(X.extension(F.col("path")).isin(*R.CODE_EXTENSIONS))
 
 
 def scope(files: DataFrame, changes: DataFrame | None, wanted: str = "auto") -> DataFrame:

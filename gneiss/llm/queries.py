@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chosen_path, html, langid, mixing, ogg, order_minhash, packing, pii, sharding, suffixes
+from gneiss.llm import chosen_path, html, importance, langid, mixing, ogg, order_minhash, packing, pii, sharding, suffixes
 from gneiss.llm.common import read, settle
 
 SHARDS = 40
@@ -121,10 +121,61 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", F.col("_features").alias("n_features"), F.col("_weight").alias("weight"), F.col("_score").alias("score"), F.col("_rank").alias("rank"))
+
+
+#: crc32 by its definition, byte by byte: what a byte changes is the exclusive or of what its bits change.
+OP11_SQL = r"""
+WITH RECURSIVE bits(i, v) AS (
+  SELECT 0, 1::UBIGINT UNION ALL SELECT i + 1, v * 2 FROM bits WHERE i < 7
+), steps(i, k, v) AS (
+  SELECT i, 0, v FROM bits
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM steps WHERE k < 8
+), t AS (
+  SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8
+), texts AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark
+), rows AS (
+  SELECT side, doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM texts
+), feats AS (
+  SELECT side, doc_id, r, len(w) AS n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM rows
+), own AS (
+  SELECT side, doc_id, r, n, f, count(*) AS c FROM feats GROUP BY ALL
+), known AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, xor(xor(xor((xor(c, b) & 1) * t[1], ((xor(c, b) >> 1) & 1) * t[2]), xor(((xor(c, b) >> 2) & 1) * t[3], ((xor(c, b) >> 3) & 1) * t[4])),
+      xor(xor(((xor(c, b) >> 4) & 1) * t[5], ((xor(c, b) >> 5) & 1) * t[6]), xor(((xor(c, b) >> 6) & 1) * t[7], ((xor(c, b) >> 7) & 1) * t[8]))))), 4294967295::UBIGINT) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM own), t
+), bucket AS (
+  SELECT b, sum(CASE WHEN side = 'd' THEN c ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 'b' THEN c ELSE 0 END)::DOUBLE AS t
+  FROM own JOIN known USING (f) GROUP BY b
+), gain AS (
+  SELECT b, floor(1000::DOUBLE * ln((bucket.t + 1) * (all_s + 10000) / ((bucket.s + 1) * (all_t + 10000))))::BIGINT AS g
+  FROM bucket, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM bucket)
+), summed AS (
+  SELECT r, sum(c)::BIGINT AS n_features, sum(c * g)::BIGINT AS total FROM own JOIN known USING (f) JOIN gain USING (b) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT rows.doc_id, rows.r, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT AS weight,
+         floor(-1000::DOUBLE * ln(-ln((('0x' || substr(sha256('7:' || coalesce(rows.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g
+  FROM rows LEFT JOIN summed USING (r) WHERE side = 'd'
+), ranked AS (
+  SELECT *, weight + g AS score, row_number() OVER (ORDER BY n < 20, weight + g DESC, doc_id NULLS LAST, n_features) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n >= 20 AND place <= 25 * (SELECT count(*) FROM scored WHERE n >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing, op11_importance]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chosen_path": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op6_chosen_path": OP6_SQL, "op7_mixing": OP7_SQL, "op11_importance": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chosen_path, html, importance, langid, mixing, ogg, order_minhash, packing, pii, sharding, suffixes
+from gneiss.llm import chosen_path, html, importance, langid, mixing, ogg, order_minhash, packing, periodic, pii, sharding, suffixes
 from gneiss.llm.common import read, settle
 
 SHARDS = 40
@@ -172,8 +172,21 @@ FROM ranked
 """
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    turned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    words = F.regexp_extract_all("text", F.lit(periodic.WORD), F.lit(0))
+    given = docs.select("doc_id", F.when(turned, F.array_join(periodic.repeating(words, F.col("doc_id")), " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic_runs(given).withColumn("_most", periodic.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_most.start", "_most.length", "_most.period", F.expr("1000 * _most.length div _most.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing, op11_importance]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing, op11_importance, op12_periodic_runs]
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import chosen_path, html, importance, langid, mixing, ogg, order_minhash, packing, periodic, pii, sharding, suffixes
+from gneiss.llm import chosen_path, html, importance, langid, mixing, ogg, order_minhash, packing, periodic, pii, quality, sharding, suffixes
 from gneiss.llm.common import read, settle
 
 SHARDS = 40
@@ -185,8 +185,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing, op11_importance, op12_periodic_runs]
+    own = [op1_order_minhash, op2_line_blocks, op3_ogg, op4_kd_shards, op5_suffix_dedup, op6_chosen_path, op7_mixing, op8_language, op9_pii, op10_packing, op11_importance, op12_periodic_runs, op13_quality]
     return {f.__name__: f for f in own}
 
 

@@ -19,7 +19,6 @@ from gneiss.llm.common import by_batch
 
 #: A run has at least LEAST_WORDS words and LEAST_PERIODS periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-WORD = r"[^\x20\x09-\x0D]+"
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
@@ -222,9 +221,15 @@ def periodic_runs(docs: DataFrame, text: str = "text", prefix: str = "", least_w
     return by_batch(docs, run, f"{kept}, {names[0]} bigint, {names[1]} {RUNS}, {names[2]} string")
 
 
+def words(text: Column) -> Column:
+    """The words of a text in order. Null: none."""
+    bare = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return F.when(F.coalesce(F.length(bare), F.lit(0)) > 0, F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def repeating(words: Column, doc_id: Column) -> Column:
     """The words of a document; for one in ten, by crc32 of doc_id, repeated with a period from some word on: each word i
-    from a on becomes word a + (i - a) % p. Null doc_id: as they are."""
+    from a on becomes word a + (i - a) % p. Null doc_id: as they are. words: a column that is there already."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     n, g = F.size(words).cast("long"), F.floor(h / 10)
     a = g % n

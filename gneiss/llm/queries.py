@@ -175,8 +175,8 @@ FROM ranked
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     turned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    words = F.regexp_extract_all("text", F.lit(periodic.WORD), F.lit(0))
-    given = docs.select("doc_id", F.when(turned, F.array_join(periodic.repeating(words, F.col("doc_id")), " ")).otherwise(F.col("text")).alias("text"))
+    parted = docs.select("doc_id", "text", F.when(turned, periodic.words(F.col("text"))).alias("_words"))
+    given = parted.select("doc_id", F.when(turned, F.array_join(periodic.repeating(F.col("_words"), F.col("doc_id")), " ")).otherwise(F.col("text")).alias("text"))
     found = periodic.periodic_runs(given).withColumn("_most", periodic.longest(F.col("runs")))
     lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
     return found.select(

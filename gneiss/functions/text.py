@@ -147,46 +147,29 @@ def commit_message(kind: Column, description: Column) -> Column:
     return F.concat(lookup(R.COMMIT_PREFIX, kind, F.lit("fix")), F.lit(": "), short)
 
 
-def regex_matches(content: Column, pattern: str) -> Column:
-    """All matches in order as structs (at: characters before it, text), for patterns that never match emptily.
-
-    What lies between matches is what split leaves, so the two interleave and their lengths add up to the places."""
-    found = F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(content, pattern, -1)
-    sizes = F.transform(found, lambda m, i: F.struct(m.alias("text"), (F.length(F.get(between, i)) + 0).alias("gap")))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
-    walked = F.aggregate(
-        sizes, start,
-        lambda acc, x: F.struct((acc["end"] + x["gap"] + F.length(x["text"])).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + x["gap"]).alias("at"), x["text"].alias("text")))).alias("out")),
-    )
-    return walked["out"]
-
-
-def regex_lines(content: Column, pattern: str) -> Column:
-    """All matches in order as structs (line from 1, mark, text); mark: the first two characters of the line, without white
-    space, up to where the match begins. For patterns that never match emptily.
-
-    Line ends are counted in what lies between the matches and in the matches, each once, so a file costs its length."""
-    found = F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(content, pattern, -1)
-    pieces = F.when(F.size(found) > 0, F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("text"))).otherwise(F.array().cast("array<struct<gap:string,text:string>>"))
-    start = F.struct(F.lit(1).alias("line"), F.lit("").alias("mark"), F.array().cast("array<struct<line:int,mark:string,text:string>>").alias("out"))
-
-    def ends(x: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, F.lit("\n")))
-
-    def mark_after(mark: Column, x: Column) -> Column:
-        last = F.when(F.contains(x, F.lit("\n")), F.substring_index(x, "\n", -1)).when(F.length(mark) > 1, F.lit("")).otherwise(F.concat(mark, x))
-        return F.when(~F.contains(x, F.lit("\n")) & (F.length(mark) > 1), mark).otherwise(F.substring(F.regexp_replace(last, r"^\s+", ""), 1, 2))
-
-    def step(acc: Column, x: Column) -> Column:
-        line, mark = acc["line"] + ends(x["gap"]), mark_after(acc["mark"], x["gap"])
-        own = F.struct(line.alias("line"), mark.alias("mark"), x["text"].alias("text"))
-        return F.struct((line + ends(x["text"])).alias("line"), mark_after(mark, x["text"]).alias("mark"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-    return F.aggregate(pieces, start, step)["out"]
-
-
-def line_of(content: Column, at: Column) -> Column:
-    """The number, from 1, of the line that the character with `at` before it is on."""
-    return F.regexp_count(content.substr(F.lit(1), at), F.lit("\n")) + 1
+def quoted(text: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _stretch(text: str, ends: str, rest: str) -> str:
+    return rf"length({text}) - length(replace({text}, '\n', '')) AS {ends}, length(substring_index({text}, '\n', -1)) AS {rest}"
+
+
+def regex_lines(content: str, pattern: str) -> str:
+    """SQL, since lambdas this deep are slow to build call by call: all matches in `content`, an expression, in order as
+    structs (line from 1, col: characters before it on its line, text). For patterns that never match emptily.
+
+    What lies between matches is what split leaves. A stretch of text has a number of line ends (ends) and a length of what
+    is behind the last of them (rest); stretches that touch join to the same two numbers of both. line and col are those of
+    all before a match, ends and rest of all up to its end. Rounds of joins double their reach: after k of them a place has
+    joined the 2**k pieces that end there. No round copies more than the array, so n matches cost n log n steps, where a
+    fold that appends to its result costs their square. What is named more than once is bound by a lambda, as an expression
+    inside one is worked out for every element."""
+    pieces = f"""filter(zip_with(regexp_extract_all({content}, {quoted(f'({pattern})')}, 1), split({content}, {quoted(pattern)}, -1),
+      (m, gap) -> struct({_stretch('concat(gap, m)', 'ends', 'rest')}, {_stretch('gap', 'line', 'col')}, m AS text)), p -> p.text IS NOT NULL)"""
+    joined = """transform(array(get(acc, i - reach)), a -> struct(a.ends + x.ends AS ends, if(x.ends > 0, x.rest, a.rest + x.rest) AS rest,
+      a.ends + x.line AS line, if(x.line > 0, x.col, a.rest + x.col) AS col, x.text AS text))[0]"""
+    rounds = "if(size(v) > 1, sequence(0, int(ceil(log2(size(v)))) - 1), CAST(array() AS array<int>))"
+    double = f"transform(array(shiftleft(1, k)), reach -> transform(acc, (x, i) -> if(i >= reach, {joined}, x)))[0]"
+    return f"transform(transform(array({pieces}), v -> aggregate({rounds}, v, (acc, k) -> {double}))[0], p -> struct(p.line + 1 AS line, p.col AS col, p.text AS text))"

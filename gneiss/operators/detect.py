@@ -35,20 +35,23 @@ def scan_rules(files: DataFrame, rules: tuple[R.Rule, ...] = R.RULES) -> DataFra
     match needs is there, before any regex), with their lines worked out, and the arrays are exploded together; the
     contents go no further. Matches on a line that begins as a comment are dropped. Rows are ordered by (rule_ord,
     match_ord) within a file."""
-    empty = F.array().cast("array<struct<line:int,mark:string,text:string>>")
-    found = F.array(*[
-        F.struct(
-            F.lit(i).alias("rule_ord"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"),
-            F.when(gated(F.col("ext"), r.extensions) & may_match(F.col("content"), F.col("_low"), r.pattern, r.needs), X.regex_lines(F.col("content"), r.java)).otherwise(empty).alias("matches"),
-        ) for i, r in enumerate(rules)
-    ])
-    hits = files.withColumn("_low", F.lower("content")).select("path", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
-    rows = hits.select("path", "r.rule_ord", "r.type", "r.severity", "r.description", F.posexplode("r.matches").alias("match_ord", "m"))
-    # What the match itself adds to the beginning of its line counts too.
-    begins = F.regexp_replace(F.concat("m.mark", F.substring_index("m.text", "\n", 1)), r"^\s+", "")
-    rows = rows.where(~begins.rlike(r"^(?://|#|\*)"))
+    def of_rule(i: int, r: R.Rule) -> str:
+        # A match's line up to the end of what the match has of it; only its first signs count.
+        begins = r"substring(get(_lines, m.line - 1), 1, m.col + length(substring_index(m.text, '\n', 1)))"
+        matches = f"transform({X.regex_lines('content', r.java)}, m -> struct(m.line, m.text, {begins} rlike {X.quoted(r'^\s*(?://|#|\*)')} AS comment))"
+        text = "_low" if r.pattern.startswith("(?i)") else "content"
+        tests = [f"ext IN ({', '.join(map(X.quoted, r.extensions))})"] if r.extensions else []
+        if r.needs:
+            tests.append("(" + " OR ".join(f"contains({text}, {X.quoted(w.lower() if text == '_low' else w)})" for w in r.needs) + ")")
+        facts = f"{i} AS rule_ord, {X.quoted(r.type)} AS type, {X.quoted(r.severity)} AS severity, {X.quoted(r.description)} AS description"
+        return f"struct({facts}, CASE WHEN {' AND '.join(tests or ['true'])} THEN {matches} ELSE array() END AS matches)"
+
+    found = F.expr(f"array({', '.join(of_rule(i, r) for i, r in enumerate(rules))})")
+    given = files.select("path", "ext", "content", F.lower("content").alias("_low"), X.lines(F.col("content")).alias("_lines"))
+    hits = given.select("path", F.explode(F.filter(found, lambda r: F.size(r["matches"]) > 0)).alias("r"))
+    out = hits.select("path", "r.rule_ord", "r.type", "r.severity", "r.description", F.posexplode("r.matches").alias("match_ord", "m")).where(~F.col("m.comment"))
     description = F.when(F.col("type") == "stubs", F.substring(X.trimmed(F.col("m.text")), 1, 100)).otherwise(F.col("description"))
-    return rows.select(F.col("path").alias("file"), F.col("m.line").alias("line"), "type", "severity", description.alias("description"), "rule_ord", "match_ord")
+    return out.select(F.col("path").alias("file"), F.col("m.line").alias("line"), "type", "severity", description.alias("description"), "rule_ord", "match_ord")
 
 
 def flagged_files(issues: DataFrame) -> DataFrame:
@@ -164,24 +167,40 @@ def full_imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(found).alias("pos", "spec"))
 
 
+# How imports of names, and of a default, look.
+_NAMED = r"(?m)^import\s+(?:type\s+)?\{[^}]+\}\s+from\s+['\"][^'\"]+['\"]"
+_DEFAULT = r"(?m)^import\s+[A-Za-z0-9_]+\s+from\s+['\"][^'\"]+['\"]"
+
+
 def unused_imports(files: DataFrame) -> DataFrame:
-    """Named and default imports whose name occurs once at most, as an ASCII word, in their file."""
-    script = files.where(F.col("ext").isin(*R.SCRIPT))
-    named = r"(?m)^import\s+(?:type\s+)?\{[^}]+\}\s+from\s+['\"][^'\"]+['\"]"
-    plain = r"(?m)^import\s+[A-Za-z0-9_]+\s+from\s+['\"][^'\"]+['\"]"
-    rows = script.select("path", "content", F.explode(F.concat(
-        F.transform(X.regex_matches(F.col("content"), named), lambda m: F.struct(F.lit(0).alias("kind"), m["at"].alias("at"), F.split(F.regexp_extract(m["text"], r"\{([^}]+)\}", 1), ",").alias("names"))),
-        F.transform(X.regex_matches(F.col("content"), plain), lambda m: F.struct(F.lit(1).alias("kind"), m["at"].alias("at"), F.array(F.regexp_extract(m["text"], r"^import\s+([A-Za-z0-9_]+)", 1)).alias("names"))),
-    )).alias("i"))
-    each = rows.select("path", "content", "i.kind", "i.at", F.posexplode("i.names").alias("pos", "raw"))
-    parts = F.split(X.trimmed(F.col("raw")), r"\s+as\s+")
-    each = each.withColumn("name", X.trimmed(F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.get(parts, F.lit(0)))))
+    """Named and default imports whose name occurs once at most, as an ASCII word, in their file.
+
+    A file's words are sorted once; those that have an equal neighbour occur more than once, and no name that is a word is
+    looked for in the content. Names with other signs than a word's are counted by a pattern of their own."""
+    script = files.where(F.col("ext").isin(*R.SCRIPT) & F.contains("content", F.lit("import")))
+
+    def imports(kind: int, pattern: str, names) -> Column:
+        return F.transform(F.expr(X.regex_lines("content", pattern)), lambda m: F.struct(F.lit(kind).alias("kind"), m["line"].alias("line"), m["col"].alias("col"), names(m["text"]).alias("names")))
+
+    def named(raw: Column) -> Column:
+        parts = F.split(X.trimmed(raw), r"\s+as\s+")
+        return X.trimmed(F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.get(parts, F.lit(0))))
+
+    listed = imports(0, _NAMED, lambda t: F.transform(F.split(F.regexp_extract(t, r"\{([^}]+)\}", 1), ","), named))
+    single = imports(1, _DEFAULT, lambda t: F.array(F.regexp_extract(t, r"^import\s+([A-Za-z0-9_]+)", 1)))
+    met = script.select("path", "content", F.concat(listed, single).alias("_imports")).where(F.size("_imports") > 0)
+    met = met.withColumn("_words", F.array_sort(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0))))
+    often = F.array_distinct(F.filter("_words", lambda w, i: (i > 0) & (w == F.get(F.col("_words"), i - 1))))
+    imported = F.array_distinct(F.flatten(F.transform("_imports", lambda i: i["names"])))
+    met = met.select("path", "content", "_imports", F.array_except(imported, often).alias("_once"))
+    each = met.select("path", "content", "_once", F.explode("_imports").alias("i"))
+    each = each.select("path", "content", "i.kind", "i.line", "i.col", F.posexplode(F.filter("i.names", lambda n: F.array_contains(F.col("_once"), n))).alias("pos", "name"))
     each = each.where(F.when(F.col("kind") == 0, F.length("name") >= 2).otherwise(F.col("name") != "React"))
-    word = F.concat(F.lit(R.B), F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(R.B))
-    unused = each.where(F.regexp_count("content", word) <= 1)
-    order = Window.partitionBy("path").orderBy("kind", "at", "pos")
+    pattern = F.concat(F.lit(R.B), F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(R.B))
+    unused = each.where(F.col("name").rlike(r"^[A-Za-z0-9_]+\z") | (F.regexp_count("content", pattern) <= 1))
+    order = Window.partitionBy("path").orderBy("kind", "line", "col", "pos")
     return unused.select(
-        F.col("path").alias("file"), X.line_of(F.col("content"), F.col("at")).alias("line"), F.lit("lint").alias("type"), F.lit("low").alias("severity"),
+        F.col("path").alias("file"), "line", F.lit("lint").alias("type"), F.lit("low").alias("severity"),
         F.concat(F.lit("Unused import: '"), F.col("name"), F.lit("'")).alias("description"), F.lit(len(R.RULES) + 1).alias("rule_ord"), (F.row_number().over(order) - 1).alias("match_ord"),
     )
 

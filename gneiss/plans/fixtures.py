@@ -114,7 +114,10 @@ _NAMES = re.compile(r"\b(FROM|JOIN) (" + "|".join((*_TABLES, *VIEWS)) + r")\b")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame, lazy; the tables are read with the columns that it needs."""
     for t in _TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(_OWN + t)
+        table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if t == "part":  # its narrow rows become whole files, so they are spread before they grow
+            table = table.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+        table.createOrReplaceTempView(_OWN + t)
     frame = None
     for n in _needed((name,)):
         sql = VIEWS[n].replace("sha256_of(content)", "sha2(content, 256)").replace("\\", "\\\\")

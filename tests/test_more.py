@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def lines_of_matches(text, pattern):
     out = []
     for m in re.finditer(pattern, text):
         start = text.rfind("\n", 0, m.start()) + 1
-        out.append((text.count("\n", 0, m.start()) + 1, text[start : m.start()].lstrip()[:2], m[0]))
+        out.append((text.count("\n", 0, m.start()) + 1, m.start() - start, m[0]))
     return out
 
 
@@ -51,10 +52,42 @@ def test_places_of_matches(spark):
     r = random.Random(1)
     texts = ["".join(r.choice(["ab", "a", "b", " ", "\n", "/", "x", "\t"]) for _ in range(r.randint(0, 40))) for _ in range(200)]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = frame.select("t", X.regex_lines(F.col("t"), r"a\s*b").alias("m")).collect()
+    got = frame.select("t", F.expr(X.regex_lines("t", r"a\s*b")).alias("m")).collect()
     assert all([tuple(x) for x in row["m"]] == lines_of_matches(row["t"], r"a\s*b") for row in got)
 
 
+def test_places_of_matches_follow_the_matches_in_time(spark):
+    def took(n):
+        best = 1e9
+        for _ in range(3):
+            frame = spark.range(1, numPartitions=1).select(F.lit("a.ts").alias("path"), F.lit(".ts").alias("ext"), F.repeat(F.lit("  x = y as any\n"), n).alias("content"))
+            began = time.perf_counter()
+            last = detect.scan_rules(frame).agg(F.count(F.lit(1)), F.max("line"), F.max("match_ord")).first()
+            best = min(best, time.perf_counter() - began)
+            assert tuple(last) == (n, n, n - 1)
+        return best
+
+    took(100)
+    assert took(32_000) < 4.5 * took(8_000)
+
+
+def test_comment_lines_by_the_whole_beginning_of_the_line(spark):
+    text = "  // TODO a\nx # TODO b\n \t# TODO c\n* TODO d\n/* TODO e */\n / TODO f\nTODO g TODO h\nTODO:\n# TODO i\nx TODO: \n\n// y\n"
+    rows = detect.scan_rules(spark.createDataFrame([("a.py", ".py", text), ("b.py", ".py", ""), ("c.py", ".py", None)], "path string, ext string, content string")).collect()
+    assert sorted((r["file"], r["line"], r["description"], r["match_ord"]) for r in rows) == [
+        ("a.py", 2, "TODO b", 1), ("a.py", 5, "TODO e */", 4), ("a.py", 6, "TODO f", 5), ("a.py", 7, "TODO g TODO h", 6), ("a.py", 8, "TODO:\n# TODO i", 7), ("a.py", 10, "TODO: \n\n// y", 8),
+    ]
+
+
+def test_unused_imports_count_words(spark):
+    text = "import { A, B as C, D, $e, F } from './m'\nimport G from 'g'\nimport React from 'react'\nimport { A2 } from 'x'\nC(D, $e, G$, A2x); $e\n"
+    rows = detect.unused_imports(spark.createDataFrame([("a.ts", ".ts", text), ("b.ts", ".ts", None), ("c.py", ".py", text)], "path string, ext string, content string")).collect()
+    assert sorted((r["file"], r["line"], r["description"].split("'")[1], r["match_ord"]) for r in rows) == [("a.ts", 1, "$e", 0), ("a.ts", 4, "A2", 1)]
+    text = "import {Aa, Bb as Cc, Dd,\n $ee, type Ff } from './m'\n\nimport Gg from 'g'\nCc(Dd) $ee type Ff\n"
+    rows = detect.unused_imports(spark.createDataFrame([("a.ts", ".ts", text)], "path string, ext string, content string")).collect()
+    assert [(r["line"], r["description"].split("'")[1], r["match_ord"]) for r in sorted(rows, key=lambda r: r["match_ord"])] == [(1, "Aa", 0), (1, "$ee", 1), (4, "Gg", 2)]
+
+
 def test_every_rule_has_a_row_in_the_fixture(spark):
     if not catalog.QUERIES or not __import__("os").path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test data")

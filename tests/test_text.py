@@ -71,5 +71,5 @@ def test_commit_message(spark):
 @given(st.lists(st.sampled_from(["TODO", "FIXME:", "\n", " ", "x", "äTODO", "HACK", "é", "\n\n"]), max_size=12).map("".join))
 def test_places_of_matches(spark, text):
     pattern = r"\b(?:TODO|FIXME|HACK|XXX)\b[:\s]*.{0,80}"
-    rows = one(spark, X.regex_matches(F.lit(text), pattern.replace(r"\b", R.B)))
-    assert [(r["at"], r["text"]) for r in rows] == [(m.start(), m[0]) for m in re.finditer(pattern.replace("[:\\s]", "[:\\t\\n\\x0b\\f\\r ]"), text, re.A)]
+    rows = one(spark, F.expr(X.regex_lines(X.quoted(text), pattern.replace(r"\b", R.B))))
+    assert [(r["line"], r["col"], r["text"]) for r in rows] == [(text.count("\n", 0, m.start()) + 1, m.start() - text.rfind("\n", 0, m.start()) - 1, m[0]) for m in re.finditer(pattern.replace("[:\\s]", "[:\\t\\n\\x0b\\f\\r ]"), text, re.A)]

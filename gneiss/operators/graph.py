@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
+from gneiss.operators import compress
+from gneiss.sources import scratch
 
 # What a relative specifier may stand for, in order, and a dotted one.
 RELATIVE = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
@@ -49,71 +55,195 @@ def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.select("path").join(counts, "path", "left").select("path", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def pack_next_fit(items: DataFrame, budget: int, group: list[str] | None = None) -> DataFrame:
+class _Walk:
+    """Next-fit along sorted items: chunk and place of each item of the group that the walk is in."""
+
+    def __init__(self, budget: int, key=None, used: int = 0, chunk: int = 0, pos: int = -1):
+        self.budget, self.key, self.used, self.chunk, self.pos = budget, key, used, chunk, pos
+
+    def step(self, key, tokens: int) -> tuple[int, int]:
+        if self.pos < 0 or key != self.key:
+            self.key, self.used, self.chunk, self.pos = key, 0, 0, -1
+        self.pos += 1
+        if self.pos and self.used + tokens > self.budget:
+            self.chunk, self.used = self.chunk + 1, 0
+        self.used += tokens
+        return self.chunk, self.pos
+
+
+def _outcomes(tokens: list[int], budget: int) -> tuple[list[int], list[int], list[int]]:
+    """What a stretch of one group does to a chunk that is open before it.
+
+    sums: tokens up to and with each item, as far as the budget goes: the open chunk is closed at the first item whose sum
+    overruns what it has left. used, closed: what is in the open chunk after the stretch, and how many chunks have been
+    closed since, if one begins at the item. From the last item back: a chunk that begins at an item ends where the sums
+    overrun the budget, and goes on as the one that begins there."""
+    ends = list(itertools.accumulate(tokens, initial=0))
+    used, closed = [0] * len(tokens), [0] * len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        at = max(i + 1, bisect.bisect_right(ends, ends[i] + budget) - 1)
+        used[i], closed[i] = (used[at], closed[at] + 1) if at < len(tokens) else (ends[-1] - ends[i], 0)
+    near = bisect.bisect_right(ends, budget)  # an open chunk cannot reach further
+    return ends[1 : near + 1], used[:near], closed[:near]
+
+
+def pack_next_fit(items: DataFrame, budget: int, group: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(group..., path, tokens, hotspots, chunk, pos): next-fit in order of hotspots (most first), then ord, then path.
 
-    items: path, tokens, hotspots, ord and the group columns. A chunk is closed when the next item would overrun the
-    budget and it holds something; an item over the budget has a chunk to itself. The sum starts anew at each overrun,
-    which no window frame expresses: the items are sorted by group, and a walk along them holds a few numbers, however
-    large a group is. Groups are packed apart (without any, all items are one group: keep them to a repository's files)."""
+    items: path, tokens (null: 0), hotspots, ord and the group columns. A chunk is closed when the next item would overrun
+    the budget and it holds something; an item over the budget has a chunk to itself. The sum starts anew at each overrun,
+    which no window frame expresses. So the items are cut into ranges of the whole order, of groups and within them, and
+    each range works out what it does to a chunk that is open before it, for all places where that may be closed. The
+    driver goes from range to range with one open chunk, a few numbers and the items of one budget each; then all ranges
+    are walked at once from what they begin with. No task holds more than a range, however large a group is. parts: how
+    many ranges; otherwise Spark's own number."""
     by = group or []
-    rows = items.select(*by, "path", "tokens", "hotspots", "ord")
-    rows = rows.repartition(*by) if by else rows.repartition(1)
-    rows = rows.sortWithinPartitions(*by, F.desc("hotspots"), "ord", "path").drop("ord")
+    keys = [f"_g{i}" for i in range(len(by))]
+    rows = items.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "path", F.coalesce("tokens", F.lit(0)).alias("tokens"), "hotspots", "ord")
+    order = [*map(F.col, keys), F.desc("hotspots"), F.col("ord"), F.col("path")]
+    cut = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    cut = scratch.settled(cut.withColumn("_part", F.spark_partition_id()), "packed")
+    dealt = cut.repartition("_part").sortWithinPartitions("_part", *order).drop("ord")
+    names = dealt.columns
+    part_at, tokens_at = names.index("_part"), names.index("tokens")
+
+    def rows_of(b: pa.RecordBatch):
+        groups = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else itertools.repeat(())
+        return zip(b.column(part_at).to_pylist(), groups, b.column(tokens_at).to_pylist())
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each range: its first group, whether that is all of it, what its items do, and where the last group ends."""
+        every = itertools.chain.from_iterable(map(rows_of, batches))
+        for part, own in itertools.groupby(every, key=lambda r: r[0]):
+            first, tokens, walk = None, [], _Walk(budget)
+            for _, key, n in own:
+                first = key if first is None else first
+                if key == first:
+                    tokens.append(n)
+                walk.step(key, n)
+            fact = (part, first, walk.key == first, len(tokens), *_outcomes(tokens, budget), (walk.key, walk.used, walk.chunk, walk.pos))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fact)], pa.binary())], ["fact"])
+
+    open_chunk, begins = _Walk(budget), {}
+    for part, first, alone, n, sums, used, closed, last in sorted(map(pickle.loads, (r[0] for r in dealt.mapInArrow(told, "fact binary").collect())), key=lambda f: f[0]):
+        if open_chunk.pos < 0 or first != open_chunk.key:
+            open_chunk = _Walk(budget, *last)
+            continue
+        begins[part] = (open_chunk.key, open_chunk.used, open_chunk.chunk, open_chunk.pos)
+        if not alone:
+            open_chunk = _Walk(budget, *last)
+            continue
+        at = bisect.bisect_right(sums, budget - open_chunk.used)
+        stays = at == n
+        open_chunk = _Walk(budget, first, open_chunk.used + (sums[-1] if n else 0) if stays else used[at], open_chunk.chunk + (0 if stays else closed[at] + 1), open_chunk.pos + n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunk, used, pos = None, 0, 0, -1
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walk = None, _Walk(budget)
         for b in batches:
-            chunks, places = [], []
-            keys = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else [()] * b.num_rows
-            for key, tokens in zip(keys, b.column(len(by) + 1).to_pylist()):
-                if key != now:
-                    now, chunk, used, pos = key, 0, 0, -1
-                pos += 1
-                if pos and used + tokens > budget:
-                    chunk, used = chunk + 1, 0
-                used += tokens
-                chunks.append(chunk)
-                places.append(pos)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int32()), pa.array(places, pa.int32())], [*b.schema.names, "chunk", "pos"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, chunk int, pos int")
+            out = []
+            for part, key, n in rows_of(b):
+                if part != now:
+                    now, walk = part, _Walk(budget, *begins.get(part, ()))
+                out.append(walk.step(key, n))
+            kept = [c for i, c in enumerate(b.columns) if i != part_at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([c for c, _ in out], pa.int32()), pa.array([p for _, p in out], pa.int64())], [*[c for c in names if c != "_part"], "chunk", "pos"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "_part")
+    return dealt.mapInArrow(placed, f"{schema}, chunk int, pos long").withColumnsRenamed(dict(zip(keys, by)))
+
+
+class FreeList:
+    """Items in an order, some taken: the first free one from a place on that has at most some size, in log n steps."""
+
+    def __init__(self, items: list[str], sizes: list[int]):
+        self.items, self.place = items, {x: i for i, x in enumerate(items)}
+        self.width = 1 << max(0, len(items) - 1).bit_length()
+        self.least = [math.inf] * (2 * self.width)  # a tree of minima; the leaves are the sizes
+        self.least[self.width : self.width + len(items)] = sizes
+        for i in range(self.width - 1, 0, -1):
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def take(self, item: str) -> None:
+        i = self.place[item] + self.width
+        self.least[i] = math.inf
+        while i > 1:
+            i //= 2
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def first(self, start: int, room: int) -> int | None:
+        """The place of the first free item from `start` on with a size of at most `room`."""
+        i = start + self.width
+        if start >= self.width:
+            return None
+        while self.least[i] > room:
+            while i & 1:  # up, until there is something to the right
+                i //= 2
+                if i <= 1:
+                    return None
+            i += 1
+        while i < self.width:
+            i = 2 * i if self.least[2 * i] <= room else 2 * i + 1
+        return i - self.width
 
 
 def smart_groups(files: list[dict], neighbours: dict[str, set[str]], budget: int) -> list[list[str]]:
     """Paths by chunk: seeds by degree, then directory, then length; each takes neighbours, then siblings, then any
-    others, the smallest first, while they fit. files: path, directory, length."""
+    others, the smallest first, while they fit. files: path, directory, length.
+
+    Siblings and others come from free lists, so n files cost n log n steps and not n for every chunk."""
     size = {f["path"]: f["length"] + len(f["path"]) + 10 for f in files}
     length = {f["path"]: f["length"] for f in files}
     order = {f["path"]: i for i, f in enumerate(files)}
     small = sorted(size, key=lambda p: (length[p], order[p]))
-    siblings: dict[str, list[str]] = {}
-    for f in sorted(files, key=lambda f: (f["length"], order[f["path"]])):
-        siblings.setdefault(f["directory"], []).append(f["path"])
+    directory = {f["path"]: f["directory"] for f in files}
+    by_directory: dict[str, list[str]] = {}
+    for p in small:
+        by_directory.setdefault(directory[p], []).append(p)
+    free = {d: FreeList(ps, [size[p] for p in ps]) for d, ps in by_directory.items()}
+    everywhere = FreeList(small, [size[p] for p in small])
     taken: set[str] = set()
+
+    def take(p: str) -> int:
+        taken.add(p)
+        free[directory[p]].take(p)
+        everywhere.take(p)
+        return size[p]
+
     chunks = []
     for f in sorted(files, key=lambda f: (-len(neighbours.get(f["path"], ())), f["directory"], f["length"], order[f["path"]])):
         if f["path"] in taken:
             continue
-        chunk, used = [f["path"]], size[f["path"]]
-        taken.add(f["path"])
-        near = sorted((n for n in neighbours.get(f["path"], ()) if n in size), key=lambda p: (length[p], order[p]))
-        for pool in (near, siblings[f["directory"]], small):
-            for p in pool:
-                if p not in taken and used + size[p] <= budget:
-                    chunk.append(p)
-                    used += size[p]
-                    taken.add(p)
+        chunk, used = [f["path"]], take(f["path"])
+        for p in sorted((n for n in neighbours.get(f["path"], ()) if n in size and n not in taken), key=lambda p: (length[p], order[p])):
+            if used + size[p] <= budget:
+                chunk.append(p)
+                used += take(p)
+        for pool in (free[f["directory"]], everywhere):
+            at = pool.first(0, budget - used)
+            while at is not None:
+                chunk.append(pool.items[at])
+                used += take(pool.items[at])
+                at = pool.first(at + 1, budget - used)
         chunks.append(chunk)
     return chunks
 
 
-def smart_group(files: DataFrame, edges: DataFrame, budget: int, group: str = "repo") -> DataFrame:
-    """(repo, path, chunk, pos) by smart_groups. files: repo, path, content_len; edges: repo, src, dst.
+#: Characters of the budget that a compressed file leaves.
+SPARE = 200
 
-    Each choice depends on all before it, so a repository is one task; repositories go in parallel. (Grouping a single
-    huge repository is the caller's to cut, for instance by top directory: the result then differs from one greedy run.)"""
+
+def smart_group(files: DataFrame, edges: DataFrame, budget: int, group: str = "repo") -> DataFrame:
+    """(repo, path, chunk, pos) by smart_groups. files: repo, path and content_len, or ext and content: then a file that is
+    over the budget by itself counts as long as it is when compressed to the budget less SPARE. edges: repo, src, dst, all
+    of a repository, across directories too.
+
+    Each choice depends on all before it, so a repository is one task, of n log n steps on paths and lengths; repositories
+    go in parallel."""
+    if "content" in files.columns:
+        long = F.length("content") > budget
+        whole = files.where(~long | F.col("content").isNull()).select(group, "path", F.coalesce(F.length("content"), F.lit(0)).alias("content_len"))
+        cut = compress.fitted(files.where(long), F.lit(budget - SPARE)).select(group, "path", F.length("fit").alias("content_len"))
+        files = whole.unionByName(cut)
     near = edges.groupBy(group, F.col("src").alias("path")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
     rows = files.select(group, "path", "content_len").join(near, [group, "path"], "left")
 
@@ -144,34 +274,51 @@ def directory_manifest(files: DataFrame) -> DataFrame:
 RELATED, MANIFEST = 6, 600
 
 
-def manifest_text(head: Column, lines: Column, related: Column, most: int = MANIFEST) -> Column:
-    """The text of a manifest from its parts (lines, related: arrays), cut to `most` characters with a note at the end."""
+def manifest_text(head: Column, lines: Column, related: Column, most: int = MANIFEST, count: Column | None = None) -> Column:
+    """The text of a manifest from its parts (lines, related: arrays), cut to `most` characters with a note at the end.
+    count: how many related files there are, where `related` has only the first of them."""
+    n = F.size(related) if count is None else count
     told = F.concat(F.lit("Related files in other chunks:\n"), F.array_join(F.slice(related, 1, RELATED), "\n"), F.lit("\n"))
-    rest = F.when(F.size(related) > RELATED, F.concat(F.lit("  ... +"), (F.size(related) - RELATED).cast("string"), F.lit(" more\n"))).otherwise("")
+    rest = F.when(n > RELATED, F.concat(F.lit("  ... +"), (n - RELATED).cast("string"), F.lit(" more\n"))).otherwise("")
     text = F.concat(head, F.lit("\nStructure:\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), F.when(F.size(related) > 0, F.concat(told, rest)).otherwise(""))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 20), F.lit("\n  ... (trimmed)\n")))
 
 
-def related_files(placed: DataFrame, imports: DataFrame, most: int = 6) -> DataFrame:
-    """(chunk, other_chunk, path, pos): files of other chunks that a chunk imports, or that import it, by suffix; the
-    first `most` by chunk and position. placed: path, chunk, pos; imports: path, spec.
+def _firsts(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Of rows (by, chunk, pos, path), those that may be among some chunk's first `most` of other chunks: `most` of each
+    chunk, and of those twice as many, since a chunk leaves out its own. Both are cut before they move."""
+    own = F.row_number().over(Window.partitionBy(*by, "chunk").orderBy("pos", "path"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("chunk", "pos", "path"))
+    some = rows.withColumn("_n", own).where(F.col("_n") <= most)
+    return some.withColumn("_n", place).where(F.col("_n") <= 2 * most).select(*by, "chunk", "pos", "path")
+
+
+def related_files(placed: DataFrame, imports: DataFrame, most: int = RELATED, group: str | None = None) -> DataFrame:
+    """(chunk, other_chunk, path, n): files of other chunks that a chunk imports, or that import it, by suffix; the first
+    `most` by chunk, position and path. placed: path, chunk, pos; imports: path, spec. group: a column of both that says
+    which repository a file is of; files of different ones are never related, and it is in the result.
 
-    Suffixes are compared by equality, not pair by pair: each path gives its suffixes at each place a specifier could
-    begin, and the two meet in a hash join."""
-    spec = imports.join(placed.select("path", "chunk"), "path").select("chunk", "path", "spec").distinct()
+    Suffixes are compared by equality: each path gives its suffixes at each place a specifier could begin, and only those
+    that some specifier has stay. Importers and files of one suffix never meet each other: chunks that want a suffix, or
+    hold a file with it, meet twice `most` rows at most."""
+    by = [group] if group else []
+    key = [*by, "tail"]
+    of_files, where_ends, whole = F.col("path"), F.lit("~"), F.lit("=")  # a suffix, or all of a path
+    spec = imports.select(*by, "path", "spec").distinct().join(placed.select(*by, "path", "chunk", "pos"), [*by, "path"])
     target = F.array(
-        F.struct(F.concat("spec", F.lit(".ts")).alias("tail"), F.lit(False).alias("whole"), F.lit(True).alias("back")), F.struct(F.concat("spec", F.lit(".py")).alias("tail"), F.lit(False).alias("whole"), F.lit(True).alias("back")),
-        F.struct(F.concat(F.regexp_replace("spec", r"\.", "/"), F.lit(".py")).alias("tail"), F.lit(False).alias("whole"), F.lit(False).alias("back")), F.struct(F.col("spec").alias("tail"), F.lit(True).alias("whole"), F.lit(True).alias("back")),
+        F.struct(F.concat(where_ends, "spec", F.lit(".ts")).alias("tail"), F.lit(True).alias("back")), F.struct(F.concat(where_ends, "spec", F.lit(".py")).alias("tail"), F.lit(True).alias("back")),
+        F.struct(F.concat(where_ends, F.regexp_replace("spec", r"\.", "/"), F.lit(".py")).alias("tail"), F.lit(False).alias("back")), F.struct(F.concat(whole, "spec").alias("tail"), F.lit(True).alias("back")),
     )
-    wants = spec.select("chunk", "path", F.explode(target).alias("t")).select(F.col("chunk").alias("from_chunk"), F.col("path").alias("from_path"), "t.tail", "t.whole", "t.back")
-    tails = placed.select("path", "chunk", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.struct(F.col("path").substr(i, F.length("path")).alias("tail"), (i == 1).alias("full")))).alias("s"))
-    hits = tails.select("path", "chunk", "pos", "s.tail", "s.full").join(wants, "tail").where("(full or not whole) and chunk <> from_chunk")
-    out = hits.select(F.col("from_chunk").alias("for_chunk"), F.col("chunk").alias("other_chunk"), "path", "pos")
-    back = hits.where("back").join(placed.select(F.col("path").alias("from_path"), F.col("pos").alias("from_pos")), "from_path")
-    back = back.select(F.col("chunk").alias("for_chunk"), F.col("from_chunk").alias("other_chunk"), F.col("from_path").alias("path"), F.col("from_pos").alias("pos"))
-    rows = out.unionByName(back).distinct()
-    place = F.row_number().over(Window.partitionBy("for_chunk").orderBy("other_chunk", "pos", "path"))
-    return rows.withColumn("n", place).where(F.col("n") <= most).select(F.col("for_chunk").alias("chunk"), "other_chunk", "path", "n")
+    wants = spec.select(*by, "chunk", "pos", "path", F.explode(target).alias("t")).select(*by, "chunk", "pos", "path", "t.tail", "t.back")
+    suffixes = F.concat(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.concat(where_ends, of_files.substr(i, F.length("path")))), F.array(F.concat(whole, "path")))
+    held = placed.select(*by, "chunk", "pos", "path", F.explode(suffixes).alias("tail")).join(wants.select(*key).distinct(), key, "left_semi")
+    own = [*key, F.col("chunk").alias("for_chunk")]
+    out = wants.select(*own).distinct().join(_firsts(held, key, most), key)
+    importers = wants.where("back").select(*key, "chunk", "pos", "path").distinct()
+    back = held.select(*own).distinct().join(_firsts(importers, key, most), key)
+    rows = out.unionByName(back).where("chunk <> for_chunk").select(*by, "for_chunk", F.col("chunk").alias("other_chunk"), "path", "pos").distinct()
+    place = F.row_number().over(Window.partitionBy(*by, "for_chunk").orderBy("other_chunk", "pos", "path"))
+    return rows.withColumn("n", place).where(F.col("n") <= most).select(*by, F.col("for_chunk").alias("chunk"), "other_chunk", "path", "n")
 
 
 def halves(pos: Column, count: Column) -> Column:

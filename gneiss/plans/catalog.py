@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
@@ -13,6 +13,7 @@ from gneiss.operators import compress, detect, graph, incremental, outcomes, pol
 from gneiss.plans import scan as scans
 from gneiss.plans.fixtures import oracle_with, view
 from gneiss.sources import files as sources
+from gneiss.sources import scratch
 from gneiss.sources import findings
 from gneiss.streaming import incremental as streaming
 
@@ -772,16 +773,16 @@ def directory_manifest(spark, d):
 def packed_fingerprints(spark, d):
     files = view(spark, d, "doc_files")
     items = files.select(X.dirname(F.col("path")).alias("repo"), "path", X.token_estimate(F.col("content")).alias("tokens"), (F.col("doc_id") % 5).alias("hotspots"), F.col("doc_id").alias("ord"))
-    return graph.pack_next_fit(items, 2000, ["repo"]).select("repo", "path", "tokens", "chunk", "pos")
+    return graph.pack_next_fit(items, 2000, ["repo"], spark.sparkContext.defaultParallelism).select("repo", "path", "tokens", "chunk", F.col("pos").cast("int").alias("pos"))
 
 
 @query()
 def smart_groups(spark, d):
+    """All files as one repository, with all edges; files of more than 240 characters are compressed first."""
     files = view(spark, d, "code_files")
     edges = graph.file_graph(graph.resolve_imports(detect.full_imports(files), files))
-    repo = lambda c: X.top_dir(F.col(c))
-    inside = edges.where(repo("src") == repo("dst")).select(repo("src").alias("repo"), "src", "dst")
-    return graph.smart_group(files.select(repo("path").alias("repo"), "path", F.length("content").alias("content_len")), inside, 3200)
+    one = F.lit("all").alias("repo")
+    return graph.smart_group(files.select(one, "path", "ext", "content"), edges.select(one, "src", "dst"), 240)
 
 
 @query(
@@ -851,6 +852,21 @@ def agent_outputs(spark, d):
     return findings.agent_output(view(spark, d, "stream_lines"))
 
 
+@query(oracle_with("stream_lines") + "SELECT run, row_number() OVER (PARTITION BY run ORDER BY seq) - 1 AS seq, replace(line, 'not json', 'nöt jsön €') AS line FROM stream_lines")
+def agent_lines(spark, d):
+    """Lines put together from chunks: each line, with its line end, is cut in two at any byte, and five such parts that
+    follow one another are a chunk."""
+    lines = view(spark, d, "stream_lines")
+    place = F.row_number().over(Window.partitionBy("run").orderBy("seq")) - 1
+    data = F.encode(F.concat(F.replace("line", F.lit("not json"), F.lit("nöt jsön €")), F.lit("\n")), "UTF-8")
+    rows = lines.select("run", place.alias("n"), data.alias("data")).withColumn("at", (F.col("n") * 7 % F.octet_length("data")).cast("int"))
+    parts = F.array(F.substring("data", F.lit(1), F.col("at")), F.substring("data", F.col("at") + 1, F.octet_length("data")))
+    cut = rows.select("run", (F.col("n") * 2).alias("n"), F.posexplode(parts).alias("k", "part")).withColumn("n", F.col("n") + F.col("k"))
+    five = F.sort_array(F.collect_list(F.struct("n", F.hex("part").alias("part"))))
+    chunks = cut.groupBy("run", F.floor(F.col("n") / 5).alias("seq")).agg(F.unhex(F.array_join(F.transform(five, lambda p: p["part"]), "")).alias("chunk"))
+    return findings.lines_of(chunks)
+
+
 _CUSTOM = (R.Rule("own_print", r"print\([^)]*\)", "duplicates", "low", "A print", (".py",)), R.Rule("own_struct", r"struct\s+\{|interface\s+\w+", "dead-code", "high", "A struct"))
 
 
@@ -877,17 +893,20 @@ def repository_policy(spark, d):
     oracle_with("code_files")
     + """, r AS (SELECT split_part(path, '/', 1) AS directory, ext, path, id FROM code_files), k AS (SELECT directory, ext, count(*) AS n, min(path) AS first FROM r GROUP BY ALL),
     l AS (SELECT directory, 'Files of ' || directory || chr(10) || 'Structure:' || chr(10) || '  ' || directory || '/ ' || string_agg(n || ext, ' ' ORDER BY first) || chr(10) AS head FROM k GROUP BY directory),
-    t AS (SELECT directory, head || 'Related files in other chunks:' || chr(10) || array_to_string(rel[1:6], chr(10)) || chr(10) || '  ... +' || (len(rel) - 6) || ' more' || chr(10) AS text
-      FROM l JOIN (SELECT directory, list('other file of some length: ' || path ORDER BY path) AS rel FROM r WHERE id <= 100 GROUP BY directory HAVING count(*) > 6) USING (directory))
+    t AS (SELECT directory, head || 'Related files in other chunks:' || chr(10) || array_to_string(rel[1:6], chr(10)) || chr(10) || CASE WHEN len(rel) > 6 THEN '  ... +' || (len(rel) - 6) || ' more' || chr(10) ELSE '' END AS text
+      FROM l JOIN (SELECT directory, list('other file of some length: ' || path ORDER BY path) AS rel FROM r GROUP BY directory) USING (directory))
     SELECT directory, CASE WHEN len(text) <= 260 THEN text ELSE text[1:240] || chr(10) || '  ... (trimmed)' || chr(10) END AS text FROM t"""
 )
 def cut_manifests(spark, d):
     """Manifests of directories with related files, cut to 260 characters."""
     files = view(spark, d, "code_files")
     top = X.top_dir(F.col("path")).alias("directory")
-    related = files.where("id <= 100").groupBy(top).agg(F.sort_array(F.collect_list(F.concat(F.lit("other file of some length: "), "path"))).alias("related")).where(F.size("related") > 6)
-    met = graph.directory_manifest(files).join(related, "directory")
-    text = graph.manifest_text(F.concat(F.lit("Files of "), "directory"), F.array("line"), F.col("related"), 260)
+    place = F.row_number().over(Window.partitionBy("directory").orderBy("path"))
+    first = files.select(top, "path").withColumn("n", place).where(F.col("n") <= graph.RELATED)  # cut before the rows move
+    named = first.groupBy("directory").agg(F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit("other file of some length: "), p)).alias("related"))
+    counted = files.groupBy(top).agg(F.count(F.lit(1)).alias("n"))
+    met = graph.directory_manifest(files).join(named, "directory").join(counted, "directory")
+    text = graph.manifest_text(F.concat(F.lit("Files of "), "directory"), F.array("line"), F.col("related"), 260, F.col("n"))
     return met.select("directory", text.alias("text"))
 
 
@@ -943,7 +962,7 @@ def streaming_incremental_scan(spark, d):
     number = F.col("doc_id").cast("string")
     ext = F.element_at(F.array(*map(F.lit, (".md", ".py", ".ts", ".txt", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     files = raw.select(F.concat(F.col("source"), F.lit("/doc_"), number, ext).alias("path"), ext.alias("ext"), F.coalesce("text", F.lit("")).alias("content"))
-    root = streaming.scratch(spark)
+    root = scratch.folder(spark, "stream")
     for _ in range(2):
         streaming.incremental_scan(files, detect.hotspots, root).awaitTermination()
     return streaming.current(spark, root, "path string, line int, label string, snippet string, ord int")

@@ -94,6 +94,21 @@ def union_findings(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def last_per(rows: DataFrame, by: str, order: str) -> DataFrame:
-    place = Window.partitionBy(by).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
+def lines_of(chunks: DataFrame) -> DataFrame:
+    """(run, seq, line) of agents' output kept as chunks (run, seq, chunk): bytes cut anywhere, within a line or a character.
+
+    Each chunk is cut at its line ends; the line ends before a chunk number its pieces, and the pieces of a number are one
+    line, in order of their chunks. So no run is gathered in one place: what meets in a task is a line. What follows a
+    run's last line end is a line too, unless it is empty. Bytes are carried as Latin-1 characters until lines are whole;
+    those that are no UTF-8 are replaced."""
+    rows = chunks.select("run", "seq", F.decode(F.coalesce("chunk", F.lit(b"")), "ISO-8859-1").alias("text"))
+    rows = rows.withColumn("ends", F.length("text") - F.length(F.replace("text", F.lit("\n"))))
+    before = F.coalesce(F.sum("ends").over(Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.select("run", "seq", "ends").withColumn("first", before).drop("ends")  # numbers alone are sorted by run
+    pieces = rows.join(counts, ["run", "seq"]).select("run", "seq", "first", F.posexplode(F.split("text", "\n", -1)).alias("k", "piece"))
+    pieces = pieces.where(F.length("piece") > 0).withColumn("number", F.col("first") + F.col("k"))
+    ends = rows.groupBy("run").agg(F.sum("ends").alias("n"))
+    empty = ends.select("run", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).alias("number"))
+    put = pieces.groupBy("run", "number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda p: p["piece"]), "").alias("text"))
+    met = empty.join(put, ["run", "number"], "full")
+    return met.select("run", F.col("number").alias("seq"), F.make_valid_utf8(F.encode(F.coalesce("text", F.lit("")), "ISO-8859-1").cast("string")).alias("line"))

@@ -11,7 +11,7 @@ from test_operators import files, issues
 from gneiss.functions import text as X
 from gneiss.operators import compress, detect, graph, ordering, outcomes, policy, score
 from gneiss.plans import catalog, fixtures, prompts, scan
-from gneiss.sources import config
+from gneiss.sources import config, findings
 from gneiss.sources import files as sources
 from gneiss.streaming import incremental
 
@@ -242,9 +242,46 @@ def test_stream_keeps_the_last_content_and_forgets_files(spark, tmp_path, monkey
     assert turn(2, ("a", "new", 3), ("b", None, 3), ("c", "c", 1)) == {"a": 3, "c": 1}
     assert turn(3, ("b", "bb", 4), ("c", "c", 5)) == {"a": 3, "b": 2, "c": 1}
     assert turn(4, ("a", "newer", 9)) == {"a": 5, "b": 2, "c": 1}
+    assert turn(5, ("a", "late", 8), ("d", "d", None)) == {"a": 5, "b": 2, "c": 1, "d": 1}
+    assert turn(6, ("b", None, 10)) == {"a": 5, "c": 1, "d": 1} and turn(7, ("b", "x", 6)) == {"a": 5, "c": 1, "d": 1}
+    assert turn(8, ("b", "x", 11)) == {"a": 5, "b": 1, "c": 1, "d": 1}
+    assert sorted(p.name for p in (tmp_path / "state" / "found").iterdir() if p.name[0] not in "._") == [f"batch={n}" for n in (6, 7)]
     assert [("a", "new"), ("b", "bb")] in seen and [("c", "c")] in seen and [("b", "bb")] in seen and seen.count([("a", "newer")]) >= 1
 
 
+def test_stream_reads_no_more_in_later_batches(spark, tmp_path):
+    schema, source, root = "path string, ext string, content string", tmp_path / "in", str(tmp_path / "state")
+    reads = []
+    for n in range(6):
+        spark.createDataFrame([(f"f{n}", ".py", "x = 1"), ("same", ".py", "y")], schema).coalesce(1).write.parquet(f"{source}/{n}")
+        asked = incremental.incremental_scan(spark.readStream.schema(schema).parquet(f"{source}/*"), lambda b: b.select("path"), root)
+        asked.awaitTermination()
+        last = [p for p in asked.recentProgress if p["numInputRows"]][-1]
+        store = last["stateOperators"][0]["customMetrics"]
+        reads.append((last["numInputRows"], store["rocksdbGetCount"], last["stateOperators"][0]["numRowsTotal"]))
+    assert len({r[:2] for r in reads[1:]}) == 1 and reads[-1][2] == 7
+    assert incremental.current(spark, root, "path string").count() == 7
+    assert "rocksdb" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "").lower()
+
+
+def test_lines_of_chunks(spark, tmp_path):
+    r = random.Random(3)
+    texts = {n: "".join(r.choice(["a", "é", "€", "\n", "𝒳", "bc"]) for _ in range(r.randint(0, 40))) for n in range(30)}
+    rows = []
+    for n, t in texts.items():
+        data, cuts = t.encode(), sorted(r.randrange(len(t.encode()) + 1) for _ in range(r.randint(0, 6)))
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        rows += [(n, i, bytearray(p), i == len(parts) - 1) for i, p in enumerate(parts)]
+    schema = "run int, seq int, chunk binary, last boolean"
+    want = sorted((n, i, line) for n, t in texts.items() for i, line in enumerate(t.split("\n") if t and t[-1] != "\n" else t.split("\n")[:-1]))
+    frame = spark.createDataFrame(rows, schema)
+    assert sorted(tuple(x) for x in findings.lines_of(frame).collect()) == want
+    for part in range(3):  # chunks arrive in three batches
+        frame.where(F.col("seq").between(part * 2, part * 2 + 1) | ((F.lit(part) == 2) & (F.col("seq") > 5))).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+        incremental.agent_lines(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), str(tmp_path / "state")).awaitTermination()
+    assert sorted((x["run"], x["seq"], x["line"]) for x in spark.read.parquet(str(tmp_path / "state" / "lines")).collect()) == want
+
+
 def test_reported_order_is_the_same_each_time(spark):
     code = files(spark, a_dot_py="x\n" * 30)
     rows = [("a.py", 5.0, "bugs", s, d, "found", "ai", None, None) for s, d in [("low", "b"), ("high", "a"), ("high", "0")]]

@@ -1,6 +1,7 @@
 """Operators over small tables, and all queries over the smallest data."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,129 @@ def test_packing(spark):
     assert got == [("c", 0), ("a", 1), ("b", 2), ("d", 2), ("e", 3)]
 
 
+def walked(items, budget):
+    """(group, path): (chunk, pos) of next-fit, item by item."""
+    out, now, used, chunk, pos = {}, None, 0, 0, -1
+    for g, path, tokens, hot, order in sorted(items, key=lambda r: (r[0], -r[3], r[4], r[1])):
+        if g != now:
+            now, used, chunk, pos = g, 0, 0, -1
+        pos += 1
+        if pos and used + (tokens or 0) > budget:
+            chunk, used = chunk + 1, 0
+        used += tokens or 0
+        out[g, path] = (chunk, pos)
+    return out
+
+
+def test_packing_in_ranges_equals_the_walk(spark):
+    r = random.Random(4)
+    items = [(g, f"p{i}", r.choice([0, 1, 7, 30, 99, 100, 101, 400, None]), r.randrange(3), i % 50) for g, n in (("a", 300), ("b", 1), ("c", 900), ("d", 2), ("e", 40)) for i in range(n)]
+    frame = spark.createDataFrame(items, "repo string, path string, tokens long, hotspots int, ord int")
+    for parts in (1, 2, 7, 23):
+        got = graph.pack_next_fit(frame, 100, ["repo"], parts).collect()
+        assert len(got) == len(items) and {(x["repo"], x["path"]): (x["chunk"], x["pos"]) for x in got} == walked(items, 100)
+    alone = [("", *x[1:]) for x in items if x[0] == "c"]
+    got = graph.pack_next_fit(frame.where("repo = 'c'").drop("repo"), 100, parts=9)
+    assert {("", x["path"]): (x["chunk"], x["pos"]) for x in got.collect()} == walked(alone, 100)
+
+
+def plain_groups(files, neighbours, budget):
+    """smart_groups, by looking at every file for every chunk."""
+    size = {f["path"]: f["length"] + len(f["path"]) + 10 for f in files}
+    length, order = {f["path"]: f["length"] for f in files}, {f["path"]: i for i, f in enumerate(files)}
+    small, taken, chunks = sorted(size, key=lambda p: (length[p], order[p])), set(), []
+    where = {f["path"]: f["directory"] for f in files}
+    for f in sorted(files, key=lambda f: (-len(neighbours.get(f["path"], ())), f["directory"], f["length"], order[f["path"]])):
+        if f["path"] in taken:
+            continue
+        chunk, used = [f["path"]], size[f["path"]]
+        taken.add(f["path"])
+        near = sorted((n for n in neighbours.get(f["path"], ()) if n in size), key=lambda p: (length[p], order[p]))
+        for pool in (near, [p for p in small if where[p] == f["directory"]], small):
+            for p in pool:
+                if p not in taken and used + size[p] <= budget:
+                    chunk.append(p)
+                    used += size[p]
+                    taken.add(p)
+        chunks.append(chunk)
+    return chunks
+
+
+def test_smart_groups_equal_a_plain_version():
+    r = random.Random(5)
+    for _ in range(1_000):
+        files, neighbours = [], {}
+        for i in range(r.randrange(25)):
+            path = r.choice(["", "a/", "b/", "b/c/"]) + "x" * r.randrange(1, 20) + str(i)
+            files.append({"path": path, "directory": path.rpartition("/")[0] or ".", "length": r.randrange(120)})
+        for _ in range(r.randrange(2 * len(files) + 1)):
+            a, b = r.choice(files)["path"], r.choice([*(f["path"] for f in files), "gone"])
+            if a != b:
+                neighbours.setdefault(a, set()).add(b)
+                neighbours.setdefault(b, set()).add(a)
+        budget = r.choice((60, 100, 200, 400))
+        assert graph.smart_groups(files, neighbours, budget) == plain_groups(files, neighbours, budget)
+
+
+def test_long_files_are_compressed_before_they_are_grouped(spark):
+    text = "def f(a):\n" + "    x = 1  # why\n" * 60
+    rows = [("r", "a.py", ".py", text), ("r", "b.py", ".py", "y = 1\n" * 10), ("r", "d/c.py", ".py", None)]
+    none = spark.createDataFrame([], "repo string, src string, dst string")
+    got = graph.smart_group(spark.createDataFrame(rows, "repo string, path string, ext string, content string"), none, 700).collect()
+    assert {(x["path"], x["chunk"]) for x in got} == {("a.py", 0), ("b.py", 0), ("d/c.py", 0)}
+    lengths = spark.createDataFrame([(r, p, len(c or "")) for r, p, _, c in rows], "repo string, path string, content_len int")
+    assert {(x["path"], x["chunk"]) for x in graph.smart_group(lengths, none, 700).collect()} == {("a.py", 1), ("b.py", 0), ("d/c.py", 0)}
+
+
+def plain_related(placed, imports, most):
+    """related_files, pair by pair."""
+    chunk, pos = {p: c for p, c, _ in placed}, {p: n for p, _, n in placed}
+    found = {}
+    for importer, spec in imports:
+        for p in chunk:
+            dotted = p.endswith(spec.replace(".", "/") + ".py")
+            plain = p.endswith((spec + ".ts", spec + ".py")) or p == spec
+            if chunk[p] != chunk[importer]:
+                if plain or dotted:
+                    found.setdefault(chunk[importer], set()).add((chunk[p], pos[p], p))
+                if plain:
+                    found.setdefault(chunk[p], set()).add((chunk[importer], pos[importer], importer))
+    return {(c, o, p, n + 1) for c, rows in found.items() for n, (o, _, p) in enumerate(sorted(rows)[:most])}
+
+
+def test_related_files(spark):
+    r = random.Random(6)
+    names = ["utils.py", "m.ts", "a/m.ts", "a/utils.py", "b/c.py", "b/utils.ts", "x", "b.c.ts"] + [f"d{i}/utils.py" for i in range(12)]
+    for _ in range(6):
+        placed = [(p, r.randrange(5), r.randrange(9)) for p in names]
+        imports = [(r.choice(names), r.choice(["utils", "m", "./m", "b.c", "x", "c", "s", ""])) for _ in range(r.randrange(25))]
+        got = graph.related_files(spark.createDataFrame(placed, "path string, chunk int, pos int"), spark.createDataFrame(imports, "path string, spec string"), 4)
+        assert {tuple(x) for x in got.collect()} == plain_related(placed, imports, 4)
+    one, two = [("a.py", 0, 0), ("utils.py", 1, 1)], [("b.py", 0, 0), ("utils.py", 1, 1)]
+    both = spark.createDataFrame([("one", *x) for x in one] + [("two", *x) for x in two], "repo string, path string, chunk int, pos int")
+    got = graph.related_files(both, spark.createDataFrame([("one", "a.py", "utils")], "repo string, path string, spec string"), group="repo")
+    assert {tuple(x) for x in got.collect()} == {("one", 0, 1, "utils.py", 1), ("one", 1, 0, "a.py", 1)}
+
+
+def test_many_importers_of_one_name_do_not_meet(spark):
+    placed = spark.range(1_500).select(F.concat(F.lit("d"), F.col("id"), F.lit("/utils.py")).alias("path"), (F.col("id") % 50).alias("chunk"), F.col("id").alias("pos"))
+    found = graph.related_files(placed, placed.select("path", F.lit("utils").alias("spec")))
+    assert found.count() == 300
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan()
+    rows = []
+
+    def walk(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    found.collect()
+    walk(plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan)
+    assert max(rows, default=0) < 40_000
+
+
 def test_smart_groups():
     f = [{"path": p, "directory": p.rpartition("/")[0] or ".", "length": n} for p, n in [("a/x.ts", 50), ("a/y.ts", 60), ("b/z.ts", 10), ("b/w.ts", 200)]]
     chunks = graph.smart_groups(f, {"a/x.ts": {"b/z.ts"}, "b/z.ts": {"a/x.ts"}}, 160)

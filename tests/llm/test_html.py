@@ -75,11 +75,16 @@ def test_formulas_are_text():
 
 
 def test_stray_and_open_tags_take_linear_time():
+    """Four times the markup takes at most seven times the processor time: its square would take sixteen times."""
+
+    def took(head, unit, n):
+        began = time.process_time()
+        html.main_text(head + unit * n + "</i>" * n)
+        return time.process_time() - began
+
     for unit in ("<div></i>", "<i><hr>", "<b><hr>", "</script ", "<header><h1>x", "<p class='ad'>x", "<table><td>", "<div><div></p>", "<li><b>"):
-        for head in ("", "<i>", "<script>", "<i>" + "<div>" * 20_000):
-            began = time.perf_counter()
-            html.main_text(head + unit * 20_000 + "</i>" * 20_000)
-            assert time.perf_counter() - began < 5, (head[:10], unit)
+        for head in ("", "<i>", "<script>", "<i>" + "<div>" * 2_000):
+            assert any(took(head, unit, 12_000) < 7 * took(head, unit, 3_000) + 0.1 for _ in range(3)), (head[:10], unit)
 
 
 def test_empty_table_and_repeats(spark):

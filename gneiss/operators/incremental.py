@@ -18,9 +18,9 @@ def strategy_for(n_files: int, level: str = "flush") -> str:
     return "deep" if n_files <= DEEP_LIMIT and level == "flush" else "fingerprint"
 
 
-def usable(cache: DataFrame, version: int, model: str) -> DataFrame:
-    """Entries that this version and model wrote."""
-    return cache.where((F.col("version") == VERSION) & (F.col("version") == version) & (F.col("model") == model))
+def usable(cache: DataFrame, model: str, version: int = VERSION) -> DataFrame:
+    """Entries that this version and model wrote; none of others'."""
+    return cache.where((F.col("version") == version) & (F.col("model") == model))
 
 
 def partition(files: DataFrame, cache: DataFrame, strategy: str) -> DataFrame:
@@ -40,14 +40,25 @@ def cached_issues(partitioned: DataFrame, cache: DataFrame) -> DataFrame:
     return cache.join(hits, "path", "left_semi").select(F.explode("issues").alias("i")).select("i.*")
 
 
-def upsert(cache: DataFrame, scanned: DataFrame, issues: DataFrame, existing: DataFrame, strategy: str, scanned_at: str) -> DataFrame:
+#: The columns of a cache but the issues, whose fields are the caller's; see `schema`.
+COLUMNS = "version int, model string, path string, hash string, strategy string, scanned_at string"
+
+
+def schema(fields: str = "file string, line double, type string, severity string, description string, status string, source string") -> str:
+    """The schema of a cache whose issues have these fields."""
+    return f"{COLUMNS}, issues array<struct<{', '.join(':'.join(f.split()) for f in fields.split(', '))}>>"
+
+
+def upsert(cache: DataFrame, scanned: DataFrame, issues: DataFrame, existing: DataFrame, strategy: str, scanned_at: str, model: str = "") -> DataFrame:
     """The cache after a run: entries of scanned files are new (clean files too), of files that are gone drop out.
 
-    scanned: path, hash; issues: file and the fields of an issue; existing: path."""
+    scanned: path, hash; issues: file and the fields of an issue; existing: path. Every entry has the version and the model
+    of this run: what another one wrote is to be left out before, by `usable`."""
     fields = [c for c in issues.columns]
     per = issues.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct(*fields)).alias("issues"))
     fresh = scanned.select("path", "hash").join(per, "path", "left")
     kind = per.schema["issues"].dataType.simpleString()
     fresh = fresh.select("path", "hash", F.lit(strategy).alias("strategy"), F.lit(scanned_at).alias("scanned_at"), F.coalesce("issues", F.array().cast(kind)).alias("issues"))
     kept = cache.join(scanned.select("path"), "path", "left_anti")
-    return kept.select("path", "hash", "strategy", "scanned_at", "issues").unionByName(fresh).join(existing.select("path"), "path", "left_semi")
+    entries = kept.select("path", "hash", "strategy", "scanned_at", "issues").unionByName(fresh).join(existing.select("path"), "path", "left_semi")
+    return entries.select(F.lit(VERSION).alias("version"), F.lit(model).alias("model"), "path", "hash", "strategy", "scanned_at", "issues")

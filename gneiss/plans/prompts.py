@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
+from gneiss.operators import graph
+from gneiss.sources import scratch
+from gneiss.sources.files import store_of
 
 GUIDE = {"critical": "can be exploited or loses data", "high": "breaks in normal use", "medium": "hard to maintain", "low": "a matter of style"}
 
@@ -76,20 +83,117 @@ def context_section(settings: dict, custom: str = "") -> str:
     return "\n\n".join(p for p in parts if p)
 
 
-def ask(prompts: DataFrame, call: Callable[[str], str], key: str = "chunk", text: str = "text") -> DataFrame:
-    """(key, raw): what call answers to each prompt; an answer that fails is null, and its row stays to be seen.
-
-    Nothing calls this by default: without it, answers are an input table."""
+class RateLimited(Exception):
+    """The service wants to be asked later: after so many seconds, if it said."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(after)
+        self.after = after
+
+
+class TooLarge(Exception):
+    """The request is beyond what the model takes."""
+
+
+# How often a request is made again, the waits before that where the service names none, and the longest.
+RETRIES, WAITS, LONGEST_WAIT = 3, (5.0, 15.0, 45.0), 60.0
+
+
+class Caller:
+    """Asks a service within a task: no faster than its pace, again after a refusal, and never what is answered already.
+
+    pace: seconds from one request to the next. kept: a folder that all tasks share; an answer is there, by a digest of
+    model and request, before the next is asked for, so a task that runs again finds it."""
+
+    def __init__(self, call: Callable[[str], str], pace: float, kept: str | None, model: str, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic):
+        self.call, self.pace, self.model, self.sleep, self.now, self.due = call, pace, model, sleep, now, 0.0
+        self.store, self.folder = store_of(kept) if kept else (None, "")
+        if self.store:
+            self.store.create_dir(self.folder, recursive=True)
+
+    def _place(self, text: str) -> str:
+        return f"{self.folder}/{hashlib.sha256(f'{self.model}\0{text}'.encode()).hexdigest()}"
+
+    def _known(self, text: str) -> str | None:
+        try:
+            with self.store.open_input_stream(self._place(text)) as f:
+                return f.read().decode()
+        except OSError:
+            return None
+
+    def _keep(self, text: str, answer: str) -> None:
+        own = f"{self._place(text)}-{uuid.uuid4().hex}"
+        with self.store.open_output_stream(own) as f:
+            f.write(answer.encode())
+        self.store.move(own, self._place(text))  # whole or not there
+
+    def _once(self, text: str) -> str:
+        wait = self.due - self.now()
+        if wait > 0:
+            self.sleep(wait)
+        self.due = self.now() + self.pace
+        return self.call(text)
+
+    def ask(self, text: str) -> tuple[str | None, str]:
+        """(answer, outcome): answered, kept (it was there), too-large, or why there is none."""
+        if self.store and (known := self._known(text)) is not None:
+            return known, "kept"
+        for turn in range(RETRIES + 1):
+            try:
+                answer = self._once(text)
+            except RateLimited as e:
+                wait = WAITS[min(turn, len(WAITS) - 1)] if e.after is None else e.after
+                if turn == RETRIES or wait > LONGEST_WAIT:
+                    return None, "rate-limited"
+                self.sleep(wait)
+            except TooLarge:
+                return None, "too-large"
+            except Exception as e:  # noqa: BLE001  the hook is the user's code
+                return None, f"failed: {e}"
+            else:
+                if self.store:
+                    self._keep(text, answer)
+                return answer, "answered"
+        return None, "rate-limited"
+
+
+def ask(prompts: DataFrame, call: Callable[[str], str], key: str = "chunk", text: str = "text", model: str = "", at_once: int | None = None, a_minute: float | None = None, kept: str | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, raw, outcome): what call answers to each prompt; one that fails has no answer, and its row stays to be seen.
+
+    at_once: requests under way together, which is the number of tasks; a_minute: requests a minute of all of them, each
+    task keeping its share of the pace. Both are the model's own where R.MODELS knows it. kept: see Caller. call raises
+    RateLimited and TooLarge. Nothing calls this by default: without it, answers are an input table."""
+    known = next((m for m in R.MODELS if m[0] == model), None)
+    at_once = at_once or (known[5] if known else 1)
+    a_minute = a_minute or (known[2] if known else None)
+    pace = 60.0 * at_once / a_minute if a_minute else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(call, pace, kept, model, sleep)
         for b in batches:
-            answers = []
-            for t in b[text]:
-                try:
-                    answers.append(call(t))
-                except Exception:  # noqa: BLE001  the hook is the user's code
-                    answers.append(None)
-            yield pd.DataFrame({key: b[key], "raw": answers})
+            for k, t in zip(b[key], b[text]):  # row by row: what is answered goes on
+                raw, outcome = caller.ask(t or "")
+                yield pd.DataFrame({key: [k], "raw": [raw], "outcome": [outcome]})
 
     kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(key, text).mapInPandas(run, f"{key} {kind}, raw string")
+    return prompts.select(key, text).repartition(at_once).mapInPandas(run, f"`{key}` {kind}, raw string, outcome string")
+
+
+def ask_in_halves(placed: DataFrame, render: Callable[[DataFrame], DataFrame], call: Callable[[str], str], budget: int, **options) -> DataFrame:
+    """(chunk, part, raw, outcome) of chunks of files (placed: chunk, pos, ...): a chunk that the model finds too large is
+    asked for in halves, and these once more. render: (chunk, part, text) of the rows of graph.split_chunks. What is too
+    large even so stays as it is, with its outcome. Asking twice costs nothing where answers are kept."""
+    refused = placed.sparkSession.createDataFrame([], f"chunk {placed.schema['chunk'].dataType.simpleString()}, part string")
+    settled: DataFrame | None = None
+    for depth in range(graph.HALF_DEPTH + 1):
+        parts = render(graph.split_chunks(placed, refused, budget, depth))
+        if settled is not None:
+            parts = parts.join(settled.where("outcome <> 'too-large'").select("chunk", "part"), ["chunk", "part"], "left_anti")
+        named = parts.withColumn("_key", F.struct("chunk", "part"))
+        answers = scratch.settled(ask(named, call, key="_key", **options).select("_key.chunk", "_key.part", "raw", "outcome"), "answers")
+        settled = answers if settled is None else settled.where("outcome <> 'too-large'").unionByName(answers)
+        large = answers.where("outcome = 'too-large'").select("chunk", "part")
+        if depth == graph.HALF_DEPTH or not large.limit(1).count():
+            return settled
+        refused = refused.unionByName(large)
+    return settled

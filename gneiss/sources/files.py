@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
 from gneiss.functions import text as X
+from gneiss.sources.scratch import settled
 
 
 def is_source(path: Column) -> Column:
@@ -18,63 +25,96 @@ def is_source(path: Column) -> Column:
     return ~hidden & (X.extension(path).isin(*R.CODE_EXTENSIONS) | X.basename(path).isin(*R.CODE_NAMES))
 
 
-def _unlisted(spark: SparkSession, root: str) -> list[str]:
-    """Files and folders under root that Spark's listing leaves out though a scan may want them: names that begin with an
-    underscore, and .github. Folders that a scan never enters are not walked."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, todo = [], [(top, False)]
-    while todo:
-        place, hidden = todo.pop()
-        for status in system.listStatus(place):
-            path = status.getPath()
-            name = path.getName()
-            odd = name == ".github" or name.startswith("_")
-            if status.isDirectory():
-                if name not in R.IGNORED_DIRS and (odd or not name.startswith(".")):
-                    todo.append((path, hidden or odd))
-            elif (hidden or odd) and not name.startswith("."):
-                found.append(path.toString())
-    return sorted(found)
-
-
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ext, content) of the source files under root; paths are relative to it. The filter is on the path, so the
-    contents of other files are not read. Spark lists no hidden files: those in .github and in folders whose names begin
-    with an underscore are named to it; files whose own names do, which it never takes, are read by the driver."""
-    jvm = spark.sparkContext._jvm
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = raw.select(F.col("path").alias("uri"), "content")
-    named = _unlisted(spark, root)
-    listed = [p for p in named if not p.rpartition("/")[2].startswith("_")]
-    if listed:
-        base = base.unionByName(spark.read.format("binaryFile").load([_unglobbed(p) for p in listed]).select(F.col("path").alias("uri"), "content"))
-    if hidden := [p for p in named if p.rpartition("/")[2].startswith("_")]:
-        base = base.unionByName(spark.createDataFrame([(p, _bytes(spark, p)) for p in hidden], "uri string, content binary"))
-    prefix = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("uri", r"^[a-z]+:(?://[^/]*)?", ""), "^" + _escaped(prefix), "")
-    rows = base.withColumn("path", path).where(is_source(path))
-    return rows.select("path", X.extension(F.col("path")).alias("ext"), F.decode("content", "UTF-8").alias("content"))
-
-
-def _bytes(spark: SparkSession, path: str) -> bytearray:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
-    try:
-        return bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root and the root's place in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
 
 
-def _unglobbed(path: str) -> str:
-    """A path that a reader takes as it stands."""
-    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
-
-
-def _escaped(text: str) -> str:
-    return "".join(f"\\{c}" if c in r".+*?^${}()|[]\\" else c for c in text)
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds, links left out; none if it cannot be read."""
+    try:
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as found:
+                yield from ((e.name, e.is_dir(follow_symlinks=False)) for e in found if not e.is_symlink())
+        else:
+            yield from ((i.base_name, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(folder)))
+    except OSError:
+        return
+
+
+#: Bytes of contents that go to Spark in one batch, unless a single file has more.
+BATCH_BYTES = 16 << 20
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path, relative to root, of all files that a scan could want, by name alone: see is_source.
+
+    Folders are listed in tasks, level by level, and those that a scan never enters are not listed at all. The driver
+    learns how many folders the next level has. Links are not followed; a folder that cannot be read holds nothing."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = store_of(root)
+        for b in batches:
+            rows = []
+            for folder in b["path"]:
+                for name, inner in _entries(store, f"{top}/{folder}" if folder else top):
+                    if not inner or (name not in R.IGNORED_DIRS and (name == ".github" or not name.startswith("."))):
+                        rows.append((f"{folder}/{name}" if folder else name, inner))
+            yield pd.DataFrame(rows, columns=["path", "inner"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = settled(level.mapInPandas(listed, "path string, inner boolean"), "tree")
+        own = found.where("not inner").select("path").where(is_source(F.col("path")))
+        files = own if files is None else files.unionByName(own)
+        level = found.where("inner").select("path")
+        folders = level.count()
+        if not folders:
+            return files
+        level = level.repartition(max(1, min(folders, 4 * spark.sparkContext.defaultParallelism)), "path")
+
+
+def read_tree(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
+    """(path, ext, content) of the source files under root; paths are relative to it. wanted: a condition on path and ext;
+    only files that meet it are opened.
+
+    Executors list and read, whatever the names: those in .github, and those that begin with an underscore, which Spark's
+    own readers leave out. A file that cannot be read has no content; bytes that are no UTF-8 are replaced. Spark's own
+    reader takes its place for stores that only Spark can open, and leaves out what it does not list."""
+    try:
+        store_of(root)
+    except (OSError, ValueError, ImportError):
+        return _read_listed(spark, root, wanted)
+    paths = list_tree(spark, root).withColumn("ext", X.extension(F.col("path")))
+    paths = (paths if wanted is None else paths.where(wanted)).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = store_of(root)
+        for b in batches:
+            rows, held = [], 0
+            for path, ext in zip(b["path"], b["ext"]):
+                try:
+                    with store.open_input_stream(f"{top}/{path}") as f:
+                        text = f.read().decode("utf-8", "replace")
+                except OSError:
+                    text = None
+                rows.append((path, ext, text))
+                held += len(text or "")
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+
+    return paths.mapInPandas(contents, "path string, ext string, content string")
+
+
+def _read_listed(spark: SparkSession, root: str, wanted: Column | None) -> DataFrame:
+    """read_tree by Spark's own reader: the filter is on the path, so the contents of other files are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    prefix = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    path = F.substring(F.regexp_replace("path", r"^[a-z0-9]+:(?://[^/]*)?", ""), F.lit(len(prefix) + 1), F.length("path"))
+    rows = raw.select(path.alias("path"), "content").where(is_source(F.col("path"))).withColumn("ext", X.extension(F.col("path")))
+    return (rows if wanted is None else rows.where(wanted)).select("path", "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -136,7 +176,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
-    return spark.read.text(path, wholetext=True).first()[0]
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
 
 
 def save_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -152,12 +193,36 @@ def load_json(spark: SparkSession, path: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+#: Snapshots of a state that stay beside the one that counts, for readers that began before.
+KEPT = 1
+
+
 def save_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
+    """Keep a table as a new snapshot under path. The pointer to it is renamed into place when all of it is written, so a run
+    that dies leaves the last one, and a reader sees one or the other whole. state may be made from the last one."""
+    spark = state.sparkSession
+    name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+    state.write.parquet(f"{path}/{name}")
+    save_json(spark, f"{path}/pointer-{name}", {"snapshot": name})
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    whole = system.makeQualified(place)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf)
+    at = lambda n: jvm.org.apache.hadoop.fs.Path(whole, n)
+    context.rename(at(f"pointer-{name}"), at("current"), options)
+    names = sorted(x.getPath().getName() for x in system.listStatus(place))
+    for old in [n for n in names if n < name and n[:1].isdigit()][: -KEPT or None]:
+        system.delete(at(old), True)
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A saved table; an empty one if there is none."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """The last snapshot of a table; an empty one if there is none that can be read. Of a snapshot whose files are damaged
+    or gone, the rows of the others are there: to a cache, a row less is a file that is scanned again."""
+    name = (load_json(spark, f"{path}/current") or {}).get("snapshot")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not name or not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(f"{path}/{name}")

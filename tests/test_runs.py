@@ -103,6 +103,26 @@ def test_reports(spark):
     assert "(+20)" in text and "`abcdefg`" in text and "1m1s" in text
 
 
+def test_tree_of_odd_names(spark, tmp_path):
+    names = ("pkg/__init__.py", "_x/y.py", ".github/_a/b.py", "_odd[1].py", "node_modules/_a.py", ".git/_b.py", "a b.py", "é.ts", "bad.py", "shut.py", "big.js", "none.txt")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "bad.py").write_bytes(b"a\xffb")
+    (tmp_path / "big.js").write_text("x" * 3_000_000)
+    (tmp_path / "shut.py").unlink()
+    (tmp_path / "shut.py").symlink_to("nowhere")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    got = {r["path"]: r["content"] for r in sources.read_tree(spark, str(tmp_path)).collect()}
+    assert set(got) == {"pkg/__init__.py", "_x/y.py", ".github/_a/b.py", "_odd[1].py", "a b.py", "é.ts", "bad.py", "big.js"}
+    assert got["_x/y.py"] == "_x/y.py" and got["bad.py"] == "a\ufffdb" and len(got["big.js"]) == 3_000_000
+    some = sources.read_tree(spark, tmp_path.as_uri(), (F.col("ext") == ".py") & F.col("path").startswith("pkg/"))
+    assert [r["path"] for r in some.collect()] == ["pkg/__init__.py"]
+    listed = sources.list_tree(spark, str(tmp_path))
+    (tmp_path / "a b.py").unlink()  # gone, or not to be read, after the listing
+    assert listed.count() == 8
+
+
 def test_tree(spark, tmp_path):
     for name in ("src/a.ts", "src/b.md", "node_modules/x.js", ".github/w.yml", ".hidden/z.py", "Makefile", "deep/er/c.PY"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -155,3 +175,99 @@ def test_requests(spark):
 
     rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "chunk int, text string")
     assert {r["chunk"]: r["raw"] for r in prompts.ask(rows, call).collect()} == {1: "OK", 2: None}
+
+
+def service(log, refuse=(), large=10**9):
+    """A model that writes down what it is asked, refuses some requests the first times, and takes so many characters."""
+    from gneiss.plans import prompts
+
+    def call(text):
+        with open(log, "a") as f:
+            f.write(json.dumps(text) + "\n")
+        asked = [json.loads(x) for x in open(log)].count(text)
+        if len(text) > large:
+            raise prompts.TooLarge
+        for word, times, after in refuse:
+            if word in text and asked <= times:
+                raise prompts.RateLimited(after)
+        if "odd" in text:
+            raise ValueError("odd")
+        return text.upper()
+
+    return call
+
+
+def test_a_model_is_asked_within_its_limits_and_never_twice(spark, tmp_path):
+    from gneiss.plans import prompts
+
+    log, kept = tmp_path / "log", str(tmp_path / "kept")
+    call = service(str(log), [("later", 2, 0.0), ("never", 9, 0.0), ("long", 9, 61.0)])
+    rows = spark.createDataFrame([(1, "a"), (2, "later"), (3, "never"), (4, "odd"), (5, "a"), (6, "long"), (7, None)], "chunk int, text string").coalesce(1)
+    options = {"at_once": 1, "kept": kept, "sleep": lambda s: None}
+    got = {r["chunk"]: (r["raw"], r["outcome"]) for r in prompts.ask(rows, call, **options).collect()}
+    assert {k: v for k, v in got.items() if k not in (1, 5)} == {2: ("LATER", "answered"), 3: (None, "rate-limited"), 4: (None, "failed: odd"), 6: (None, "rate-limited"), 7: ("", "answered")}
+    assert sorted([got[1], got[5]]) == [("A", "answered"), ("A", "kept")]  # the same request is made once
+    asked = [json.loads(x) for x in open(log)]
+    assert (asked.count("a"), asked.count("later"), asked.count("never"), asked.count("long")) == (1, 3, prompts.RETRIES + 1, 1)
+    again = {r["chunk"]: r["outcome"] for r in prompts.ask(rows.where("chunk in (1, 2, 5, 7)"), call, **options).collect()}
+    assert set(again.values()) == {"kept"} and len([*open(log)]) == len(asked)
+    other = prompts.ask(rows.where("chunk = 1"), call, model="another", **options).first()
+    assert other["outcome"] == "answered" and len([*open(log)]) == len(asked) + 1
+
+
+def test_requests_keep_their_pace():
+    from gneiss.plans import prompts
+
+    clock, waits = [0.0], []
+    caller = prompts.Caller(lambda t: t, 4.0, None, "", lambda s: (waits.append(s), clock.__setitem__(0, clock[0] + s)), lambda: clock[0])
+    for n in range(4):
+        caller.ask(str(n))
+        clock[0] += 1.0
+    assert waits == [3.0, 3.0, 3.0]
+
+
+def test_chunks_that_are_too_large_are_asked_for_in_halves(spark, tmp_path):
+    from gneiss.plans import prompts
+
+    log = tmp_path / "log"
+    placed = spark.createDataFrame([("a", i, f"f{i}") for i in range(4)] + [("b", 0, "g")] + [("c", i, "hhhhhhhhhhhh") for i in range(2)], "chunk string, pos int, path string")
+
+    def render(rows):
+        return rows.groupBy("chunk", "part").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("text"))
+
+    got = prompts.ask_in_halves(placed, render, service(str(log), large=5), 1_000, kept=str(tmp_path / "kept")).collect()
+    assert {(r["chunk"], r["part"], r["raw"], r["outcome"]) for r in got} == {
+        ("a", "0", "F0,F1", "answered"), ("a", "1", "F2,F3", "answered"), ("b", "", "G", "answered"), *((("c", p, None, "too-large")) for p in ("00", "10")),
+    }
+    asked = [json.loads(x) for x in open(log)]
+    assert asked.count("g") == 1 and asked.count("f0,f1") == 1
+
+
+def test_state_goes_round(spark, tmp_path):
+    place, f = str(tmp_path / "state"), files(spark, a_dot_ts="function f(a) {\n// x\nconsole.log(1)\n", b_dot_py="fine\n")
+
+    def run(model, at):
+        old = incremental.usable(sources.load_state(spark, place, incremental.schema()), model)
+        done = scan.scan(f, cache=old)
+        new = incremental.upsert(old, done.partitioned.where("not hit").select("path", "hash"), done.found.select(*scan.FIELDS), f.select("path"), "fingerprint", at, model)
+        hits, n = done.partitioned.where("hit").count(), done.result(f)["n"]
+        sources.save_state(new, place)
+        return hits, n
+
+    assert run("one", "t1") == (0, 2) and run("one", "t2") == (2, 2)  # the second reads what the first wrote
+    assert run("two", "t3") == (0, 2) and run("two", "t4") == (2, 2)  # another model's entries are none
+    state = sources.load_state(spark, place, incremental.schema())
+    assert {(r["model"], r["version"]) for r in state.collect()} == {("two", incremental.VERSION)} and incremental.usable(state, "two", 1).count() == 0
+    folders = sorted(p for p in (tmp_path / "state").iterdir() if p.is_dir())
+    assert len(folders) == sources.KEPT + 1
+    with pytest.raises(Exception):  # noqa: B017  a run that dies while it writes
+        sources.save_state(state.withColumn("path", F.raise_error(F.lit("dies"))), place)
+    assert sources.load_state(spark, place, incremental.schema()).count() == 2
+    for part in folders[-1].glob("*.parquet"):
+        part.write_bytes(b"no parquet")
+    for crc in folders[-1].glob(".*.crc"):
+        crc.unlink()
+    assert sources.load_state(spark, place, incremental.schema()).count() == 0
+    (tmp_path / "state" / "current").write_text("no json")
+    (tmp_path / "state" / ".current.crc").unlink(missing_ok=True)
+    assert sources.load_state(spark, place, incremental.schema()).count() == 0 and run("two", "t5") == (0, 2) and run("two", "t6") == (2, 2)

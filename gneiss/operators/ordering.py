@@ -11,12 +11,12 @@ RANGES = 1_000
 RANGE_ROWS = 10_000
 
 
-def row_numbers(rows: DataFrame, lead: str, then: list[str], out: str, descending: bool = False) -> DataFrame:
-    """rows with `out`, from 1 on in order of lead (a number), then `then` (ascending). Null leads come first (last if
-    descending), and with one and the same lead rows stay in one range.
+def row_numbers(rows: DataFrame, lead: str, then: list[str], out: str, descending: bool = False, group: list[str] | None = None) -> DataFrame:
+    """rows with `out`, a long from 1 on in order of lead (a number), then `then` (ascending), within each group or over all.
+    Null leads come first (last if descending), and with one and the same lead rows stay in one range. Null groups are one.
 
-    Ranges are cut at approximate quantiles of lead; each numbers its own rows, and what comes before it is added from a
-    table of one row per range."""
+    Ranges are cut at approximate quantiles of lead; each numbers its own rows of each group, and what comes before it in
+    the group is added from a table of one row per range and group. So a group that has most rows is dealt over the ranges."""
     count = rows.count()
     ranges = max(1, min(RANGES, count // RANGE_ROWS))
     bounds = rows.agg(F.percentile_approx(F.col(lead).cast("double"), [i / ranges for i in range(1, ranges)], 10 * RANGES)).first()[0] if ranges > 1 else None
@@ -25,11 +25,16 @@ def row_numbers(rows: DataFrame, lead: str, then: list[str], out: str, descendin
     for step in [1 << i for i in reversed(range(len(bounds).bit_length()))] if bounds else []:
         above = F.get(F.array(*[F.lit(b) for b in bounds]), (place + step - 1).cast("int")) <= F.col(lead).cast("double")
         place = F.when((place + step <= len(bounds)) & above, place + step).otherwise(place)
-    dealt = rows.withColumn("_range", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(place))
+    # Groups by columns that are never null, so that windows and join share one partitioning.
+    keys = {f"_v{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(group or [])} | {f"_z{i}": F.col(c).isNull() for i, c in enumerate(group or [])}
+    dealt = rows.withColumns({**keys, "_range": F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(place)})
+    by = [*keys, "_range"]
     order = [F.desc_nulls_last(lead) if descending else F.asc_nulls_first(lead), *then]
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     turn = F.desc("_range") if descending else F.asc("_range")
-    sums = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # RANGES + 1 rows at most
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_range", before.alias("_start"))
-    return dealt.withColumn("_in", inside).join(F.broadcast(starts), "_range").withColumn(out, (F.col("_start") + F.col("_in")).cast("int")).drop("_range", "_in", "_start")
+    sums = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*by, before.alias("_start"))
+    # Without groups, starts has RANGES + 1 rows at most.
+    met = dealt.withColumn("_in", inside).join(starts if keys else F.broadcast(starts), by)
+    return met.withColumn(out, (F.col("_start") + F.col("_in")).cast("long")).drop(*by, "_in", "_start")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,17 +84,83 @@ def apply_allow_rules(issues: DataFrame, patterns: list[str]) -> DataFrame:
     return issues.where(~allowed)
 
 
-#: Patterns of an allow table that one join broadcasts.
+#: Patterns without an index that one join broadcasts.
 ALLOW_PART = 10_000
+#: Signs of a text that are a key of the index.
+GRAM = 3
+
+
+def needed_literal(pattern: str) -> str | None:
+    """The longest text of ASCII signs that every match of a pattern holds, in lower case, if it is GRAM signs at least.
+
+    Only what stands by itself counts: nothing in groups or classes, nothing that a quantifier may leave out. Patterns with
+    an alternation at the top, flags, quotations or rare escapes have none: they take the way without an index."""
+    if re.search(r"\(\?[^:=!<]|\\[^\WdDsSwWbBAzZ]|&&", pattern):
+        return None
+    runs, now, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, plain = pattern[i], False
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            c, plain = pattern[i], not pattern[i].isalnum()
+        elif c == "[":
+            end = i + 1 + pattern.startswith("^", i + 1)
+            end += pattern.startswith("]", end)
+            while end < len(pattern) and pattern[end] != "]":
+                if pattern[end] == "[":
+                    return None
+                end += 1 + (pattern[end] == "\\")
+            i = end
+        elif c == "|" and not depth:
+            return None
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c in "*?{":
+            now = now[:-1]  # the sign before may be missing
+            i = max(i, pattern.find("}", i)) if c == "{" else i
+        else:
+            plain = c not in "|.^$+"
+        if plain and c.isascii() and not depth:
+            now += c
+        else:
+            runs, now = [*runs, now], ""
+        i += 1
+    best = max([*runs, now], key=len)
+    return best.lower() if len(best) >= GRAM else None
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: text.substr(i, F.lit(GRAM))))
 
 
 def apply_allow_table(issues: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same with the patterns in a table (pattern). Each join broadcasts about ALLOW_PART of them; more take more joins."""
-    parts = -(-rules.count() // ALLOW_PART)
+    """apply_allow_rules with the patterns in a table (pattern), by an index: a pattern is tried only on texts that hold what
+    each of its matches must hold.
+
+    Different texts are looked at once. Of a pattern's needed literal the three signs that the fewest texts have are its
+    key; texts meet patterns by these keys in a hash join. Patterns without a literal are broadcast, about ALLOW_PART for
+    each join, and compared with every text."""
     compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
-    usable = rules.where(F.col("pattern").isNotNull()).where(compiled.isNotNull()).select(F.concat(F.lit("(?i)"), "pattern").alias("_p"))
+    usable = rules.where(F.col("pattern").isNotNull()).where(compiled.isNotNull()).select("pattern").distinct()
+
+    def literals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(literal=[needed_literal(p) for p in b["pattern"]])
+
+    known = usable.mapInPandas(literals, "pattern string, literal string").select(F.concat(F.lit("(?i)"), "pattern").alias("_p"), "literal")
+    told = issues.select(_told().alias("_told")).distinct()
+    texts = told.withColumn("_low", F.lower("_told")).where(F.length("_low") >= GRAM)
+    postings = texts.select("_told", "_low", F.explode(_grams(F.col("_low"))).alias("_gram"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = known.where(F.col("literal").isNotNull()).select("_p", "literal", F.explode(_grams(F.col("literal"))).alias("_gram"))
+    keys = keys.join(counts, "_gram").groupBy("_p", "literal").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count(F.lit(1)).alias("_there"))
+    keys = keys.where(F.col("_there") == F.size(_grams(F.col("literal"))))  # else no text holds the literal
+    hits = postings.join(keys, "_gram").where(F.contains("_low", F.col("literal"))).where(F.call_function("rlike", F.col("_told"), F.col("_p"))).select("_told").distinct()
+    issues = issues.withColumn("_told", _told()).join(hits, "_told", "left_anti").drop("_told")
+    bare = known.where(F.col("literal").isNull()).select("_p")
+    parts = -(-bare.count() // ALLOW_PART)
     for n in range(parts):
-        own = usable.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == n)
+        own = bare.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == n)
         issues = issues.join(F.broadcast(own), F.call_function("rlike", _told(), F.col("_p")), "left_anti")
     return issues
 

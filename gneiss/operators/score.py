@@ -103,23 +103,25 @@ def last_fixed(issues: DataFrame, most: int = 20, seq: str = "seq") -> DataFrame
 
 
 def batches(rows: DataFrame, order: list[str], size: int = 8, group: list[str] | None = None) -> DataFrame:
-    """rows with batch and index, in batches of `size` within each group, or over all rows (order then begins with a number)."""
-    if not group:
-        rows = row_numbers(rows, order[0], order[1:], "_n").withColumn("_n", F.col("_n") - 1)
-        return rows.withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "index": (F.col("_n") % size).cast("int")}).drop("_n")
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return rows.withColumn("_n", n).withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "index": (F.col("_n") % size).cast("int")}).drop("_n")
+    """rows with batch and index, in batches of `size` within each group, or over all rows. order begins with a number, by
+    which large groups are dealt to many tasks."""
+    n = row_numbers(rows, order[0], order[1:], "_n", group=group).withColumn("_n", F.col("_n") - 1)
+    return n.withColumns({"batch": F.floor(F.col("_n") / size).cast("int"), "index": (F.col("_n") % size).cast("int")}).drop("_n")
 
 
 def clusters(issues: DataFrame, size: int = 10, seq: str = "seq") -> DataFrame:
     """(cluster_rank, directory, batch, n, n_files, worst): top directories' issues, worst first, in batches of `size`;
-    clusters by their worst severity, then by the first appearance of their directory, then batch."""
-    rows = issues.withColumns({"directory": X.top_dir(F.col("file")), "_rank": X.severity_rank(F.col("severity"), R.RANK_DOWN, 9)})
-    rows = batches(rows, ["_rank", seq], size, ["directory"])
-    rows = rows.withColumn("_first", F.min(seq).over(Window.partitionBy("directory")))
-    per = rows.groupBy("directory", "batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.min("_rank").alias("worst"), F.first("_first").alias("_first"))
-    # Severity and first appearance as one number, by which the order is dealt to ranges.
-    ranked = row_numbers(per.withColumn("_lead", F.shiftleft(F.col("worst").cast("long"), 48) + F.col("_first")), "_lead", ["batch"], "cluster_rank")
+    clusters by their worst severity, then by the first appearance of their directory, then batch. seq: from 0 to 2**48.
+
+    A directory with nearly all issues is dealt to many tasks: severity and seq are one number, whose ranges are numbered
+    apart, and a directory's first appearance is summed before it moves."""
+    as_one = lambda rank, n: F.shiftleft(rank.cast("long"), 48) + n
+    rows = issues.select("file", F.col(seq).alias("_seq"), X.top_dir(F.col("file")).alias("directory"), X.severity_rank(F.col("severity"), R.RANK_DOWN, 9).alias("_rank"))
+    rows = batches(rows.withColumn("_order", as_one(F.col("_rank"), F.col("_seq"))), ["_order"], size, ["directory"])
+    per = rows.groupBy("directory", "batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.min("_rank").alias("worst"), F.min("_seq").alias("_seq"))
+    first = per.groupBy("directory").agg(F.min("_seq").alias("_first"))
+    per = per.drop("_seq").join(first, "directory")
+    ranked = row_numbers(per.withColumn("_lead", as_one(F.col("worst"), F.col("_first"))), "_lead", ["batch"], "cluster_rank")
     return ranked.drop("_first", "_lead")
 
 

@@ -14,10 +14,18 @@ LEAST_CLAIM, LEAST_EVIDENCE = 10, 15
 
 def drop_local_duplicates(found: DataFrame, local: DataFrame) -> DataFrame:
     """found without rows that a local finding of the same file and type has within three lines, or at the very same line
-    where that is missing or 0."""
-    other = local.select(F.col("file").alias("_f"), F.col("type").alias("_t"), F.col("line").alias("_l"))
+    where that is missing or 0.
+
+    Lines meet by bands of four: a local finding is in its own band and in those beside it, so the bands are keys of a
+    hash join, and a file with very many findings is dealt by them. Places that local findings share count once."""
+    width = NEAR_LINES + 1
+    band = F.floor(F.col("_l") / width)
+    places = local.select(F.col("file").alias("_f"), F.col("type").alias("_t"), F.col("line").alias("_l")).distinct()
+    bands = F.when(F.col("_l").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(band - 1, band, band + 1))
+    other = places.withColumn("_b", F.explode(bands))
     near = ((F.col("line") != 0) & (F.abs(F.col("line") - F.col("_l")) <= NEAR_LINES)) | F.col("line").eqNullSafe(F.col("_l"))
-    return found.join(other, (F.col("file") == F.col("_f")) & (F.col("type") == F.col("_t")) & near, "left_anti")
+    own = F.floor(F.col("line") / width).eqNullSafe(F.col("_b"))
+    return found.join(other, (F.col("file") == F.col("_f")) & (F.col("type") == F.col("_t")) & own & near, "left_anti")
 
 
 def in_known_files(found: DataFrame, files: DataFrame) -> DataFrame:

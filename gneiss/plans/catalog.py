@@ -991,6 +991,6 @@ def scan_end_to_end(spark, d):
 # The oracle's positions are 64-bit numbers where Spark's are 32-bit.
 for _name, _columns in {
     "rule_findings": ("line", "match_ord"), "hotspots": ("line",), "hotspots_in_documents": ("line",), "streaming_incremental_scan": ("line",), "signatures": ("line",), "imports_light": ("pos",), "imports_full": ("pos",),
-    "unused_imports": ("line",), "comments_stripped": ("n_chars",), "history_newest_first": ("place",), "clusters": ("cluster_rank",), "resolved_imports": ("pos",),
+    "unused_imports": ("line",), "comments_stripped": ("n_chars",), "resolved_imports": ("pos",),
 }.items():
     ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in _columns)}) FROM ({ORACLES[_name]})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import files, issues
 
 from gneiss.functions import text as X
-from gneiss.operators import compress, detect, graph, ordering, outcomes, policy, score
+from gneiss.operators import compress, detect, graph, ordering, outcomes, policy, score, verify
 from gneiss.plans import catalog, fixtures, prompts, scan
 from gneiss.sources import config, findings
 from gneiss.sources import files as sources
@@ -31,10 +31,57 @@ def test_java_says_which_patterns_are_valid(spark):
     assert [r["seq"] for r in policy.apply_allow_rules(rows, ["(?P<n>y)", "s (?<n>x)$"]).collect()] == [1]
 
 
+def test_literals_that_a_pattern_needs():
+    some = {"block [12]": "block ", "a+bcd": "bcd", "abc?d": None, "abcd?": "abc", "abc{0,2}def": "def", "(abc)def": "def", "abc|def": None, "(abc|def)ghij": "ghij", "(?i)abc": None, "x\\.yz": "x.yz", "\\bword\\b": "word", "a\\x41bc": None,
+            "ab\\Qc\\E": None, "[abc]": None, "[]abc]def": "def", "[^]x]abc": "abc", "[a[bc]]def": None, "M3": None, "ÄBC": None, "ROOTS*": "root", "(?:abc)+defg*": "def", "a.bcd": "bcd", "": None, "abc++d": "abc", "(?=abc)xyz": "xyz", "abcd{2}": "abc"}
+    assert {p: policy.needed_literal(p) for p in some} == some
+
+
+def test_allow_tables_by_index_equal_all_patterns_on_all_texts(spark):
+    r = random.Random(8)
+    parts = ["abc", "x.z", "[ab]c", "d+", "(?:ef|gh)", "\\.", "q?", "k{1,2}", "TODO", " ", "é", "^", "abcabc", "mno"]
+    patterns = sorted({"".join(r.choice(parts) for _ in range(r.randrange(1, 5))) for _ in range(150)})
+    texts = ["".join(r.choice(["abc", "xyz", "ac", "ddd", "ef", "gh", ".", "q", "kk", "todo", " ", "é", "É", "mno", "İ"]) for _ in range(r.randrange(1, 9))) for _ in range(200)]
+    rows = issues(spark, *({"description": t} for t in texts * 2))
+    for some in (patterns, patterns[:3], []):
+        table = spark.createDataFrame([(p,) for p in some], "pattern string")
+        assert sorted(x["seq"] for x in policy.apply_allow_table(rows, table).collect()) == sorted(x["seq"] for x in policy.apply_allow_rules(rows, some).collect())
+    plan = policy.apply_allow_table(rows, spark.createDataFrame([(f"description {i} of",) for i in range(50)], "pattern string"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_local_findings_near_a_line_equal_all_pairs(spark):
+    r = random.Random(9)
+    line = lambda: r.choice([None, 0, -2, *range(1, 40)])
+    found = issues(spark, *({"file": r.choice("ab"), "type": r.choice(["lint", "bugs"]), "line": line()} for _ in range(120)))
+    local = issues(spark, *({"file": r.choice("ab"), "type": "lint", "line": line()} for _ in range(5)))
+    def near(a, b):
+        return a["file"] == b["file"] and a["type"] == b["type"] and (a["line"] == b["line"] or (a["line"] is not None and b["line"] is not None and a["line"] != 0 and abs(a["line"] - b["line"]) <= 3))
+    told = local.collect()
+    want = sorted(a["seq"] for a in found.collect() if not any(near(a, b) for b in told))
+    kept = verify.drop_local_duplicates(found, local)
+    assert sorted(x["seq"] for x in kept.collect()) == want and 0 < len(want) < 120
+    assert "NestedLoop" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_directory_with_nearly_all_issues_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 40)
+    r = random.Random(10)
+    rows = issues(spark, *({"file": r.choice(["src/a", "src/b", "src/c", "src/d", "x/y", None]), "severity": r.choice(["low", "high", "critical"])} for _ in range(600)))
+    got = score.batches(rows, ["seq"], 8, ["file"])
+    count = {}
+    want = {}
+    for x in sorted(rows.collect(), key=lambda x: x["seq"]):
+        n = count[x["file"]] = count.get(x["file"], -1) + 1
+        want[x["seq"]] = (n // 8, n % 8)
+    assert {x["seq"]: (x["batch"], x["index"]) for x in got.collect()} == want
+    assert len({x["cluster_rank"] for x in score.clusters(rows).collect()}) == score.clusters(rows).count()
+
+
 def test_long_allow_tables_take_several_joins(spark, monkeypatch):
     monkeypatch.setattr(policy, "ALLOW_PART", 3)
     rows = issues(spark, *({"description": f"number {i}"} for i in range(30)))
-    table = spark.createDataFrame([(f"number {i}$",) for i in range(5, 25)], "pattern string")
+    table = spark.createDataFrame([(f"number (?:{i})$",) if i % 2 else (f" {i}$|zzz{i}",) for i in range(5, 25)], "pattern string")
     assert sorted(r["seq"] for r in policy.apply_allow_table(rows, table).collect()) == [*range(5), *range(25, 30)]
 
 

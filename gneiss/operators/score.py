@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import rules as R
 from gneiss.functions import text as X
 from gneiss.operators.ordering import row_numbers
+from gneiss.sources import scratch
 
 
 def penalty(severity: Column) -> Column:
@@ -120,7 +121,7 @@ def clusters(issues: DataFrame, size: int = 10, seq: str = "seq") -> DataFrame:
     rows = batches(rows.withColumn("_order", as_one(F.col("_rank"), F.col("_seq"))), ["_order"], size, ["directory"])
     per = rows.groupBy("directory", "batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.min("_rank").alias("worst"), F.min("_seq").alias("_seq"))
     first = per.groupBy("directory").agg(F.min("_seq").alias("_first"))
-    per = per.drop("_seq").join(first, "directory")
+    per = scratch.settled(per.drop("_seq").join(first, "directory"), "clusters")  # read three times to be numbered
     ranked = row_numbers(per.withColumn("_lead", as_one(F.col("worst"), F.col("_first"))), "_lead", ["batch"], "cluster_rank")
     return ranked.drop("_first", "_lead")
 

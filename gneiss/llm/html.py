@@ -56,6 +56,8 @@ _WORD = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Shares of the text above which what looks like surroundings is the page itself: if never closed or a form, and else.
 OPEN_SHARE, CLOSED_SHARE = 1 / 2, 3 / 4
+#: A dive, where no element tells of the article: this share of what surging windows weigh.
+DIVE_SHARE = 1 / 4
 #: So many times its weight may be beside what tells of an article: on the page, where unmarked surroundings are, and in a
 #: main or content element. Share of the text that its container holds where no element tells.
 PAGE_BESIDE, PART_BESIDE, CONTAINER_SHARE = 4, 1 / 3, 0.9
@@ -234,6 +236,8 @@ def _inherited(elements: list[Element], own: list[bool]) -> list[bool]:
 def _is_page(e: Element, held: int, free: int, found: int) -> bool:
     """Whether what seems to surround an article holds the page: found is the weight of the heaviest main or article."""
     either = held + free
+    if found and e.closed and not e.named and e.tag != "form":
+        return False  # its tag says what it is, and there is an article, however short
     return held > OPEN_SHARE * either and (not e.closed or e.tag == "form") or held > CLOSED_SHARE * either and found < SURGE
 
 
@@ -280,29 +284,45 @@ def _weights(lines: list[Line]) -> list[int]:
     return [0 if 2 * x.linked > n else n - x.linked for x, n in zip(lines, sizes)]
 
 
-def surges(weights: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(start, end) of the stretches where the sum of a window of lines is at least threshold, up to where it is 0."""
+def surges(weights: list[int], threshold: int, window: int = WINDOW, dive: float = 0, homes: list[int] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the stretches where the sum of a window of lines surges, at least threshold, up to where it dives: to
+    0, or, in a window all of whose lines weigh something, not above `dive`.
+
+    homes: the element that each line's block is in. A stretch begins with its first window, but not with the last lines of
+    a block that began before it and is at home elsewhere than the window's heaviest line. Lines beside a stretch that weigh
+    something and are at home with its first or last line belong to it."""
     sums, n = [], len(weights)
     run = sum(weights[:window])
     for i in range(n):
         sums.append(run)
         run += (weights[i + window] if i + window < n else 0) - weights[i]
-    found, i = [], 0
+    same = (lambda a, b: homes[a] == homes[b]) if homes else (lambda a, b: True)
+    found, i, done = [], 0, 0
     while i < n:
         if sums[i] >= threshold and sums[i]:
-            start = i
-            while i < n and sums[i]:
+            heavy = max(range(i, min(n, i + window)), key=lambda k: (weights[k], -k))
+            start = next(k for k in range(i, n) if weights[k])
+            if i > done and weights[i - 1] and same(i - 1, start) and not same(start, heavy):  # the end of another block
+                start = next(k for k in range(i, n) if weights[k] and same(k, heavy))
+            while i < n and (i <= heavy or sums[i] > dive or sums[i] and not all(weights[i : i + window] + [0] * (i + window - n))):
                 i += 1
-            while start < i and not weights[start]:
-                start += 1
-            while start > 0 and weights[start - 1]:  # the slope that leads up to the surge
+            while start > done and weights[start - 1] and same(start - 1, start):  # the slope that leads up to the surge
                 start -= 1
+            while i < n and weights[i] and same(i - 1, i):  # and down to the dive
+                i += 1
             found.append((start, i))
+            done = i
         else:
             i += 1
     return found
 
 
+def dive_of(weights: list[int], threshold: int = SURGE, window: int = WINDOW) -> float:
+    """What a page's windows dive to: a share of the middle one of the sums that surge."""
+    sums = sorted(x for i in range(len(weights)) if (x := sum(weights[i : i + window])) >= threshold)
+    return DIVE_SHARE * sums[len(sums) // 2] if sums else 0
+
+
 def _parts(lines: list[Line], elements: list[Element]) -> set[int]:
     """The elements that are the article: {0}, the page, if none tells.
 
@@ -343,32 +363,42 @@ def _container(lines: list[Line], elements: list[Element], found: list[tuple[int
     return max(i for i in range(len(elements)) if not i or count[i] > 1 and held[i] >= CONTAINER_SHARE * held[0])
 
 
-def weighted_lines(page: str) -> tuple[list[Line], list[int], list[Element], bool]:
-    """The lines that are not stripped as surroundings, what they weigh, the page's elements, whether elements lent weight.
+def weighted_lines(page: str) -> tuple[list[Line], list[int], list[Element], list[int]]:
+    """The lines that are not stripped as surroundings, what they weigh, the page's elements, and the element of the article
+    that each line is in (0: none; an empty list: elements do not tell).
 
     A line weighs its characters outside links, and nothing if it is mostly links. Where elements tell of the article, their
-    lines weigh one more than their characters outside links, so that no list of links or short line parts them, and lines
-    beside them weigh nothing."""
+    other lines weigh one more, so that no short line parts them, and lines beside them weigh nothing."""
     lines, elements = lines_of(page)
     around = surroundings(lines, elements)
     lines = [x for x in lines if not around[x.element] and not x.left_out]
     parts = _parts(lines, elements)
     if parts == {0}:
-        return lines, _weights(lines), elements, False
-    inside = _inherited(elements, [i in parts for i in range(len(elements))])
-    return lines, [1 + len(x.text) - x.linked if inside[x.element] else 0 for x in lines], elements, True
+        return lines, _weights(lines), elements, []
+    part = [0] * len(elements)
+    for i in range(1, len(elements)):
+        part[i] = i if i in parts else part[elements[i].parent]
+    own = [part[x.element] for x in lines]
+    return lines, [1 + len(x.text) - x.linked if o and 2 * x.linked <= len(x.text) else 0 for x, o in zip(lines, own)], elements, own
 
 
 def main_text(page: str) -> str:
     """The article's blocks joined by line ends; empty if there are none.
 
     The sums over sliding windows of the weighted lines decide on every page: the text between the points where they surge
-    and those where they dive stays (if no window surges, the text of all that weighs). Where elements lent weight, lines
-    that have none are no text; else a list of links between two stretches of the innermost common element stays."""
-    lines, weights, elements, lent = weighted_lines(page)
-    found = surges(weights, SURGE) or surges(weights, 1)
-    if lent:
-        return "\n".join(lines[i].text for a, b in found for i in range(a, b) if weights[i])
+    and those where they dive stays. A surge is SURGE or, if no window has that, any weight. Where elements lent weight, a
+    dive is a window without weight: a list of links as long as a window parts the article and goes, a single line of links
+    stays, lines of other elements are no text, and lighter stretches in an element where the text surges stay too. Else a
+    dive is a window with less than DIVE_SHARE of what the page's
+    surging windows have, so that teasers and the like beside the article go; what is between two stretches of their
+    innermost common element stays."""
+    lines, weights, elements, own = weighted_lines(page)
+    if own:
+        some = surges(weights, 1)
+        heavy = {own[i] for a, b in surges(weights, SURGE) for i in range(a, b) if weights[i]} or {*own}
+        return "\n".join(lines[i].text for a, b in some if any(own[i] in heavy and weights[i] for i in range(a, b)) for i in range(a, b) if own[i])
+    homes = [elements[x.element].parent if x.element else 0 for x in lines]
+    found = surges(weights, SURGE, dive=dive_of(weights), homes=homes) or surges(weights, 1)
     if not found:
         return ""
     # All from the first to the last stretch in the container; lists of links between them too.

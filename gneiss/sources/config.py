@@ -138,29 +138,61 @@ def custom_prompt(inline: str, *files: str) -> str:
     return "\n\n".join(t.strip() for t in texts if t.strip())
 
 
-# What settings may be.
+# What settings may be. Whole numbers have a least and, some, a greatest value.
 _CHOICES = {
     "strictness": ("low", "medium", "high"), "min-severity": R.SEVERITIES, "mode": ("scan", "fix"), "agent": ("claude", "codex"),
     "scan-scope": ("auto", "pr", "full"), "scan-provider": ("github-models", "agent"),
 }
+_NUMBERS = {
+    "fail-below": (0, 100), "max-passes": (1, None), "min-passes": (1, None), "max-chains": (0, None), "max-turns": (1, None), "max-issues-per-pass": (0, None), "parallel-agents": (1, 8),
+}
+_TEXTS = ("timeout", "max-cost", "github-models-model", "custom-prompt", "custom-prompt-file", "test-command", "framework", "runtime")
+_TEXTS_OR_EMPTY = ("model", "output-file")
+_APP = {
+    "type": ("web-app", "api", "cli", "library", "worker", "mobile", "desktop"), "exposure": ("public", "internal", "local"), "network": ("internet", "vpn", "localhost"), "data-sensitivity": ("high", "medium", "low"),
+}
+
+
+def _whole(text: Value, least: int, most: int | None) -> int | None:
+    """The number that a text begins with, if it is in bounds."""
+    m = re.match(r"\s*([+-]?[0-9]+)", text) if isinstance(text, str) else None
+    return n if m and (n := int(m[1])) >= least and (most is None or n <= most) else None
+
+
+def _app(given: Value) -> dict[str, str | bool]:
+    """What is said of the application: known kinds alone, whether users log in, how sensitive its data are."""
+    if not isinstance(given, dict):
+        return {}
+    given = {**given, "data-sensitivity": given.get("data-sensitivity") or given.get("dataSensitivity")}
+    out: dict[str, str | bool] = {k: v.lower() for k, choices in _APP.items() if isinstance(v := given.get(k), str) and v.lower() in choices}
+    return out | ({"auth": str(given["auth"]).lower() == "true"} if "auth" in given else {})
+
+
+def _texts(given: Value, choices: tuple[str, ...] = ()) -> list[str] | None:
+    if not isinstance(given, list):
+        return None
+    return [x for x in given if isinstance(x, str) and x.strip() and (not choices or x.strip() in choices)]
 
 
 def repo_settings(text: str) -> dict[str, Value]:
-    """Settings that are valid; others are left out."""
-    data, out = parse_yaml(text), {}
-    if isinstance(data.get("ignore"), list):
-        out["ignore"] = [s for s in data["ignore"] if isinstance(s, str) and s.strip()]
-    if isinstance(data.get("rules"), dict):
-        rules = {k: v.lower() for k, v in data["rules"].items() if k in R.TYPES and v.lower() in ("off", *R.SEVERITIES)}
-        if rules:
-            out["rules"] = rules
-    for key, choices in _CHOICES.items():
-        if isinstance(data.get(key), str) and data[key].lower() in choices:
-            out[key] = data[key].lower()
-    for key in ("fail-below", "max-passes", "min-passes", "parallel-agents"):
-        if isinstance(data.get(key), str) and (m := re.match(r"\s*(-?\d+)", data[key])):
-            out[key] = int(m[1])
-    return out
+    """Settings that are valid, by their names in the file; others are left out, so that what they set stays as it was.
+
+    trusted and untrusted are the lists trust-internal and trust-untrusted; allow is a list of pattern and reason."""
+    data = parse_yaml(text)
+    rules = {k: v.lower() for k, v in data["rules"].items() if k in R.TYPES and v.lower() in ("off", *R.SEVERITIES)} if isinstance(data.get("rules"), dict) else {}
+    allow = [{"pattern": r["pattern"], "reason": r.get("reason") or ""} for r in data["allow"] if isinstance(r, dict) and r.get("pattern")] if isinstance(data.get("allow"), list) else []
+    out: dict[str, Value | None] = {
+        "ignore": _texts(data.get("ignore")), "fix-types": _texts(data.get("fix-types"), R.TYPES), "trusted": _texts(data.get("trust-internal")), "untrusted": _texts(data.get("trust-untrusted")),
+        "rules": rules or None, "allow": allow or None, "app": _app(data.get("app")) or None,
+    }
+    out |= {k: v.lower() if isinstance(v := data.get(k), str) and v.lower() in choices else None for k, choices in _CHOICES.items()}
+    out |= {k: _whole(data.get(k), *bounds) for k, bounds in _NUMBERS.items()}
+    out |= {k: v if isinstance(v := data.get(k), str) and (v or k in _TEXTS_OR_EMPTY) else None for k in (*_TEXTS, *_TEXTS_OR_EMPTY)}
+    if isinstance(data.get("verbose"), str):
+        out["verbose"] = data["verbose"].lower() == "true"
+    if isinstance(data.get("plugins"), str):
+        out["plugins"] = data["plugins"].lower() != "false"
+    return {k: v for k, v in out.items() if v is not None}
 
 
 def first_text(paths: list[str]) -> str | None:

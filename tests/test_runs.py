@@ -45,6 +45,36 @@ def test_settings():
     assert config.settled({"a": 1, "b": 5}, {"b": 2}, {"a": 3, "c": 4}, {"a": 1, "b": 0, "c": 0}) == {"a": 3, "b": 5, "c": 4}
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("parallel-agents: 99", {}), ("parallel-agents: 8", {"parallel-agents": 8}), ("parallel-agents: 0", {}), ("max-passes: -3", {}), ("max-passes: 5x", {"max-passes": 5}), ("min-passes: 0", {}), ("fail-below: 400", {}), ("fail-below: 100", {"fail-below": 100}),
+        ("max-chains: 0\nmax-turns: 0\nmax-issues-per-pass: 0", {"max-chains": 0, "max-issues-per-pass": 0}), ("timeout: 45m\nmodel: big\ntest-command: make test", {"timeout": "45m", "model": "big", "test-command": "make test"}),
+        ("plugins: False\nverbose: TRUE", {"plugins": False, "verbose": True}), ("plugins: yes", {"plugins": True}), ("fix-types:\n  - lint\n  - odd", {"fix-types": ["lint"]}), ("framework: next\nruntime: node", {"framework": "next", "runtime": "node"}),
+        ("app:\n  type: API\n  exposure: everywhere\n  auth: true\n  network: vpn\n  dataSensitivity: High", {"app": {"type": "api", "network": "vpn", "data-sensitivity": "high", "auth": True}}), ("app: api", {}),
+        ("trust-internal:\n  - ours\ntrust-untrusted:\n  - api/**", {"trusted": ["ours"], "untrusted": ["api/**"]}), ("allow:\n  - pattern: x.*\n    reason: meant\n  - reason: none", {"allow": [{"pattern": "x.*", "reason": "meant"}]}),
+        ("strictness: HIGH\nscan-scope: pr\nscan-provider: odd", {"strictness": "high", "scan-scope": "pr"}), ("", {}), ("custom-prompt-file: a.md\noutput-file: out.json", {"custom-prompt-file": "a.md", "output-file": "out.json"}),
+    ],
+)
+def test_bounds_of_settings(text, value):
+    assert config.repo_settings(text) == value
+
+
+def test_settings_reach_the_request():
+    from gneiss.plans import prompts
+
+    got = config.repo_settings("app:\n  type: cli\n  exposure: local\ntrust-internal:\n  - ours\ntrust-untrusted:\n  - stdin\nallow:\n  - pattern: eval\n    reason: a shell\nruntime: node")
+    text = prompts.context_section(got, "Be brief.")
+    assert all(x in text for x in ("cli", prompts.EXPOSURE["local"], "ours", "stdin", "eval (a shell)", "runtime: node", "Be brief."))
+
+
+def test_summary_says_what_it_leaves_out(spark):
+    rows = issues(spark, *[{"severity": "low"}] * 4, {"severity": "critical", "line": None})
+    assert "3 more issues" in report.ScanReport.of(rows, 50, 2).summary() and "more issue" not in report.ScanReport.of(rows, 50).summary()
+    lines = [r["value"] for r in report.issue_lines(rows).collect()]
+    assert len(lines) == 5 and "critical" not in lines[0] and lines[0].startswith("| ") and ":" in lines[1]
+
+
 RAW = [
     ({"type": "bugs", "severity": "high", "file": "src/foo.ts", "line": 42, "description": "Null deref"}, ("bugs", "high", "src/foo.ts", 42.0, "Null deref")),
     (None, None), ("string", None), ({"type": "invalid", "file": "a"}, ("lint", "medium", "a", None, "Unknown issue")), ({"severity": "mega", "file": "a", "line": "42"}, ("lint", "medium", "a", None, "Unknown issue")),

@@ -69,10 +69,10 @@ def test_settings_reach_the_request():
 
 
 def test_summary_says_what_it_leaves_out(spark):
-    rows = issues(spark, *[{"severity": "low"}] * 4, {"severity": "critical", "line": None})
+    rows = issues(spark, *[{"severity": "low", "line": 3}] * 4, {"severity": "critical"})
     assert "3 more issues" in report.ScanReport.of(rows, 50, 2).summary() and "more issue" not in report.ScanReport.of(rows, 50).summary()
     lines = [r["value"] for r in report.issue_lines(rows).collect()]
-    assert len(lines) == 5 and "critical" not in lines[0] and lines[0].startswith("| ") and ":" in lines[1]
+    assert len(lines) == 5 and lines[0] == f"| {R.SEVERITY_ICON['critical']} | bugs | `src/foo.ts` | Test issue |" and "`src/foo.ts:3`" in lines[1]
 
 
 RAW = [
@@ -273,6 +273,50 @@ def test_chunks_that_are_too_large_are_asked_for_in_halves(spark, tmp_path):
     assert asked.count("g") == 1 and asked.count("f0,f1") == 1
 
 
+def test_a_scan_with_a_model_as_one_run(spark, tmp_path):
+    """A fake model that sees something in every outline with FLAGS, more in whole files, and doubts what it calls doubtful."""
+    import re
+
+    from gneiss.plans import modelled
+
+    log = tmp_path / "log"
+
+    def call(text):
+        with open(log, "a") as f:
+            f.write(json.dumps(text) + "\n")
+        if text.startswith("These are outlines"):
+            found = [{"type": "bugs", "severity": "high", "file": p, "line": 2, "description": "Seen in the outline"} for p in re.findall(r"=== (\S+) \(\d+ lines\) ===\n(?:(?!===).*\n)*FLAGS", text)]
+            return json.dumps({"issues": [*found, {"type": "lint", "severity": "low", "file": "gone.py", "line": 1, "description": "No such file"}]})
+        if text.startswith("These are whole"):
+            files = re.findall(r"--- (\S+) ---", text)
+            return "Here: " + json.dumps({"issues": [{"type": "stubs", "severity": "low", "file": f, "line": n, "description": d, "line_content": c} for f in files for n, d, c in ((1, "doubtful", ""), (3, "Misplaced", "nowhere to be found at all"), (1, "Borne out", ""))]})
+        return json.dumps({"results": [{"index": int(n), "is_real": "doubtful" not in claim} for n, claim in re.findall(r"--- Issue (\d+) ---\n(?:.*\n){3}Claim: (.*)", text)]})
+
+    f = files(spark, a_dot_py="import os\nx = eval(user)", b_dot_py="fine = 1", c_dot_py="y = 2\nz = eval(y)")
+    options = {"sleep": lambda s: None, "at_once": 2, "kept": str(tmp_path / "kept")}
+    got = modelled.model_scan(f, call, **options)
+    issues_ = sorted((r["file"], r["line"], r["type"], r["description"], r["source"]) for r in got.scan.issues.collect() if r["source"] == "ai")
+    assert issues_ == [(p, n, t, d, "ai") for p in ("a.py", "c.py") for n, t, d in ((1.0, "stubs", "Borne out"), (2.0, "bugs", "Seen in the outline"))]
+    assert {(r["kind"], r["outcome"]) for r in got.requests.collect()} == {("fingerprints", "answered"), ("whole", "answered"), ("verdicts", "answered")}
+    assert got.reported.count() == 9 and got.kept.count() == 4
+    asked = len([*open(log)])
+    again = modelled.model_scan(f, call, **options)
+    assert len([*open(log)]) == asked and again.kept.count() == 4 and {r["outcome"] for r in again.requests.collect()} == {"kept"}
+    cache = incremental.upsert(spark.createDataFrame([], incremental.schema()), f.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("hash")), got.scan.found.select(*scan.FIELDS), f.select("path"), "fingerprint", "t", "m")
+    third = modelled.model_scan(f, call, cache=incremental.usable(cache, "m"), **options)
+    assert len([*open(log)]) == asked and third.requests.count() == 0
+    assert sorted((r["file"], r["line"], r["type"]) for r in third.scan.issues.collect()) == sorted((r["file"], r["line"], r["type"]) for r in got.scan.issues.collect())
+
+    def broken(text):
+        if text.startswith("Say of each"):
+            raise prompts_error
+        return call(text)
+
+    prompts_error = ValueError("down")
+    kept = modelled.model_scan(f, broken, sleep=lambda s: None, kept=str(tmp_path / "other")).kept
+    assert kept.count() == 6  # without verdicts all stays that the text bears out
+
+
 def test_state_goes_round(spark, tmp_path):
     place, f = str(tmp_path / "state"), files(spark, a_dot_ts="function f(a) {\n// x\nconsole.log(1)\n", b_dot_py="fine\n")
 

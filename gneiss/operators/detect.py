@@ -139,6 +139,7 @@ def _all(pattern: str, group: int = 1, content: str = "content") -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
 
 
+# The patterns of imports in the functions below, by kind of file.
 def light_imports_of(ext: Column) -> Column:
     """An array of the imports in `content` that a fingerprint shows."""
     py = F.transform(_all(r"(?m)^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", 0), lambda m: F.regexp_extract(m, r"^(?:from|import)\s+([\w.]+)", 1))

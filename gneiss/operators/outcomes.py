@@ -9,6 +9,7 @@ from gneiss.functions import rules as R
 from gneiss.functions import text as X
 
 
+# The reasons for a skip in the functions below.
 def match_results(issues: DataFrame, results: DataFrame) -> DataFrame:
     """issues with status and skip_reason: the first result (by ord) for the file that names the line, or none, decides.
 

@@ -1,5 +1,6 @@
 """Policy on null fields, patterns of the engine's dialect, state and settings on disk, orders, splits, streams."""
 
+import bisect
 import json
 import random
 import time
@@ -173,6 +174,28 @@ def test_row_numbers(spark, monkeypatch, descending):
     assert [(x["k"], x["i"]) for x in sorted(got, key=lambda x: x["n"])] == order and sorted(x["n"] for x in got) == list(range(1, 401))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_of_row_numbers_grows_with_the_ranges_alone(spark, monkeypatch):
+    # 36 ranges by six steps: a step that writes out the one before four times makes a plan of some MB.
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
+    rows = spark.range(360).select(F.col("id").alias("run"))
+    got = score.newest_first(rows)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 100_000
+    assert {r["run"]: r["place"] for r in got.collect()} == {i: 360 - i for i in range(360)}
+
+
+def test_place_by_bisection(spark):
+    for n in (0, 1, 2, 3, 7, 8, 900):
+        bounds = [float(3 * i) for i in range(n)]
+        values = [None, -1.0, 0.0, 1.0, 2.9, 3.0, 3.0 * n, 3.0 * n - 3, 3.0 * n - 4, 1e18]
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        got = rows.select("v", ordering._place(F.col("v"), bounds).alias("p")).collect()
+        assert [r["p"] for r in got] == [0 if v is None else bisect.bisect_right(bounds, v) for v in values]
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

@@ -196,6 +196,22 @@ def test_place_by_bisection(spark):
         assert [r["p"] for r in got] == [0 if v is None else bisect.bisect_right(bounds, v) for v in values]
 
 
+def test_plan_of_clusters_grows_with_the_ranges_alone(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
+    sizes = []
+    settled = score.scratch.settled
+
+    def watched(df, kind):
+        sizes.append(len(df._jdf.queryExecution().analyzed().toString()))
+        return settled(df, kind)
+
+    monkeypatch.setattr(score.scratch, "settled", watched)
+    rows = spark.range(360).selectExpr("id AS seq", "concat('d', id % 3, '/m', id) AS file", "if(id % 2 = 0, 'high', 'low') AS severity")
+    got = score.clusters(rows).collect()
+    assert sizes and max(sizes) < 200_000
+    assert sum(r["n"] for r in got) == 360 and sorted(r["cluster_rank"] for r in got) == list(range(1, len(got) + 1))
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

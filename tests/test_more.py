@@ -212,6 +212,15 @@ def test_plan_of_clusters_grows_with_the_ranges_alone(spark, monkeypatch):
     assert sum(r["n"] for r in got) == 360 and sorted(r["cluster_rank"] for r in got) == list(range(1, len(got) + 1))
 
 
+def test_counts_before_ranges_of_groups_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
+    rows = spark.range(360).selectExpr("id AS seq", "concat('f', id % 70) AS file")
+    got = score.batches(rows, ["seq"], 2, ["file"])
+    assert "Broadcast" not in _plan(got)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 100_000
+    assert {r["seq"]: (r["batch"], r["index"]) for r in got.collect()} == {i: (i // 70 // 2, i // 70 % 2) for i in range(360)}
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

@@ -221,6 +221,13 @@ def test_counts_before_ranges_of_groups_are_not_broadcast(spark, monkeypatch):
     assert {r["seq"]: (r["batch"], r["index"]) for r in got.collect()} == {i: (i // 70 // 2, i // 70 % 2) for i in range(360)}
 
 
+def test_verdicts_are_not_broadcast(spark):
+    found = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "batch int, index int, t string")
+    verdicts = spark.createDataFrame([(0, 0, True), (0, 1, False), (1, 9, True)], "batch int, index int, is_real boolean")
+    got = verify.keep_real(found, verdicts)
+    assert "Broadcast" not in _plan(got) and [r["t"] for r in got.collect()] == ["a"]
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

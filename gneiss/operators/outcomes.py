@@ -13,14 +13,20 @@ from gneiss.functions import text as X
 def match_results(issues: DataFrame, results: DataFrame) -> DataFrame:
     """issues with status and skip_reason: the first result (by ord) for the file that names the line, or none, decides.
 
-    issues: cluster_id, seq, file, line; results: cluster_id, ord, file, line, status, reason."""
-    r = results.select("cluster_id", "file", F.col("line").alias("_line"), F.struct("ord", "status", "reason").alias("_r"), "ord")
-    names = F.col("_line").isNull() | (F.col("_line") == 0) | (F.col("_line") == F.col("line"))
-    met = issues.join(r, ["cluster_id", "file"], "left").withColumn("_r", F.when(names, F.col("_r"))).withColumn("_ord", F.col("_r.ord"))
-    first = met.groupBy("cluster_id", "seq", "file", "line").agg(F.min_by("_r", "_ord").alias("r"))
+    issues: cluster_id, seq, file, line; results: cluster_id, ord, file, line, status, reason.
+
+    Results become one row for each line that they name and one for those that name none, before they meet the issues: so a
+    file with n issues and n results costs 2n rows, not their pairs."""
+    r = results.select("cluster_id", "file", F.nullif("line", F.lit(0)).alias("line"), F.struct("ord", "status", "reason").alias("_r"))
+    named, unnamed = r.where(F.col("line").isNotNull()), r.where(F.col("line").isNull())
+    for_file = unnamed.groupBy("cluster_id", "file").agg(F.min_by("_r", "_r.ord").alias("_any"))
+    for_line = named.groupBy("cluster_id", "file", "line").agg(F.min_by("_r", "_r.ord").alias("_own"))
+    own = issues.select("cluster_id", "seq", "file", "line")
+    met = own.join(for_file.hint("merge"), ["cluster_id", "file"], "left").join(for_line.hint("merge"), ["cluster_id", "file", "line"], "left")
+    first = met.withColumn("r", F.when(F.col("_own.ord") < F.col("_any.ord"), F.col("_own")).otherwise(F.coalesce("_any", "_own")))
     status = F.when(F.col("r.status") == "fixed", "fixed").otherwise("skipped")
     reason = F.when(F.col("r.status") == "fixed", F.lit(None)).when(F.col("r.status") == "skipped", F.coalesce(F.nullif(F.col("r.reason"), F.lit("")), F.lit("Agent could not fix"))).otherwise("No result reported by agent")
-    return first.select("cluster_id", "seq", "file", "line", status.alias("status"), reason.alias("skip_reason"))
+    return first.select("cluster_id", "seq", "file", "line", status.alias("status"), reason.alias("skip_reason")).distinct()
 
 
 def infer_from_changes(issues: DataFrame, changed: DataFrame) -> DataFrame:

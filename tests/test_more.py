@@ -228,6 +228,23 @@ def test_verdicts_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(got) and [r["t"] for r in got.collect()] == ["a"]
 
 
+def test_results_are_reduced_before_they_meet_issues(spark):
+    r = random.Random(5)
+    lines = [None, 0, 1, 2, 3]
+    work = [(r.randint(0, 2), i, f"f{r.randint(0, 3)}", r.choice(lines)) for i in range(300)]
+    said = [(r.randint(0, 2), i, f"f{r.randint(0, 3)}", r.choice([1, 2, 3] * 5 + lines), r.choice(["fixed", "skipped", "odd"]), r.choice(["", "why"])) for i in range(40)]
+    got = outcomes.match_results(spark.createDataFrame(work, "cluster_id int, seq int, file string, line int"), spark.createDataFrame(said, "cluster_id int, ord int, file string, line int, status string, reason string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("min_by")  # what stands lower comes first
+    want = {}
+    for cluster, seq, file, line in work:
+        first = min((x for x in said if x[0] == cluster and x[2] == file and (x[3] in (None, 0) or x[3] == line)), key=lambda x: x[1], default=None)
+        fixed = first is not None and first[4] == "fixed"
+        skipped = (first[5] or "Agent could not fix") if first is not None and first[4] == "skipped" else "No result reported by agent"
+        want[seq] = ("fixed", None) if fixed else ("skipped", skipped)
+    assert {x["seq"]: (x["status"], x["skip_reason"]) for x in got.collect()} == want and got.count() == 300
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

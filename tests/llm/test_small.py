@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,21 @@ def brute_repeats(rows):
     return sorted(out)
 
 
+def test_shared_marks_are_a_row_per_place_and_then_per_document():
+    passage = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
+    texts = [f"{passage} and {i} words of document number {i * 7919} alone {'x' * (i % 5)}" for i in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(range(a, a + 20)), pa.int64()), pa.array(texts[a : a + 20])], ["row", "text"]) for a in (0, 20, 40)]
+    marked = pa.Table.from_batches([suffixes._marks(b, 8) for b in batches]).sort_by("part")
+    shared = pa.Table.from_batches(suffixes._shared(iter(marked.to_batches()), 4)).sort_by("place")
+    assert shared.num_rows == 4
+    got = pa.Table.from_batches(suffixes._by_document(iter(shared.to_batches()))).to_pylist()
+    assert sorted(r["row"] for r in got) == list(range(60))
+    own = [set((suffixes._all_runs(t.encode())[2] >> np.uint64(32)).tolist()) for t in texts]
+    for r in got:
+        others = set().union(*(m for i, m in enumerate(own) if i != r["row"]))
+        assert set(np.frombuffer(r["blob"], np.uint32).tolist()) == own[r["row"]] & others
+
+
 @pytest.mark.parametrize(("seed", "hot"), [(0, 5000), (1, 5000), (2, 5000), (3, 5000), (0, 2), (1, 2), (2, 2), (3, 2)])
 def test_repeats_as_by_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffixes, "HOT_DOCS", hot)

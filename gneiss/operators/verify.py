@@ -31,7 +31,7 @@ def drop_local_duplicates(found: DataFrame, local: DataFrame) -> DataFrame:
     other = places.withColumn("_b", F.explode(bands))
     near = ((F.col("line") != 0) & (F.abs(F.col("line") - F.col("_l")) <= NEAR_LINES)) | F.col("line").eqNullSafe(F.col("_l"))
     own = F.floor(F.col("line") / width).eqNullSafe(F.col("_b"))
-    return found.join(other, (F.col("file") == F.col("_f")) & (F.col("type") == F.col("_t")) & own & near, "left_anti")
+    return found.join(apart(other), (F.col("file") == F.col("_f")) & (F.col("type") == F.col("_t")) & own & near, "left_anti")
 
 
 def in_known_files(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -245,6 +245,13 @@ def test_results_are_reduced_before_they_meet_issues(spark):
     assert {x["seq"]: (x["status"], x["skip_reason"]) for x in got.collect()} == want and got.count() == 300
 
 
+def test_local_findings_are_not_broadcast(spark):
+    found = spark.createDataFrame([("a", 5, "lint"), ("a", 9, "lint"), ("b", 5, "lint")], "file string, line int, type string")
+    local = spark.createDataFrame([("a", 3, "lint")], "file string, line int, type string")
+    got = verify.drop_local_duplicates(found, local)
+    assert "Broadcast" not in _plan(got) and sorted((r["file"], r["line"]) for r in got.collect()) == [("a", 9), ("b", 5)]
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

@@ -35,7 +35,7 @@ def drop_local_duplicates(found: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def in_known_files(found: DataFrame, files: DataFrame) -> DataFrame:
-    return found.join(files.select(F.col("path").alias("file")), "file", "left_semi")
+    return found.join(apart(files.select(F.col("path").alias("file"))), "file", "left_semi")
 
 
 def _window(line: Column, before: int, after: int) -> tuple[Column, Column]:
@@ -57,7 +57,7 @@ def correct_lines(found: DataFrame, files: DataFrame) -> DataFrame:
     a blank line bears out any claim. found: file, line, line_content, ...; files: path, content.
 
     The lines around a row's own are a slice of its file's lines, so nothing is joined line by line."""
-    met = found.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    met = found.join(apart(files.select(F.col("path").alias("file"), "content")), "file", "left")
     return _corrected(met).drop("content")
 
 
@@ -100,7 +100,7 @@ def has_evidence(description: Column, evidence: Column, line: Column, content: C
 
 def require_evidence(found: DataFrame, files: DataFrame) -> DataFrame:
     """found without claims about security, high or critical, that nothing bears out. found has content_verified."""
-    return _borne(found.join(files.select(F.col("path").alias("file"), "content"), "file", "left")).drop("content")
+    return _borne(found.join(apart(files.select(F.col("path").alias("file"), "content")), "file", "left")).drop("content")
 
 
 def _borne(met: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def verify(found: DataFrame, local: DataFrame, files: DataFrame) -> DataFrame:
     """All checks in their order: without findings that local ones tell already, of unknown files, misplaced or unfounded.
     The files' contents meet the findings once."""
     fresh = drop_local_duplicates(found, local)
-    met = fresh.join(files.select(F.col("path").alias("file"), "content"), "file")
+    met = fresh.join(apart(files.select(F.col("path").alias("file"), "content")), "file")
     return _borne(_corrected(met)).drop("content_verified", "content")
 
 

@@ -252,6 +252,16 @@ def test_local_findings_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(got) and sorted((r["file"], r["line"]) for r in got.collect()) == [("a", 9), ("b", 5)]
 
 
+def test_contents_are_not_broadcast(spark):
+    found = spark.createDataFrame([(1, "a", 1, "lint", "low", "d", None, None), (2, "gone", 1, "lint", "low", "d", None, None)], "seq int, file string, line int, type string, severity string, description string, evidence string, line_content string")
+    local = spark.createDataFrame([("b", 3, "lint")], "file string, line int, type string")
+    files = spark.createDataFrame([("a", "x\ny")], "path string, content string")
+    got = verify.verify(found, local, files)
+    assert "Broadcast" not in _plan(got) and [r["seq"] for r in got.collect()] == [1]
+    corrected = verify.correct_lines(verify.in_known_files(found, files), files)
+    assert "Broadcast" not in _plan(verify.require_evidence(corrected, files))
+
+
 def test_batches_over_all_rows(spark):
     got = score.batches(issues(spark, *[{}] * 20), ["seq"], 8).collect()
     assert {r["seq"]: (r["batch"], r["index"]) for r in got} == {i: (i // 8, i % 8) for i in range(20)}

@@ -212,6 +212,17 @@ def test_plan_of_clusters_grows_with_the_ranges_alone(spark, monkeypatch):
     assert sum(r["n"] for r in got) == 360 and sorted(r["cluster_rank"] for r in got) == list(range(1, len(got) + 1))
 
 
+def test_plan_of_ranked_clusters_grows_with_the_ranges_alone(spark, monkeypatch):
+    # One issue a cluster and 120 directories: the numbering of clusters, which the test above leaves unmeasured, has 36 ranges as well.
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
+    rows = spark.range(360).selectExpr("id AS seq", "concat('d', id % 120, '/m', id) AS file", "if(id % 2 = 0, 'high', 'low') AS severity")
+    got = score.clusters(rows, 1)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 100_000
+    worst = {i: score.R.RANK_DOWN["low" if i % 2 else "high"] for i in range(360)}
+    each = [(worst[i], d, batch) for d in range(120) for batch, i in enumerate(sorted(range(d, 360, 120), key=lambda i: (worst[i], i)))]
+    assert {r["cluster_rank"]: (r["worst"], r["directory"], r["batch"], r["n"]) for r in got.collect()} == {n: (w, f"d{d}", b, 1) for n, (w, d, b) in enumerate(sorted(each), 1)}
+
+
 def test_counts_before_ranges_of_groups_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
     rows = spark.range(360).selectExpr("id AS seq", "concat('f', id % 70) AS file")
